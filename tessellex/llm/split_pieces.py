@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 from ..session import table
 
+#: The largest number of limits that is broadcast.
+MAX_TYPES = 100_000
 LINE_END = r"(?:\r\n|\n|\r(?!\n))"
 SENTENCE_END = "[。！？；!?;]"
 NEITHER = r"[\n\r。！？；!?;]"
@@ -51,17 +53,19 @@ def split_oversized(
     their pieces each; an empty table gives none. Further columns of the items are ignored, whatever their names.
     """
     known = limits.where("law_type IS NOT NULL").groupBy("law_type").agg(F.min("max_chars").alias("_m"), F.min("overlap_chars").alias("_o"))
-    rest = limits.where("law_type IS NULL").agg(F.min("max_chars").alias("_dm"), F.min("overlap_chars").alias("_do"))
+    # The one default row is a setting, so its two numbers become literals.
+    rest = limits.where("law_type IS NULL").agg(F.min("max_chars"), F.min("overlap_chars")).first()
     picked = items.select(
         F.col(key).alias("_key"), F.coalesce(F.col(title), F.lit("")).alias("_title"), F.coalesce(F.col(content), F.lit("")).alias("_content"), F.col(kind).alias("_kind")
     )
-    # The limits are a handful of settings, one row per type; the single default row is a scalar.
-    sized = picked.join(F.broadcast(known), F.col("_kind") == F.col("law_type"), "left").crossJoin(F.broadcast(rest))
+    if known.limit(MAX_TYPES + 1).count() > MAX_TYPES:
+        raise ValueError(f"more than {MAX_TYPES} types with limits")
+    sized = picked.join(F.broadcast(known), F.col("_kind") == F.col("law_type"), "left")
     listed = F.col("law_type").isNotNull()
     big = sized.select(
         "_key", "_title", "_content",
-        F.when(listed, F.col("_m")).otherwise(F.col("_dm")).alias("_max"),
-        F.greatest(F.lit(0), F.coalesce(F.when(listed, F.col("_o")).otherwise(F.col("_do")), F.lit(0))).alias("_overlap"),
+        F.when(listed, F.col("_m")).otherwise(F.lit(rest[0])).alias("_max"),
+        F.greatest(F.lit(0), F.coalesce(F.when(listed, F.col("_o")).otherwise(F.lit(rest[1])), F.lit(0))).alias("_overlap"),
     ).where(F.length("_title") + F.length("_content") > F.col("_max"))
     head = F.when(F.length("_title") > F.col("_max") / 2, F.expr("substring(_title, 1, greatest(0, _max div 2 - 1))")).otherwise(F.col("_title"))
     fit = big.withColumn("_head", F.when(head != "", F.concat(head, F.lit("\n"))).otherwise(F.lit("")))
