@@ -160,7 +160,7 @@ class Encoder:
         db.execute("CREATE OR REPLACE TEMP TABLE todo AS SELECT DISTINCT seg FROM parts WHERE seg <> '' AND seg NOT IN (SELECT seg FROM known)")
         self._learn()
         db.execute("CREATE OR REPLACE TEMP TABLE coded AS SELECT word, ids FROM (SELECT w, flatten(list(ids ORDER BY pos)) AS ids FROM parts JOIN known USING (seg) GROUP BY w) JOIN words USING (w)")
-        out = db.sql("SELECT ids FROM texts LEFT JOIN (SELECT r, flatten(list(ids ORDER BY pos)) AS ids FROM placed JOIN coded USING (word) GROUP BY r) USING (r) ORDER BY r").to_arrow_table()
+        out = db.sql("SELECT coalesce(ids, []::INTEGER[]) AS ids FROM texts LEFT JOIN (SELECT r, flatten(list(ids ORDER BY pos)) AS ids FROM placed JOIN coded USING (word) GROUP BY r) USING (r) ORDER BY r").to_arrow_table()
         column = out.column("ids").combine_chunks()
         return column.chunk(0) if isinstance(column, pa.ChunkedArray) else column
 
@@ -197,9 +197,9 @@ def encode_texts(rows: DataFrame, key: str = "doc_id", text: str = "text", vocab
         for batch in batches:
             ids = encoder.encode(batch.column(len(own)))
             if lengths_only:
-                out = pc.fill_null(pc.list_value_length(ids), 0).cast(pa.int64())
+                out = pc.list_value_length(ids).cast(pa.int64())
             else:
-                out = pa.array([x or [] for x in ids.to_pylist()], pa.list_(pa.int32())) if ids.null_count else ids.cast(pa.list_(pa.int32()))
+                out = ids.cast(pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(own)], out], [*own, "tokens" if lengths_only else "ids"])
 
     return words.mapInArrow(run, schema + (", tokens bigint" if lengths_only else ", ids array<int>"))
