@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("quota_sample", "split_pieces", "byte_bpe", "mix_sources", "one_form", "bad_pairs", "split_overlap")
+MODULES = ("quota_sample", "split_pieces", "byte_bpe", "mix_sources", "one_form", "bad_pairs", "split_overlap", "abuse_score")
 
 
 def _collect(what: str) -> dict:
