@@ -56,11 +56,13 @@ FUNCTION_WORDS = {
     "it": "il lo gli che per con una del non di al deve può quando se e o come un è le la",
     "pt": "o os as que para por com uma do não em ao deve pode quando se e ou como um é da",
 }
+MARKUP = r"(?i)</?(?:p|br|div|span|li|ul|ol|b|i|strong|em)\b[^>]{0,80}>|&nbsp;"
+ANNOUNCED = r"(?:有|共|共计|分为|分|以下|如下|列)([一二两三四五六七八九十]|\d{1,2})(?:大|个|条)?(?:点|项|步|条|方面|种情形|步骤|要点|部分|理由)[^。!?;\n]{0,6}:"
+#: A plain final mark, and no open quote or bracket can be open before it in a text that the next pattern takes.
+SAFE_END = r"\A[^《“(【]*(?:(?:《[^《》]*》|“[^“”]*”|\([^()]*\)|【[^【】]*】)[^《“(【]*)*(?<=[。!?.~)])\z"
 TERMINAL = r"[。!?.~)”\"」』】\]]\z"
 OPEN_END = r"[、,:;×+\-—…(《“「=÷·]\z"
 NUMBERS = {n: i + 1 for i, n in enumerate("一二三四五六七八九十")} | {"两": 2}
-ENDS_CJK = r"([^\s。!?;,、:“”()《》]{4})[。!?;]"
-ENDS_LATIN = r"(\p{L}+[\s']\p{L}+)[.!?;]"
 #: An unfinished length is a limit if so many answers stop at it, and so many times more than around it.
 SPIKE_ROWS, SPIKE_TIMES = 20, 6.0
 #: Last words that so many answers end with are a closing, as are those of this share of answers.
@@ -71,11 +73,13 @@ def _letters(text: Column) -> Column:
     return F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", "")
 
 
-def language_of(text: Column) -> Column:
-    """The main language by script, and by function words where the script is Latin; null if there is too little to tell.
+def language_of(name: str) -> Column:
+    """The main language of a column by script, and by function words where the script is Latin; null if there is too little to tell.
 
-    Titles and names in quotes or brackets do not count.
+    Titles and names in quotes or brackets do not count. Texts of nothing but Chinese, or nearly so, which
+    their bytes per character show, take a short way.
     """
+    text = F.col(name)
     bare = F.regexp_replace(F.lower(text), r"《[^》]*》|“[^”]*”|「[^」]*」|\"[^\"]*\"|（[^）]*）|\([^)]*\)", " ")
     han, kana, hangul = (F.regexp_count(bare, F.lit(p)) for p in (r"\p{IsHan}", r"[ぁ-ヿ]", r"[가-힣]"))
     cyrillic, arabic, latin, greek = (F.regexp_count(bare, F.lit(p)) for p in (r"\p{IsCyrillic}+", r"[\p{IsArabic}\p{IsHebrew}\p{IsThai}\p{IsDevanagari}]+", r"\p{IsLatin}{2,}", r"\p{IsGreek}+"))
@@ -84,8 +88,9 @@ def language_of(text: Column) -> Column:
     best = F.array_max(words)
     western = F.when(latin >= 4, F.when(best["n"] >= 2, best["k"]).otherwise("latin"))
     top = F.greatest(east, hangul / 2, cyrillic, arabic, latin, greek)
+    mostly = (F.octet_length(text) > 2.3 * F.length(text)) & (F.length(text) >= 12) & ~text.rlike(r"[ぁ-ヿ가-힣ऀ-๿]")
     return (
-        F.when(top < 2, None).when(east == top, F.when(kana * 4 > han, "ja").otherwise("zh")).when(hangul / 2 == top, "ko")
+        F.when(mostly, "zh").when(top < 2, None).when(east == top, F.when(kana * 4 > han, "ja").otherwise("zh")).when(hangul / 2 == top, "ko")
         .when(cyrillic == top, "cyrillic").when(arabic == top, "other").when(greek == top, "greek").otherwise(western)
     )
 
@@ -136,39 +141,41 @@ def broken_pairs(rows: DataFrame, key: str = "case_id", question: str = "questio
     long. Repeated rows come out each; an empty table gives none. Further columns, whatever their names,
     are ignored.
     """
-    base = rows.select(F.col(key).alias("_key"), F.coalesce(same_codes(F.col(question)), F.lit("")).alias("_q"), F.coalesce(same_codes(F.col(answer)), F.lit("")).alias("_raw"))
-    clean = F.regexp_replace(F.regexp_replace("_raw", r"(?i)</?(?:p|br|div|span|li|ul|ol|b|i|strong|em)\b[^>]{0,80}>|&nbsp;", ""), r"(?U)^\s+|\s+$", "")
-    base = base.withColumn("_a", F.regexp_replace(clean, r"\A[\[【“\"](?!自动)([\s\S]*)[\]】”\"]\z", "$1")).withColumn("_al", _letters(F.col("_a"))).withColumn("_ql", _letters(F.col("_q")))
-    base = base.withColumn("_empty", F.col("_al").isin("", *PLACEHOLDERS))
+    q, a = F.coalesce(same_codes(F.col(question)), F.lit("")), F.coalesce(same_codes(F.col(answer)), F.lit(""))
+    base = rows.select(F.col(key).alias("_key"), q.alias("_q"), F.regexp_replace(a, r"\A\s+|\s+\z", "").alias("_r"))
+    # Markup and a pair of brackets around the whole fall away; few answers have any.
+    clean = F.when(F.col("_r").rlike(r"\A[\[【“\"<]|>\z|&nbsp;"), F.regexp_replace(F.regexp_replace(F.regexp_replace("_r", MARKUP, ""), r"\A\s+|\s+\z", ""), r"\A[\[【“\"](?!自动)([\s\S]*)[\]】”\"]\z", "$1")).otherwise(F.col("_r"))
+    # What can be a copy: one of six short stretches of the question stands in the answer.
+    lead = F.greatest(F.lit(6), F.least(F.lit(10), F.expr("length(_q) div 5"))).cast("int")
+    anchors = [F.substring(F.col("_q"), (F.length("_q") * k / 6).cast("int") + 1, lead) for k in range(6)]
+    seen = reduce(Column.__or__, [(F.length(x) >= 6) & F.contains("_r", x) for x in anchors]) | ((F.length("_q") > 0) & (F.length("_q") < 12) & F.contains("_r", F.col("_q")))
+    ql, al = language_of("_q"), language_of("_r")
+    foreign = F.coalesce((ql != al) & (al != "latin") & (ql != "latin") | (ql == "zh") & (al == "latin") | (ql == "latin") & al.isin("zh", "ja", "ko", "cyrillic", "other"), F.lit(False))
+    # Written once: what follows reads it several times, and no filter must pull the above into itself.
+    base = cut(base.select("_key", clean.alias("_a"), F.when(seen, F.col("_q")).alias("_q"), foreign.alias("_foreign")))
 
     # Copies: little is left of the answer without the question's words and a frame.
-    lead = F.greatest(F.lit(6), F.least(F.lit(10), F.expr("length(_ql) div 4"))).cast("int")
-    anchors = [F.substring(F.col("_ql"), (F.length("_ql") * k / 6).cast("int") + 1, lead) for k in range(6)]
-    seen = reduce(Column.__or__, [(F.length(x) >= 6) & F.contains("_al", x) for x in anchors])
-    tiny = (F.length("_ql") > 0) & (F.col("_ql") == F.col("_al"))
-    unframed = F.regexp_replace(F.regexp_replace("_al", "^(?:" + "|".join(sorted(COURTESY + FRAMES, key=len, reverse=True)) + ")+", ""), "(?:" + "|".join(sorted(COURTESY + FRAMES, key=len, reverse=True)) + ")+$", "")
-    # A column of its own, so that the grams below do not make it anew for each of them.
-    base = base.withColumn("_u", F.when(seen, unframed))
+    letters = base.select("_key", "_a", "_foreign", F.when(F.col("_q").isNotNull(), _letters(F.col("_a"))).alias("_al"), F.when(F.col("_q").isNotNull(), _letters(F.col("_q"))).alias("_ql"))
+    around = "|".join(sorted(COURTESY + FRAMES, key=len, reverse=True))
+    unframed = letters.withColumn("_u", F.regexp_replace(F.regexp_replace("_al", f"^(?:{around})+", ""), f"(?:{around})+$", ""))
     mine, theirs = _grams(F.col("_u")), _grams(F.col("_ql"))
-    copied = F.when(tiny, True).when(F.length("_u") > 0, F.size(F.array_except(mine, theirs)) <= 0.25 * F.size(mine)).otherwise(F.col("_u").isNotNull())
+    copied = F.when(F.col("_ql").isNull(), False).when((F.col("_u") == "") | (F.col("_al") == F.col("_ql")), True).otherwise(F.size(F.array_except(mine, theirs)) <= 0.25 * F.size(mine))
 
     # Refusals: nothing is left without phrases that decline and courtesies, and something declines.
     low = F.lower(F.col("_a"))
     rest = _letters(F.regexp_replace(F.regexp_replace(low, REFUSAL, " "), "|".join(sorted(COURTESY, key=len, reverse=True)), " "))
-    refusal = F.when((F.length("_a") <= 400) & low.rlike(DECLINES) & low.rlike(REFUSAL), F.length(rest) <= 3).otherwise(False)
-
-    ql, al = language_of(F.col("_q")), language_of(F.col("_a"))
-    foreign = F.coalesce((ql != al) & (al != "latin") & (ql != "latin") | (ql == "zh") & (al == "latin") | (ql == "latin") & al.isin("zh", "ja", "ko", "cyrillic", "other"), F.lit(False))
-    kind = F.when(F.col("_empty"), "empty").when(copied, "copied").when(refusal, "refusal").when(foreign, "language")
-    # Written once: what follows reads it several times, and a filter on the kind must not pull all of the above into itself.
-    base = cut(base.select("_key", "_a", kind.alias("_kind")))
+    refusal = F.when(F.length("_a") > 400, False).when(~low.rlike(DECLINES), False).otherwise(low.rlike(REFUSAL) & (F.length(rest) <= 3))
+    empty = F.when(F.length("_a") > 24, False).otherwise(_letters(F.col("_a")).isin("", *PLACEHOLDERS))
+    kind = F.when(empty, "empty").when(copied, "copied").when(refusal, "refusal").when(F.col("_foreign"), "language").otherwise("")
+    kinds = cut(unframed.select("_key", kind.alias("_kind"), F.when(~F.col("_a").rlike(SAFE_END) | F.col("_a").rlike(ANNOUNCED), F.col("_a")).alias("_a")))
 
     # Truncation, for what is not defective otherwise.
-    left = base.where("_kind IS NULL")
+    # Only answers without a plain final mark, or with an announced count, need a closer look; of the others no text is kept.
+    left = kinds.where("_kind = '' AND _a IS NOT NULL")
     tail = F.element_at(F.split("_a", r"[。!?;\n]"), -1)
     last = F.when(F.col("_a").rlike(r"\p{IsLatin}\z"), F.regexp_extract("_a", r"(\p{L}+[\s']\p{L}+)\z", 1)).otherwise(F.regexp_extract("_a", r"(.{4})\z", 1))
     opened = [F.regexp_count("_a", F.lit(a)) > F.regexp_count("_a", F.lit(b)) for a, b in (("《", "》"), ("“", "”"), (r"\(", r"\)"), ("【", "】"))]
-    promised = F.regexp_extract("_a", r"(?:有|共|共计|分为|分|以下|如下|列)([一二两三四五六七八九十]|\d{1,2})(?:大|个|条)?(?:点|项|步|条|方面|种情形|步骤|要点|部分|理由)[^。!?;\n]{0,6}:", 1)
+    promised = F.regexp_extract("_a", ANNOUNCED, 1)
     number = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for p in NUMBERS.items() for x in p]), promised), F.expr("try_cast(_promised as int)"))
     found = left.withColumn("_promised", promised).withColumn("_n", number)
     names = F.array(*[F.lit(x) for x in "一二三四五六七八九十"])
@@ -179,10 +186,11 @@ def broken_pairs(rows: DataFrame, key: str = "case_id", question: str = "questio
         F.col("_a").rlike(TERMINAL).alias("_ended"),
     )
     bare = marked.where("NOT _sure AND NOT _ended")
-    ends = left.select(F.explode(F.concat(F.regexp_extract_all("_a", F.lit(ENDS_CJK), F.lit(1)), F.regexp_extract_all("_a", F.lit(ENDS_LATIN), F.lit(1)))).alias("_last")).groupBy("_last").agg(F.count(F.lit(1)).alias("_times")).where("_times > 1")
-    total = left.agg(F.count(F.lit(1)).alias("_total"))
+    parts = base.select(F.split("_a", r"[。!?;.]\s*").alias("_s")).select(F.explode(F.slice("_s", 1, F.greatest(F.size("_s") - 1, F.lit(0)))).alias("_s"))
+    ending = F.when(F.col("_s").rlike(r"[A-Za-z]\z"), F.regexp_extract(F.expr("right(_s, 40)"), r"(\p{L}+[\s']\p{L}+)\z", 1)).otherwise(F.expr("right(_s, 4)"))
+    ends = parts.groupBy(ending.alias("_last")).agg(F.count(F.lit(1)).alias("_times")).where("_times > 1")
     closings = bare.groupBy("_tail").agg(F.count(F.lit(1)).alias("_same"))
-    limit = max(CLOSING_ROWS, int(CLOSING_SHARE * total.first()[0]))
+    limit = max(CLOSING_ROWS, int(CLOSING_SHARE * kinds.count()))
     usual = closings.where(F.col("_same") >= limit).select("_tail", F.lit(True).alias("_usual"))
     open_ends = bare.join(usual, "_tail", "left").where("_usual IS NULL").join(ends, "_last", "left")
     stopped = open_ends.where("_times IS NULL").select("_key")
@@ -193,9 +201,9 @@ def broken_pairs(rows: DataFrame, key: str = "case_id", question: str = "questio
     spikes = lengths.withColumn("_s", (F.sum("_c").over(around) - F.col("_c")) / 20).where((F.col("_c") >= SPIKE_ROWS) & (F.col("_c") > SPIKE_TIMES * F.col("_s"))).select("_len")
     limited = open_ends.join(spikes, "_len").select("_key")
 
-    shortened = open_ends.select("_key", "_a").join(_shortened(left.select("_a").distinct()), "_a").select("_key")
+    shortened = open_ends.select("_key", "_a").join(_shortened(base.select("_a").distinct()), "_a").select("_key")
     truncated = marked.where("_sure").select("_key").union(stopped).union(limited).union(shortened).distinct()
-    out = base.where("_kind IS NOT NULL").select("_key", "_kind").union(truncated.select("_key", F.lit("truncated")))
+    out = kinds.where("_kind <> ''").select("_key", "_kind").union(truncated.select("_key", F.lit("truncated")))
     return out.select(F.col("_key").alias(key), F.col("_kind").alias("defect"))
 
 
