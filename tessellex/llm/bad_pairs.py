@@ -164,7 +164,8 @@ def broken_pairs(rows: DataFrame, key: str = "case_id", question: str = "questio
     # Refusals: nothing is left without phrases that decline and courtesies, and something declines.
     low = F.lower(F.col("_a"))
     rest = _letters(F.regexp_replace(F.regexp_replace(low, REFUSAL, " "), "|".join(sorted(COURTESY, key=len, reverse=True)), " "))
-    refusal = F.when(F.length("_a") > 400, False).when(~low.rlike(DECLINES), False).otherwise(low.rlike(REFUSAL) & (F.length(rest) <= 3))
+    opening = rf"\A[\s\p{{P}}]*(?:{'|'.join(sorted(COURTESY, key=len, reverse=True))}|{REFUSAL})"  # fails at once for a real reply
+    refusal = F.when(F.length("_a") > 400, False).when(~low.rlike(opening), False).when(~low.rlike(DECLINES), False).otherwise(low.rlike(REFUSAL) & (F.length(rest) <= 3))
     empty = F.when(F.length("_a") > 24, False).otherwise(_letters(F.col("_a")).isin("", *PLACEHOLDERS))
     kind = F.when(empty, "empty").when(copied, "copied").when(refusal, "refusal").when(F.col("_foreign"), "language").otherwise("")
     kinds = cut(unframed.select("_key", kind.alias("_kind"), F.when(~F.col("_a").rlike(SAFE_END) | F.col("_a").rlike(ANNOUNCED), F.col("_a")).alias("_a")))

@@ -75,15 +75,20 @@ def _same_codes() -> dict[str, str]:
 
 
 SAME = _same_codes()
+COMMON = "，！？：；（）～"
 #: A word of letters, marks and digits that has a combining mark, or a letter of Greek, Cyrillic, Armenian or of LATIN_KIN.
 WORD = r"[\p{L}\p{M}\p{Nd}&&[^一-鿿㐀-䶿\x{20000}-\x{3FFFF}ぁ-ヿ가-힣]]+"
 SUSPECT = r"[̀-ͯͰ-ϿЀ-ԯ԰-֏ɑɡ]"
 
 
 def same_codes(text: Column) -> Column:
-    """Step 1: one code for what always looks the same. Null stays null."""
-    matching = "".join(SAME) + INVISIBLE
-    return F.translate(F.regexp_replace(text, "\r\n?", "\n"), matching, "".join(SAME.values()))
+    """Step 1: one code for what always looks the same. Null stays null.
+
+    Most texts have nothing but ordinary signs and a few full-width marks, for which plain replacement does.
+    """
+    plain = reduce(lambda t, c: F.replace(t, F.lit(c), F.lit(SAME[c])), COMMON, text)
+    full = F.translate(F.regexp_replace(text, "\r\n?", "\n"), "".join(SAME) + INVISIBLE, "".join(SAME.values()))
+    return F.when(text.rlike(rf"\A[\n\x20-\x7E一-鿿。、《》“”‘’…—【】{COMMON}]*+\z"), plain).otherwise(full)
 
 
 _TO_LATIN = str.maketrans(ALIKE)
