@@ -108,7 +108,9 @@ class Model:
         self.bad = np.zeros(n, np.float32)
         weight = np.zeros(n, np.float32)
         for k in range(bad_rows):
-            ids, sims = self._near(rows[k], 0.7 * NEAR)
+            if self.good_docs[k] >= self.bad_docs[k]:  # as common in good documents: of no weight
+                continue
+            ids, sims = self._near(rows[k], 0.8 * NEAR)
             own = len(bad_of[keys[k]])
             power = sims.astype(np.float64) ** 2
             near_bad = np.array([len(set(bad_of[keys[j]]).difference(bad_of[keys[k]])) if self.bad_docs[j] and j != k else 0 for j in ids.tolist()], np.float64)
@@ -120,6 +122,7 @@ class Model:
         of_weight = self.bad[owner] > 0 if n else np.zeros(0, bool)
         np.maximum.at(self.reach, self.term[of_weight], self.value[of_weight])
         self.reach_of = {g: float(self.reach[k] * self.idf[k]) for g, k in self.terms.items() if self.reach[k] > 0}
+        self.square_of = {g: float(self.idf[k]) ** 2 for g, k in self.terms.items()}
         self.steps = [(0.0, 0.0)]
         members = defaultdict(set)
         for k, p in enumerate(keys):
@@ -175,20 +178,23 @@ class Model:
         return self._query
 
     def __getstate__(self) -> dict:
-        return {k: v for k, v in self.__dict__.items() if k not in ("_query", "_seen", "loo", "reach")}
+        return {k: v for k, v in self.__dict__.items() if k not in ("_query", "_seen", "loo", "reach", "square_of")}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__ = state
+        self.square_of = {g: float(self.idf[k]) ** 2 for g, k in self.terms.items()}
 
     def passage(self, units: tuple[str, ...], without: set[int] | None = None) -> float:
         """The vote of a passage's neighbours, 0 to 1; 0 if no bad passage of weight is near."""
-        grams = set(runs(units))
         reach = self.reach_of
-        hit = sum(reach[g] for g in grams if g in reach)
-        if not hit:
+        # A run of three is near a bad passage only if its pairs are, so most passages end here.
+        if not any(a + " " + b in reach for a, b in pairwise(units)) and not any(u in reach for u in units if len(u) > 2):
             return 0.0
-        total = 0.0
-        for g in grams:
-            k = self.terms.get(g)
-            x = self.unseen if k is None else float(self.idf[k])
-            total += x * x
+        grams = set(runs(units))
+        hit = sum(map(reach.get, grams & reach.keys()))
+        square = self.square_of
+        other = self.unseen * self.unseen
+        total = sum([square.get(g, other) for g in grams])
         if hit * hit < NEAR * NEAR * total:  # the bound on the cosine with any bad passage
             return 0.0
         ids, sims = self._near(self._vector(units))
