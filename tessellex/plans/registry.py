@@ -7,7 +7,7 @@ from importlib import import_module
 from pyspark.sql import DataFrame, SparkSession
 
 #: Modules of this package with QUERIES and SQL.
-MODULES: tuple[str, ...] = ()
+MODULES: tuple[str, ...] = ("corpus_queries", "record_queries")
 
 
 def _collect(what: str) -> dict:
@@ -27,4 +27,4 @@ def oracle_sql() -> dict:
 
 def flagship(spark: SparkSession, folder: str) -> DataFrame:
     """The query of the smoke check."""
-    return spark.read.parquet(f"{folder}/documents.parquet").groupBy("source").count()
+    return queries()["flagship"](spark, folder)
