@@ -107,7 +107,7 @@ def rerank(hits: DataFrame, query: Column, content: Column) -> DataFrame:
     matched = F.size(F.filter(runs, lambda r: F.contains(content, r)))
     law = F.when(content.rlike("第.{1,8}条|司法解释|规定"), 1.5).otherwise(1.0)
     year = F.when(content.rlike("20[0-9]{2}"), 1.1).otherwise(1.0)
-    return hits.withColumn("rerank_score", F.round(F.col("score") * (1 + 0.2 * matched) * law * year, 6))
+    return hits.withColumn("rerank_score", F.round(F.col("score") * (1 + 0.2 * matched) * law * year, 4))
 
 
 def hybrid(

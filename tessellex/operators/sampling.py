@@ -60,6 +60,10 @@ def allocation(sizes: dict[str, int], most: int) -> dict[str, int]:
         more = max(0, min(sizes[c] - out[c], int(rest * sizes[c] / total)))
         out[c] += more
         rest -= more
+    for c in sorted(sizes, key=lambda c: (-sizes[c], c)):  # what is still left comes from where there are rows
+        more = min(sizes[c] - out[c], rest)
+        out[c] += more
+        rest -= more
     return out
 
 

@@ -18,27 +18,32 @@ def _qa(s: SparkSession, d: str) -> DataFrame:
     return T(s, d, "contract").select("case_id", F.coalesce("question", F.lit("")).alias("question"), F.coalesce("answer", F.lit("")).alias("answer"), F.lower(F.trim("department")).alias("department"), F.col("difficulty"), "source", "created_at")
 
 
-Q, A = F.col("question"), F.col("answer")
+def Q() -> Column:  # noqa: N802
+    return F.col("question")
+
+
+def A() -> Column:  # noqa: N802
+    return F.col("answer")
 
 
 def quality_filter(s: SparkSession, d: str) -> DataFrame:
-    return _qa(s, d).where(quality.good_pair(Q, A)).select("case_id")
+    return _qa(s, d).where(quality.good_pair(Q(), A())).select("case_id")
 
 
 def difficulty(s: SparkSession, d: str) -> DataFrame:
-    x = _qa(s, d).select("case_id", quality.difficulty(Q, A).alias("score"))
+    x = _qa(s, d).select("case_id", quality.difficulty(Q(), A()).alias("score"))
     return x.withColumn("bucket", quality.bucket(F.col("score")))
 
 
 def category(s: SparkSession, d: str) -> DataFrame:
-    return _qa(s, d).select("case_id", quality.category(F.concat(Q, A)).alias("category"))
+    return _qa(s, d).select("case_id", quality.category(F.concat(Q(), A())).alias("category"))
 
 
 def flagship(s: SparkSession, d: str) -> DataFrame:
-    x = _qa(s, d).withColumn("h", F.sha2(F.regexp_replace(F.lower(F.concat(Q, F.lit(" "), A)), r"[^\p{L}\p{N}]+", ""), 256))
+    x = _qa(s, d).withColumn("h", F.sha2(F.regexp_replace(F.lower(F.concat(Q(), F.lit(" "), A())), r"[^\p{L}\p{N}]+", ""), 256))
     first = x.groupBy("h").agg(F.min("case_id").alias("case_id"))
-    kept = x.join(first.select("case_id"), "case_id", "left_semi").where(quality.good_pair(Q, A))
-    scored = kept.select(quality.category(F.concat(Q, A)).alias("category"), quality.difficulty(Q, A).alias("_s"))
+    kept = x.join(first.select("case_id"), "case_id", "left_semi").where(quality.good_pair(Q(), A()))
+    scored = kept.select(quality.category(F.concat(Q(), A())).alias("category"), quality.difficulty(Q(), A()).alias("_s"))
     return scored.groupBy("category").agg(F.count(F.lit(1)).alias("records"), F.round(F.avg("_s") + 1e-9, 4).alias("mean_difficulty"), F.count_if(F.col("_s") >= 0.6).alias("hard"))
 
 
@@ -52,12 +57,12 @@ def filter_stats(s: SparkSession, d: str) -> DataFrame:
 
 
 def fact_rules(s: SparkSession, d: str) -> DataFrame:
-    x = _qa(s, d).select("case_id", F.explode(quality.fact_issues(Q, A)).alias("i"))
+    x = _qa(s, d).select("case_id", F.explode(quality.fact_issues(Q(), A())).alias("i"))
     return x.select("case_id", F.col("i.rule").alias("rule"), F.col("i.severity").alias("severity"))
 
 
 def answer_flags(s: SparkSession, d: str) -> DataFrame:
-    return _qa(s, d).select("case_id", quality.has_disclaimer(A).alias("disclaimer"), quality.has_overpromise(A).alias("promise"), quality.in_scope(Q).alias("in_scope"), quality.preference_source(A).alias("preference"), quality.complex_enough(F.concat(Q, A), legal.HARD_WORDS).alias("complex_enough"))
+    return _qa(s, d).select("case_id", quality.has_disclaimer(A()).alias("disclaimer"), quality.has_overpromise(A()).alias("promise"), quality.in_scope(Q()).alias("in_scope"), quality.preference_source(A()).alias("preference"), quality.complex_enough(F.concat(Q(), A()), legal.HARD_WORDS).alias("complex_enough"))
 
 
 def stratified_split(s: SparkSession, d: str) -> DataFrame:
@@ -127,22 +132,22 @@ def context_pack(s: SparkSession, d: str) -> DataFrame:
 
 
 def input_filter(s: SparkSession, d: str) -> DataFrame:
-    g = guard.filter_input(Q)
+    g = guard.filter_input(Q())
     return _qa(s, d).select("case_id", g["accepted"].alias("accepted"), g["category"].alias("category"))
 
 
 def intent_route(s: SparkSession, d: str) -> DataFrame:
-    c = guard.check_input(Q)
+    c = guard.check_input(Q())
     return _qa(s, d).withColumn("c", c).select("case_id", "c.intent", "c.confidence", "c.label", "c.emergency", "c.needs_rag", "c.refusal")
 
 
 def moderate(s: SparkSession, d: str) -> DataFrame:
-    x = _qa(s, d).select("case_id", F.explode(guard.moderate(A)).alias("w"))
+    x = _qa(s, d).select("case_id", F.explode(guard.moderate(A())).alias("w"))
     return x.select("case_id", "w.severity", "w.message")
 
 
 def confidence(s: SparkSession, d: str) -> DataFrame:
-    return _qa(s, d).select("case_id", guard.confidence(A).alias("confidence"))
+    return _qa(s, d).select("case_id", guard.confidence(A()).alias("confidence"))
 
 
 def check_output(s: SparkSession, d: str) -> DataFrame:
@@ -150,13 +155,13 @@ def check_output(s: SparkSession, d: str) -> DataFrame:
 
 
 def hallucination_findings(s: SparkSession, d: str) -> DataFrame:
-    x = _qa(s, d).select("case_id", F.explode(guard.findings(A)).alias("f"))
+    x = _qa(s, d).select("case_id", F.explode(guard.findings(A())).alias("f"))
     return x.groupBy("f.subtype", "f.severity").agg(F.count(F.lit(1)).alias("findings"), F.count_distinct("case_id").alias("answers"))
 
 
 def risk_level(s: SparkSession, d: str) -> DataFrame:
-    x = _qa(s, d).withColumn("f", guard.findings(A))
-    return x.select("case_id", guard.risk(F.col("f")).alias("risk"), guard.rate(F.col("f"), A).alias("rate"))
+    x = _qa(s, d).withColumn("f", guard.findings(A()))
+    return x.select("case_id", guard.risk(F.col("f")).alias("risk"), guard.rate(F.col("f"), A()).alias("rate"))
 
 
 def claim_support(s: SparkSession, d: str) -> DataFrame:
@@ -171,15 +176,15 @@ def qa_extract(s: SparkSession, d: str) -> DataFrame:
 
 
 def to_chatml(s: SparkSession, d: str) -> DataFrame:
-    return _qa(s, d).select("case_id", F.sha2(builders.chatml(builders.messages(Q, A)), 256).alias("chatml"), F.length(builders.chatml(builders.messages(Q, A), True)).alias("prompt_chars"))
+    return _qa(s, d).select("case_id", F.sha2(builders.chatml(builders.messages(Q(), A())), 256).alias("chatml"), F.length(builders.chatml(builders.messages(Q(), A()), True)).alias("prompt_chars"))
 
 
 def chat_pairs(s: SparkSession, d: str) -> DataFrame:
-    return _qa(s, d).select("case_id", F.posexplode(builders.share_format(builders.messages(Q, A))).alias("pos", "m")).select("case_id", "pos", F.col("m.from").alias("speaker"), F.length("m.value").alias("chars"))
+    return _qa(s, d).select("case_id", F.posexplode(builders.share_format(builders.messages(Q(), A()))).alias("pos", "m")).select("case_id", "pos", F.col("m.from").alias("speaker"), F.length("m.value").alias("chars"))
 
 
 def rag_prompt(s: SparkSession, d: str) -> DataFrame:
-    return _qa(s, d).select("case_id", F.length(builders.rag_prompt(Q, F.lit(""))).alias("chars"), F.length(builders.after_thinking(F.concat(F.lit("<think>a</think> "), A))).alias("bare"))
+    return _qa(s, d).select("case_id", F.length(builders.rag_prompt(Q(), F.lit(""))).alias("chars"), F.length(builders.after_thinking(F.concat(F.lit("<think>a</think> "), A()))).alias("bare"))
 
 
 def history_window(s: SparkSession, d: str) -> DataFrame:
@@ -188,25 +193,25 @@ def history_window(s: SparkSession, d: str) -> DataFrame:
 
 
 def chain_of_thought(s: SparkSession, d: str) -> DataFrame:
-    return _qa(s, d).select("case_id", builders.chain_of_thought(Q, A).alias("text"))
+    return _qa(s, d).select("case_id", builders.chain_of_thought(Q(), A()).alias("text"))
 
 
 def loss_mask(s: SparkSession, d: str) -> DataFrame:
     def ids(c: Column) -> Column:
         return F.transform(F.filter(F.split(c, ""), lambda x: x != ""), F.ascii)
 
-    x = _qa(s, d).select("case_id", builders.loss_mask(ids(Q), ids(A), 256).alias("m"))
+    x = _qa(s, d).select("case_id", builders.loss_mask(ids(Q()), ids(A()), 256).alias("m"))
     return x.select("case_id", F.size("m.input_ids").alias("n"), F.size(F.filter("m.labels", lambda v: v == -100)).alias("masked"), F.size("m.labels").alias("labels"))
 
 
 def dpo_pairs(s: SparkSession, d: str) -> DataFrame:
     rows, names = statutes.statute_index(T(s, d, "laws"))
-    x = _qa(s, d).withColumn("law", F.try_element_at(citations(A), F.lit(1))["law"]).join(statutes.resolve_names(_qa(s, d).select(F.try_element_at(citations(A), F.lit(1))["law"].alias("law")), names), "law", "left")
+    x = _qa(s, d).withColumn("law", F.try_element_at(citations(A()), F.lit(1))["law"]).join(statutes.resolve_names(_qa(s, d).select(F.try_element_at(citations(A()), F.lit(1))["law"].alias("law")), names), "law", "left")
     return builders.preference_pairs(x, rows, names)
 
 
 def safedpo_transform(s: SparkSession, d: str) -> DataFrame:
-    x = _qa(s, d).select("case_id", F.lit("plain").alias("type"), F.when(F.col("case_id") % 3 == 0, builders.perturb_promise(A)).otherwise(A).alias("chosen"), F.when(F.col("case_id") % 2 == 0, builders.perturb_promise(A)).otherwise(A).alias("rejected"))
+    x = _qa(s, d).select("case_id", F.lit("plain").alias("type"), F.when(F.col("case_id") % 3 == 0, builders.perturb_promise(A())).otherwise(A()).alias("chosen"), F.when(F.col("case_id") % 2 == 0, builders.perturb_promise(A())).otherwise(A()).alias("rejected"))
     return builders.safe_preferences(builders.safety_labels(x)).groupBy("action").agg(F.count(F.lit(1)).alias("pairs"), F.sum("rejected_safety").alias("unsafe"))
 
 
@@ -216,7 +221,7 @@ def raft_records(s: SparkSession, d: str) -> DataFrame:
 
 
 def rewards(s: SparkSession, d: str) -> DataFrame:
-    return _qa(s, d).select("case_id", metrics.reward(A).alias("reward"))
+    return _qa(s, d).select("case_id", metrics.reward(A()).alias("reward"))
 
 
 def lcs_rouge(s: SparkSession, d: str) -> DataFrame:
@@ -224,11 +229,11 @@ def lcs_rouge(s: SparkSession, d: str) -> DataFrame:
 
 
 def term_coverage(s: SparkSession, d: str) -> DataFrame:
-    return _qa(s, d).select("case_id", metrics.term_coverage(Q, A).alias("coverage"))
+    return _qa(s, d).select("case_id", metrics.term_coverage(Q(), A()).alias("coverage"))
 
 
 def keypoint_coverage(s: SparkSession, d: str) -> DataFrame:
-    return _qa(s, d).select("case_id", F.round(metrics.key_point_coverage(F.split(Q, "，"), A), 6).alias("coverage"), metrics.judge(A)["overall"].alias("judge"))
+    return _qa(s, d).select("case_id", F.round(metrics.key_point_coverage(F.split(Q(), "，"), A()), 6).alias("coverage"), metrics.judge(A())["overall"].alias("judge"))
 
 
 def eval_rollup(s: SparkSession, d: str) -> DataFrame:
@@ -236,7 +241,7 @@ def eval_rollup(s: SparkSession, d: str) -> DataFrame:
 
 
 def compare_rollup(s: SparkSession, d: str) -> DataFrame:
-    x = _qa(s, d).select("department", metrics.term_coverage(Q, A).alias("t"), metrics.length_reward(A).alias("b"))
+    x = _qa(s, d).select("department", metrics.term_coverage(Q(), A()).alias("t"), metrics.length_reward(A()).alias("b"))
     return metrics.comparison_rollup(x, "department", "b", "t")
 
 
@@ -323,7 +328,7 @@ SQL = {
     "bm25_stats": _BM + " SELECT term, any_value(df) AS df, sum(tf)::BIGINT AS tf FROM tf JOIN df USING (term) GROUP BY term",
     "bm25_topk": _BM + " SELECT query_id, chunk_id, score, rank FROM top",
     "dense_topk": "WITH q AS (SELECT vec_id AS query_id, embedding AS v FROM embeddings WHERE vec_id % 20 = 0) SELECT query_id, vec_id, round(1 / (1 + list_distance(v::DOUBLE[], embedding::DOUBLE[])), 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(1 / (1 + list_distance(v::DOUBLE[], embedding::DOUBLE[])), 6) DESC, vec_id)::INTEGER AS rank FROM q, embeddings QUALIFY rank <= 5",
-    "heuristic_rerank": _BM + """ SELECT query_id, chunk_id, round(score * (1 + 0.2::DOUBLE * len(list_filter(list_distinct(regexp_extract_all(question, '[一-鿿]{2,}')), lambda r: contains(content, r)))) * CASE WHEN regexp_matches(content, '第.{1,8}条|司法解释|规定') THEN 1.5::DOUBLE ELSE 1 END * CASE WHEN regexp_matches(content, '20[0-9]{2}') THEN 1.1::DOUBLE ELSE 1 END, 6) AS rerank_score
+    "heuristic_rerank": _BM + """ SELECT query_id, chunk_id, round(score * (1 + 0.2::DOUBLE * len(list_filter(list_distinct(regexp_extract_all(question, '[一-鿿]{2,}')), lambda r: contains(content, r)))) * CASE WHEN regexp_matches(content, '第.{1,8}条|司法解释|规定') THEN 1.5::DOUBLE ELSE 1 END * CASE WHEN regexp_matches(content, '20[0-9]{2}') THEN 1.1::DOUBLE ELSE 1 END, 4) AS rerank_score
         FROM top JOIN contract ON case_id = query_id JOIN chunks USING (chunk_id)""",
     "input_filter": f"{_QA}, g AS (SELECT case_id, CASE WHEN regexp_matches(question, '{'|'.join(legal.DANGER)}') THEN 'abusive' WHEN regexp_matches(question, '{'|'.join(legal.OUT_OF_SCOPE)}') THEN 'off_topic' WHEN {_like('question', legal.IN_SCOPE)} THEN 'in_scope' ELSE 'off_topic' END AS category FROM qa) SELECT case_id, category = 'in_scope' AS accepted, category FROM g",
     "confidence": f"{_QA} SELECT case_id, round(0.15::DOUBLE + 0.2::DOUBLE + CASE WHEN {_R('<分析>', '**', '🔴')} THEN 0.1::DOUBLE ELSE 0 END + CASE WHEN length(answer) > 100 THEN 0.05::DOUBLE ELSE 0 END + CASE WHEN regexp_matches(answer, '{legal.FACT_FORMAT}') THEN 0.1::DOUBLE ELSE 0 END + CASE WHEN length(answer) BETWEEN 150 AND 1000 THEN 0.1::DOUBLE ELSE 0 END, 6) AS confidence FROM qa",
