@@ -122,7 +122,7 @@ class Model:
         of_weight = self.bad[owner] > 0 if n else np.zeros(0, bool)
         np.maximum.at(self.reach, self.term[of_weight], self.value[of_weight])
         self.reach_of = {g: float(self.reach[k] * self.idf[k]) for g, k in self.terms.items() if self.reach[k] > 0}
-        self.square_of = {g: float(self.idf[k]) ** 2 for g, k in self.terms.items()}
+        self._facts()
         self.steps = [(0.0, 0.0)]
         members = defaultdict(set)
         for k, p in enumerate(keys):
@@ -178,17 +178,40 @@ class Model:
         return self._query
 
     def __getstate__(self) -> dict:
-        return {k: v for k, v in self.__dict__.items() if k not in ("_query", "_seen", "loo", "reach", "square_of")}
+        return {k: v for k, v in self.__dict__.items() if k not in ("_query", "_seen", "loo", "reach", "square_of", "pair_facts")}
 
     def __setstate__(self, state: dict) -> None:
         self.__dict__ = state
+        self._facts()
+
+    def _facts(self) -> None:
+        """What the bounds look up: squares of weights, and for pairs the most that they and runs of three from them add."""
         self.square_of = {g: float(self.idf[k]) ** 2 for g, k in self.terms.items()}
+        self.no_fact = (0.0, self.unseen * self.unseen)
+        most: dict[str, float] = defaultdict(float)
+        for g, x in self.reach_of.items():
+            if g.count(" ") == 2:
+                pair = g.rsplit(" ", 1)[0]
+                most[pair] = max(most[pair], x)
+        self.pair_facts = {g: (self.reach_of.get(g, 0.0) + most.get(g, 0.0), x) for g, x in self.square_of.items() if g.count(" ") == 1}
 
     def passage(self, units: tuple[str, ...], without: set[int] | None = None) -> float:
         """The vote of a passage's neighbours, 0 to 1; 0 if no bad passage of weight is near."""
+        # A first bound from pairs alone: a run of three weighs no less than the pair it begins with, and adds at
+        # most what the best of those that begin so adds.
+        pairs = [a + " " + b for a, b in pairwise(units)]
+        facts, hit, total, last = self.pair_facts, 0.0, 0.0, 0.0
+        for p in set(pairs):
+            most, square = facts.get(p, self.no_fact)
+            hit += most
+            total += square
+        if pairs:
+            last = facts.get(pairs[-1], self.no_fact)[1]
         reach = self.reach_of
-        # A run of three is near a bad passage only if its pairs are, so most passages end here.
-        if not any(a + " " + b in reach for a, b in pairwise(units)) and not any(u in reach for u in units if len(u) > 2):
+        for u in units:
+            if len(u) > 2:
+                hit += reach.get(u, 0.0)
+        if not hit or hit * hit < NEAR * NEAR * (2 * total - last):
             return 0.0
         grams = set(runs(units))
         hit = sum(map(reach.get, grams & reach.keys()))
