@@ -10,7 +10,7 @@ the least similarity that counts are passed over without changing any result.
 Labels belong to whole documents, so most passages of a bad document are harmless. Each passage of a
 bad document therefore carries only the weight that its own neighbours give it: how much nearer it is to
 passages of other bad documents than to those of good ones, a passage in several counting for each. The document's raw score is its worst
-passage's; isotonic regression on the labelled documents, each scored without its own passages,
+passage's; isotonic regression on the labelled documents, each scored without passages of its own alone,
 turns raw scores into shares of bad documents.
 """
 
@@ -25,11 +25,11 @@ from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from .one_form import ALIKE, same_codes
+from .one_form import latin_look, same_codes
 
 #: The model is fitted on at most so many labelled documents (by hash order if there are more).
 MAX_LABELLED = 20_000
@@ -126,8 +126,8 @@ class Model:
         self.steps = [(0.0, 0.0)]
         members = defaultdict(set)
         for k, p in enumerate(keys):
-            for d in where[p]:
-                members[d].add(k)
+            if len(where[p]) == 1:  # others' copies of a passage speak for themselves
+                members[where[p][0]].add(k)
         raw = [(self.raw(text, members[d])[0], int(y)) for d, (text, y) in enumerate(documents)]
         self.loo = raw
         self.steps = isotonic(raw)
@@ -276,9 +276,9 @@ def isotonic(scored: list[tuple[float, int]]) -> list[tuple[float, float]]:
     return out or [(0.0, 0.0)]
 
 
-def one_line(text: Column) -> Column:
-    """Lower case, in one code for look-alikes, without markup."""
-    return F.lower(F.translate(same_codes(text), "".join(ALIKE), "".join(ALIKE.values())))
+def one_line(rows: DataFrame, column: str, name: str) -> DataFrame:
+    """Adds the column in lower case and one code for look-alikes; in two steps, as the second looks at its input twice."""
+    return rows.withColumn("_c1", same_codes(F.col(column))).withColumn(name, F.lower(latin_look(F.col("_c1")))).drop("_c1")
 
 
 def fit(documents: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text") -> Model:
@@ -288,9 +288,9 @@ def fit(documents: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
     Null labels and labels of unknown documents are left out, as are null texts.
     """
     votes = labels.where("label IN (0, 1)").groupBy(F.col(key).alias("_id")).agg(F.avg("label").alias("_y")).where("_y <> 0.5")
-    known = documents.select(F.col(key).alias("_id"), one_line(F.col(text)).alias("_t")).where("_t IS NOT NULL").join(votes, "_id")
+    known = documents.select(F.col(key).alias("_id"), F.col(text).alias("_raw")).where("_raw IS NOT NULL").join(votes, "_id")
     picked = known.orderBy(F.xxhash64("_id"), "_id").limit(MAX_LABELLED)
-    rows = picked.select("_t", (F.col("_y") > 0.5).cast("int").alias("_y")).collect()
+    rows = one_line(picked, "_raw", "_t").select("_t", (F.col("_y") > 0.5).cast("int").alias("_y")).collect()
     if sum(len(r["_t"]) for r in rows) > MAX_LABELLED_CHARS:
         raise ValueError("the labelled texts are too long for the driver")
     return Model([(r["_t"], r["_y"]) for r in rows])
@@ -314,7 +314,7 @@ def score(documents: DataFrame, model: Model, key: str = "doc_id", text: str = "
             scores, evidence = pa.array([at.calibrated(x) for x, _ in found], pa.float64()), pa.array([e for _, e in found], pa.string())
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(own)], scores, evidence], [*own, "score", "evidence"])
 
-    return documents.select(*own, one_line(F.col(text)).alias("_t")).mapInArrow(run, schema)
+    return one_line(documents.select(*own, F.col(text).alias("_raw")), "_raw", "_t").select(*own, "_t").mapInArrow(run, schema)
 
 
 _models: dict = {}

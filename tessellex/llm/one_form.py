@@ -91,6 +91,11 @@ def same_codes(text: Column) -> Column:
     return F.when(text.rlike(rf"\A[\n\x20-\x7E一-鿿。、《》“”‘’…—【】{COMMON}]*+\z"), plain).otherwise(full)
 
 
+def latin_look(text: Column) -> Column:
+    """Every letter that looks like a Latin one as that one, for keys and features; few texts have any."""
+    return F.when(text.rlike("[" + "".join(ALIKE) + "]"), F.translate(text, "".join(ALIKE), "".join(ALIKE.values()))).otherwise(text)
+
+
 _TO_LATIN = str.maketrans(ALIKE)
 _FROM_LATIN = {"Cyrillic": str.maketrans({b: a for a, b in CYRILLIC.items()}), "Greek": str.maketrans({b: a for a, b in GREEK.items()})}
 
