@@ -222,3 +222,21 @@ SQL = {
         m AS (SELECT law_id, k, min(('0x' || substr(md5(k || ':' || g), 1, 8))::BIGINT) AS v FROM g, range(16) r(k) GROUP BY law_id, k)
         SELECT l.law_id, CASE WHEN count(m.k) = 0 THEN array_to_string(list_resize([0], 16, 0), ',') ELSE string_agg(v::VARCHAR, ',' ORDER BY k) END AS sig FROM laws l LEFT JOIN m USING (law_id) GROUP BY l.law_id""",
 }
+
+
+def _digit(size: int, sign: str) -> str:
+    d = f"(n // {size} % 10)"
+    one = "'十'" if sign == "十" else "'一' || '" + sign + "'"
+    return f"CASE {d} WHEN 0 THEN '' WHEN 1 THEN {one} ELSE substr('一二三四五六七八九', {d}::INTEGER, 1) || '{sign}' END"
+
+
+_CHUNK_CITED = _CITED.replace("FROM contract WHERE", "FROM (SELECT chunk_id AS case_id, content AS answer FROM chunks) WHERE")
+SQL |= {
+    "cn_numeral": f"SELECT p_partkey, CASE WHEN n = 0 THEN '零' ELSE {_digit(1000, '千')} || {_digit(100, '百')} || {_digit(10, '十')} || CASE n % 10 WHEN 0 THEN '' ELSE substr('一二三四五六七八九', (n % 10)::INTEGER, 1) END END AS numeral, n::INTEGER AS number FROM (SELECT p_partkey, p_partkey % 10000 AS n FROM part)",
+    "check_citations": _CHECKED + " SELECT case_id, (row_number() OVER (PARTITION BY case_id ORDER BY p) - 1)::INTEGER AS pos, law, article, nullif(para, -1) AS para, title, title IS NOT NULL AS name_matched, ok AS article_exists, round(score, 6) AS content_score, coalesce(score >= 0.5, false) AS valid FROM checked",
+    "available_citations": _CHUNK_CITED + ", names AS (SELECT DISTINCT case_id, '《' || law || '》第' || article || '条' AS s FROM cited) SELECT c.chunk_id, coalesce(string_agg(s, '|' ORDER BY s), '') AS citations FROM chunks c LEFT JOIN names n ON n.case_id = c.chunk_id GROUP BY c.chunk_id",
+    "token_counts": rf"""
+        WITH t AS (SELECT chunk_id, coalesce(content, '') AS c, regexp_replace(coalesce(content, ''), '[^一-鿿]+', '', 'g') AS han FROM chunks)
+        SELECT chunk_id, (greatest(length(han) - 1, 0) + len(regexp_extract_all(c, '[一-鿿]{{2,6}}')) + len(regexp_extract_all(c, '[a-zA-Z0-9]+(?:\.[a-zA-Z0-9]+)*')))::INTEGER AS n_tokens,
+               len(list_filter(regexp_extract_all(c, '[^。！？；.!?;\n]*[。！？；.!?;\n]|[^。！？；.!?;\n]+'), lambda x: {_STRIP.format("x")} <> ''))::INTEGER AS n_sentences FROM t""",
+}

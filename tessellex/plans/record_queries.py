@@ -343,3 +343,27 @@ SQL = {
     "intent_route": f"{_QA}, g AS (SELECT case_id, question, CASE " + " ".join(f"WHEN regexp_matches(question, '{p}') THEN '{n}'" for _, _, n, p in _RULES) + " ELSE 'off_topic' END AS intent, CASE " + " ".join(f"WHEN regexp_matches(question, '{p}') THEN {c}::DOUBLE" for c, _, _, p in _RULES)
     + f" ELSE 0.0::DOUBLE END AS confidence FROM qa) SELECT case_id, intent, confidence, CASE intent {' '.join(f'WHEN {k!r} THEN {v!r}' for k, v in legal.INTENT_LABELS.items())} ELSE intent END AS label, regexp_matches(question, '{'|'.join(legal.EMERGENCY)}') AS emergency, NOT regexp_matches(question, '{'|'.join(legal.DANGER + legal.OUT_OF_SCOPE)}') AND {_like('question', legal.IN_SCOPE)} AND intent <> 'off_topic' AS needs_rag, intent = 'criminal' AS refusal FROM g",
 }
+
+
+def _near(sign: str, name: str) -> str:
+    d = f"round(1 / (1 + list_distance(list_transform(q.embedding, lambda x: {sign}x::DOUBLE), e.embedding::DOUBLE[])), 6)"
+    return f"{name} AS (SELECT q.vec_id AS query_id, e.vec_id, row_number() OVER (PARTITION BY q.vec_id ORDER BY {d} DESC, e.vec_id) AS r FROM embeddings q, embeddings e WHERE q.vec_id % 20 = 0 QUALIFY r <= 10)"
+
+
+_HEAD_CITED = _CITED_TAIL.replace("FROM contract WHERE", "FROM (SELECT case_id, substr(answer, 1, 200) AS answer FROM contract) WHERE").replace("raw AS", "raw_h AS").replace("FROM raw)", "FROM raw_h)").replace("one AS", "one_h AS").replace("FROM one)", "FROM one_h)").replace("parts AS", "parts_h AS").replace("FROM parts ", "FROM parts_h ").replace("cited AS", "cited_h AS")
+_EXPANDED = "contract WHERE case_id % 20 = 0 AND question IS NOT NULL"
+SQL |= {
+    "qa_extract": f"SELECT case_id, CASE WHEN question <> '' AND answer <> '' THEN sha256({_TRIM.format('question')}) END AS q, CASE WHEN question <> '' AND answer <> '' THEN sha256({_TRIM.format('answer')}) END AS a FROM contract",
+    "rag_prompt": f"{_QA} SELECT case_id, length('【参考资料】' || chr(10) || '（未检索到相关资料）' || chr(10) || chr(10) || '【问题】' || chr(10) || question)::INTEGER AS chars, length({_TRIM.format('answer')})::INTEGER AS bare FROM qa",
+    "rrf_fusion": f"""WITH {_near('-', 'a')}, {_near('', 'b')}, u AS (SELECT query_id, vec_id, r, 0 AS f, 0.5::DOUBLE AS w FROM a UNION ALL SELECT query_id, vec_id, r, 1, 1.0::DOUBLE FROM b),
+        g AS (SELECT query_id, vec_id, round(sum(w / (60 + r)), 9) AS score, min(f * 1000000 + r) AS o, CASE WHEN min(f) <> max(f) THEN 'hybrid' WHEN min(f) = 0 THEN 'bm25' ELSE 'dense' END AS method FROM u GROUP BY ALL)
+        SELECT query_id, vec_id, score, method, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, o)::INTEGER AS rank FROM g QUALIFY rank <= 8""",
+    "hybrid_topk": _BM.replace(_EXPANDED, f"(SELECT case_id, e AS question FROM ({_steps()}))") + " SELECT query_id, chunk_id, score, rank, 'bm25' AS method FROM top",
+    "eval_rollup": f"""{_QA}, {_CITED_TAIL}, {_HEAD_CITED}, n AS (SELECT case_id, count(*) AS c FROM cited GROUP BY case_id),
+        x AS (SELECT department AS grp, (case_id NOT IN (SELECT case_id FROM cited_h) AND {_like('substr(answer, 1, 200)', ('无法', '抱歉', '不能提供', '建议咨询', '超出'))})::INTEGER AS r, coalesce(c, 0) AS c, {_DISC}::INTEGER AS d, regexp_matches(answer, '{_OVER}')::INTEGER AS o FROM qa LEFT JOIN n USING (case_id))
+        SELECT grp, grouping(grp)::INTEGER AS is_total, count(*) AS answers, round(avg(r), 4) AS refusal_rate, round(avg((c > 0)::INTEGER), 4) AS cited_rate, round(avg(c), 4) AS density, round(avg(d), 4) AS disclaimer_rate, round(avg(o), 4) AS promise_rate FROM x GROUP BY ROLLUP (grp)""",
+    "compare_rollup": f"""{_QA}, m AS (SELECT *, list_filter({list(metrics.TERMS)}, lambda x: contains(question, x)) AS k FROM qa),
+        x AS (SELECT department, CASE WHEN len(k) = 0 THEN 1.0::DOUBLE ELSE round(len(list_filter(k, lambda z: contains(answer, z)))::DOUBLE / len(k), 6) END AS t,
+                     CASE WHEN length(answer) < 50 THEN 0 WHEN length(answer) < 200 THEN 0.5 WHEN length(answer) <= 800 THEN 1 WHEN length(answer) <= 1500 THEN 0.7 ELSE 0.4 END::DOUBLE AS b FROM m)
+        SELECT department, count(*) AS pairs, round(avg(nullif(b, 0)), 4) AS base_mean, round(avg(nullif(t, 0)), 4) AS tuned_mean, count_if(t - b > 0.01::DOUBLE) AS wins, count_if(t - b < -0.01::DOUBLE) AS losses, count_if(abs(t - b) <= 0.01::DOUBLE) AS ties, round(avg((t - b > 0.01::DOUBLE)::INTEGER), 4) AS win_rate FROM x GROUP BY department""",
+}
