@@ -56,7 +56,7 @@ FUNCTION_WORDS = {
     "it": "il lo gli che per con una del non di al deve può quando se e o come un è le la",
     "pt": "o os as que para por com uma do não em ao deve pode quando se e ou como um é da",
 }
-MARKUP = r"(?i)</?(?:p|br|div|span|li|ul|ol|b|i|strong|em)\b[^>]{0,80}>|&nbsp;"
+MARKUP = r"</?[A-Za-zА-я][^<>\n]{0,80}>|&nbsp;"
 ANNOUNCED = r"(?:有|共|共计|分为|分|以下|如下|列)([一二两三四五六七八九十]|\d{1,2})(?:大|个|条)?(?:点|项|步|条|方面|种情形|步骤|要点|部分|理由)[^。!?;\n]{0,6}:"
 #: A plain final mark, and no open quote or bracket can be open before it in a text that the next pattern takes.
 SAFE_END = r"\A[^《“(【]*(?:(?:《[^《》]*》|“[^“”]*”|\([^()]*\)|【[^【】]*】)[^《“(【]*)*(?<=[。!?.~)])\z"
@@ -81,18 +81,31 @@ def language_of(name: str) -> Column:
     """
     text = F.col(name)
     bare = F.regexp_replace(F.lower(text), r"《[^》]*》|“[^”]*”|「[^」]*」|\"[^\"]*\"|（[^）]*）|\([^)]*\)", " ")
-    han, kana, hangul = (F.regexp_count(bare, F.lit(p)) for p in (r"\p{IsHan}", r"[ぁ-ヿ]", r"[가-힣]"))
-    cyrillic, arabic, latin, greek = (F.regexp_count(bare, F.lit(p)) for p in (r"\p{IsCyrillic}+", r"[\p{IsArabic}\p{IsHebrew}\p{IsThai}\p{IsDevanagari}]+", r"\p{IsLatin}{2,}", r"\p{IsGreek}+"))
-    east = (han + kana) / 2
-    words = F.array(*[F.struct(F.regexp_count(bare, F.lit(rf"(?<!\p{{L}})(?:{'|'.join(w.split())})(?!\p{{L}})")).alias("n"), F.lit(k).alias("k")) for k, w in FUNCTION_WORDS.items()])
-    best = F.array_max(words)
-    western = F.when(latin >= 4, F.when(best["n"] >= 2, best["k"]).otherwise("latin"))
-    top = F.greatest(east, hangul / 2, cyrillic, arabic, latin, greek)
-    mostly = (F.octet_length(text) > 2.3 * F.length(text)) & (F.length(text) >= 12) & ~text.rlike(r"[ぁ-ヿ가-힣ऀ-๿]")
-    return (
-        F.when(mostly, "zh").when(top < 2, None).when(east == top, F.when(kana * 4 > han, "ja").otherwise("zh")).when(hangul / 2 == top, "ko")
-        .when(cyrillic == top, "cyrillic").when(arabic == top, "other").when(greek == top, "greek").otherwise(western)
-    )
+
+    def once(value: Column, use) -> Column:
+        """``use`` of a value that is made a single time, however often it is used."""
+        return F.element_at(F.transform(F.array(value), use), 1)
+
+    def western(t: Column) -> Column:
+        words = F.array(*[F.struct(F.regexp_count(t, F.lit(rf"(?<!\p{{L}})(?:{'|'.join(w.split())})(?!\p{{L}})")).alias("n"), F.lit(k).alias("k")) for k, w in FUNCTION_WORDS.items()])
+        return once(F.array_max(words), lambda w: F.when(w["n"] >= 2, w["k"]).otherwise("latin"))
+
+    def counted(t: Column) -> Column:
+        patterns = {"han": r"\p{IsHan}", "kana": r"[ぁ-ヿ]", "hangul": r"[가-힣]", "cyrillic": r"\p{IsCyrillic}+", "other": r"[\p{IsArabic}\p{IsHebrew}\p{IsThai}\p{IsDevanagari}]+", "latin": r"\p{IsLatin}{2,}", "greek": r"\p{IsGreek}+"}
+        counts = F.struct(*[F.regexp_count(t, F.lit(p)).alias(n) for n, p in patterns.items()])
+
+        def decide(c: Column) -> Column:
+            east = (c["han"] + c["kana"]) / 2
+            top = F.greatest(east, c["hangul"] / 2, c["cyrillic"], c["other"], c["latin"], c["greek"])
+            return (
+                F.when(top < 2, None).when(east == top, F.when(c["kana"] * 4 > c["han"], "ja").otherwise("zh")).when(c["hangul"] / 2 == top, "ko")
+                .when(c["cyrillic"] == top, "cyrillic").when(c["other"] == top, "other").when(c["greek"] == top, "greek").when(c["latin"] >= 4, western(t))
+            )
+
+        return once(counts, decide)
+
+    mostly = (F.octet_length(text) > 1.9 * F.length(text)) & (F.length(text) >= 12) & ~text.rlike(r"[ぁ-ヿ가-힣Ͱ-῿]")
+    return F.when(mostly, "zh").otherwise(once(bare, counted))
 
 
 def _grams(text: Column, n: int = 4) -> Column:
@@ -173,9 +186,10 @@ def broken_pairs(rows: DataFrame, key: str = "case_id", question: str = "questio
     # Truncation, for what is not defective otherwise.
     # Only answers without a plain final mark, or with an announced count, need a closer look; of the others no text is kept.
     left = kinds.where("_kind = '' AND _a IS NOT NULL")
-    tail = F.element_at(F.split("_a", r"[。!?;\n]"), -1)
+    left = left.withColumn("_tail", F.element_at(F.split("_a", r"[。!?;\n]"), -1))
+    tail = F.col("_tail")
     last = F.when(F.col("_a").rlike(r"\p{IsLatin}\z"), F.regexp_extract("_a", r"(\p{L}+[\s']\p{L}+)\z", 1)).otherwise(F.regexp_extract("_a", r"(.{4})\z", 1))
-    opened = [F.regexp_count("_a", F.lit(a)) > F.regexp_count("_a", F.lit(b)) for a, b in (("《", "》"), ("“", "”"), (r"\(", r"\)"), ("【", "】"))]
+    opened = [F.regexp_count(tail, F.lit(a)) > F.regexp_count(tail, F.lit(b)) for a, b in (("《", "》"), ("“", "”"), (r"\(", r"\)"), ("【", "】"))]
     promised = F.regexp_extract("_a", ANNOUNCED, 1)
     number = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for p in NUMBERS.items() for x in p]), promised), F.expr("try_cast(_promised as int)"))
     found = left.withColumn("_promised", promised).withColumn("_n", number)
