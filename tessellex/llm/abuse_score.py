@@ -122,6 +122,14 @@ class Model:
         of_weight = self.bad[owner] > 0 if n else np.zeros(0, bool)
         np.maximum.at(self.reach, self.term[of_weight], self.value[of_weight])
         self.reach_of = {g: float(self.reach[k] * self.idf[k]) for g, k in self.terms.items() if self.reach[k] > 0}
+        rows_of_weight = np.flatnonzero(self.bad > 0)
+        self.bad_count = len(rows_of_weight)
+        lists: dict[int, tuple[list, list]] = defaultdict(lambda: ([], []))
+        for place, k in enumerate(rows_of_weight.tolist()):
+            for t, x in zip(rows[k][0].tolist(), rows[k][1].tolist()):
+                lists[t][0].append(place)
+                lists[t][1].append(x)
+        self.bad_postings = {t: (np.array(a, np.int32), np.array(b, np.float32)) for t, (a, b) in lists.items()}
         self._facts()
         self.steps = [(0.0, 0.0)]
         members = defaultdict(set)
@@ -172,6 +180,15 @@ class Model:
         query[ids] = 0
         return (np.concatenate(found), np.concatenate(sims)) if found else (np.zeros(0, np.int64), np.zeros(0, np.float32))
 
+    def _near_bad(self, vector: tuple[np.ndarray, np.ndarray]) -> bool:
+        """Whether a bad passage of weight has at least the cosine that counts; from the postings of those alone."""
+        sims = np.zeros(self.bad_count, np.float32)
+        for t, x in zip(vector[0].tolist(), vector[1].tolist()):
+            found = self.bad_postings.get(t)
+            if found is not None:
+                sims[found[0]] += found[1] * np.float32(x)
+        return bool(self.bad_count and sims.max() >= NEAR - 1e-5)
+
     def _scratch(self) -> np.ndarray:
         if getattr(self, "_query", None) is None:
             self._query = np.zeros(len(self.terms), np.float32)
@@ -220,7 +237,10 @@ class Model:
         total = sum([square.get(g, other) for g in grams])
         if hit * hit < NEAR * NEAR * total:  # the bound on the cosine with any bad passage
             return 0.0
-        ids, sims = self._near(self._vector(units))
+        vector = self._vector(units)
+        if not self._near_bad(vector):
+            return 0.0
+        ids, sims = self._near(vector)
         if without:
             kept = np.array([k not in without for k in ids.tolist()], dtype=bool)
             ids, sims = ids[kept], sims[kept]
