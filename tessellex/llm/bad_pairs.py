@@ -195,11 +195,12 @@ def broken_pairs(rows: DataFrame, key: str = "case_id", question: str = "questio
     found = left.withColumn("_promised", promised).withColumn("_n", number)
     names = F.array(*[F.lit(x) for x in "一二三四五六七八九十"])
     there = F.contains("_a", F.concat(F.lit("第"), F.try_element_at(names, F.col("_n")))) | F.rlike("_a", F.concat(F.lit(r"(?:^|[\s:。;(])"), F.col("_n").cast("string"), F.lit(r"[、.)]")))
-    marked = found.select(
+    # Read by each of the findings below.
+    marked = cut(found.select(
         "_key", "_a", tail.alias("_tail"), last.alias("_last"), F.length("_a").alias("_len"),
         (F.col("_a").rlike(OPEN_END) | F.coalesce(~there & (F.col("_n") > 1), F.lit(False)) | reduce(Column.__or__, opened)).alias("_sure"),
         F.col("_a").rlike(TERMINAL).alias("_ended"),
-    )
+    ))
     bare = marked.where("NOT _sure AND NOT _ended")
     parts = base.select(F.split("_a", r"[。!?;.]\s*").alias("_s")).select(F.explode(F.slice("_s", 1, F.greatest(F.size("_s") - 1, F.lit(0)))).alias("_s"))
     ending = F.when(F.col("_s").rlike(r"[A-Za-z]\z"), F.regexp_extract(F.expr("right(_s, 40)"), r"(\p{L}+[\s']\p{L}+)\z", 1)).otherwise(F.expr("right(_s, 4)"))
