@@ -1,17 +1,21 @@
 """Problem 5: records of evaluation splits that the training split has too, exactly or almost.
 
 Question and answer are brought to one canonical form (look-alike codes, case, marks, spaces and markup
-gone) and hashed. Equal hashes of questions join evaluation with training directly. For edited questions
-the hashed units are smaller: all short runs of the canonical question, of which a share is kept by
-hash value alone, the same for all records. Almost equal questions share a good
-part of their units, so an evaluation question need look up only its rarest ones among the training
-questions (a prefix filter): common phrases make no candidates and no pair is lost. Each distinct canonical question is
-looked up once, however many records have it, and each distinct pair of answers under a pair of
-questions is compared once; rows come in only after that.
+gone) and hashed. Equal hashes of questions join evaluation with training directly. Edited questions meet
+in blocks of bounded size, every evaluation block with every training block of lengths that can be almost
+the same: so many runs must be shared by any two texts that the deciding test lets pass, and only pairs
+that share fewer are left out, so no pair is lost. Each distinct canonical question is looked up once,
+however many records have it, and each distinct pair of answers under a pair of questions is compared once;
+rows come in only after that.
 """
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -19,14 +23,14 @@ from pyspark.sql.window import Window
 from ..session import cut, table
 from .one_form import latin_look, same_codes
 
+#: Characters of the training and of the held-out texts in a block.
+KNOWN_CHARS, HELD_CHARS = 4_000_000, 600_000
 #: Characters in a hashed unit of a question, or of one in an alphabet, and the share (one in so many) of units that is kept.
 UNIT, UNIT_OF_LETTERS, KEPT_OF = 10, 20, 4
 #: Texts of up to the second number of characters have units of half the length, those above the first the others.
 SHORT = (32, 48)
 #: Texts of up to so many characters keep all of their units, other short ones half.
 ALL_UNITS = 24
-#: The least share of its units that a question keeps in an almost equal one.
-UNITS_SHARED = 0.55
 #: How many of its rarest units an answer looks up under a linked question.
 LOOKED_UP = 8
 #: Shares of short runs that two questions and two answers have in common to be almost the same.
@@ -83,6 +87,109 @@ def _units(text: str, kept_of: int) -> str:
     return f"array_distinct(concat({small}, {large}))"
 
 
+_SLOTS = 1 << 20
+#: So many runs of the rarest must be shared before all of a pair's are counted.
+_FIRST = 4
+
+
+def _grams(texts: list[str], n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(lengths, repeated runs, starts, slots): the distinct slots of the runs of n characters, text after text."""
+    codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.int64)
+    lengths = np.array([len(t) for t in texts], dtype=np.int64)
+    owner = np.repeat(np.arange(len(texts)), lengths)
+    last = max(len(codes) - n + 1, 0)
+    slot = np.zeros(last, dtype=np.int64)
+    for j in range(n):
+        slot = (slot * 1_000_003 + codes[j : j + last]) & 0xFFFFFFFFFFF
+    slot = (slot ^ (slot >> 20)) % _SLOTS
+    whole = owner[:last] == owner[n - 1 :] if last else np.zeros(0, dtype=bool)
+    packed = np.unique((owner[:last][whole] << 20) | slot[whole])
+    row = packed >> 20
+    counts = np.bincount(row, minlength=len(texts))
+    return lengths, np.maximum(lengths - n + 1, 0) - counts, np.concatenate([[0], np.cumsum(counts)]), packed & (_SLOTS - 1)
+
+
+def sharing(held: list[str], known: list[str], n: int, edits: float | None, share: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
+    """Positions (in held, in known) of all pairs that can be almost the same, and of few others.
+
+    With ``edits`` these are the pairs of an edit distance of at most that share of the longer text: an edit
+    breaks at most n runs of n characters. Else those with ``share`` of the runs of _alike. Slots stand for
+    runs; runs in one slot count as repeated ones, which lowers the bound.
+    """
+    lx, rx, sx, gx = _grams(held, n)
+    ly, _, sy, gy = _grams(known, n)
+    by = np.argsort(gy, kind="stable")
+    rows = np.repeat(np.arange(len(known)), np.diff(sy))[by]
+    starts = np.concatenate([[0], np.cumsum(np.bincount(gy, minlength=_SLOTS))])
+    ny, mark = np.diff(sy), np.zeros(_SLOTS, dtype=bool)
+    out_x, out_y = [], []
+
+    def kept(longest):
+        return longest - n + 1 - n * np.floor(edits * longest + 1e-9).astype(np.int64)
+
+    for i, length in enumerate(lx):
+        mine = gx[sx[i] : sx[i + 1]]
+        if edits is not None:
+            # The bound grows with the longer text, but for steps where one more edit is allowed.
+            least = int(kept(np.arange(length, length + math.ceil(1 / edits) + 1)).min()) - rx[i] if n * edits < 1 else 0
+        else:  # the other text may have fewer runs, down to 0.62 of these; slots may hide shared ones
+            least = math.ceil(share * 0.62 * (len(mine) + rx[i]) * (1 - 1e-9)) - rx[i]
+        if least > 0:
+            first = min(_FIRST, least)
+            often = starts[mine + 1] - starts[mine]
+            rare = mine[np.argsort(often, kind="stable")[: len(mine) - least + first]]
+            met = np.concatenate([rows[starts[g] : starts[g + 1]] for g in rare])
+            near = np.flatnonzero(np.bincount(met, minlength=len(known)) >= first)
+        else:
+            near = np.arange(len(known))
+        longest = np.maximum(ly[near], length)
+        near = near[np.minimum(ly[near], length) >= (1 - edits if edits is not None else 0.5) * longest - 1e-9]
+        if least > 0 and len(near):
+            size = ny[near]
+            at = np.arange(size.sum()) + np.repeat(sy[near] - (np.cumsum(size) - size), size)
+            mark[mine] = True
+            common = np.bincount(np.repeat(np.arange(len(near)), size), weights=mark[gy[at]], minlength=len(near))
+            mark[mine] = False
+            need = kept(np.maximum(ly[near], length)) - rx[i] if edits is not None else least
+            near = near[common >= need]
+        out_x.append(np.full(len(near), i))
+        out_y.append(near)
+    return np.concatenate(out_x or [np.zeros(0, int)]), np.concatenate(out_y or [np.zeros(0, int)])
+
+
+def _blocks(n: int, edits: float | None, share: float = 0.0) -> Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame]:
+    def met(held: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
+        x, y = sharing(held["_t"].tolist(), known["_t"].tolist(), n, edits, share)
+        return pd.DataFrame({"_e": held["_id"].to_numpy()[x], "_k": known["_id"].to_numpy()[y], "_in": held["_in"].to_numpy()[x]})
+
+    return met
+
+
+def _candidates(held: DataFrame, known: DataFrame, n: int, edits: float | None, share: float = 0.0) -> DataFrame:
+    """(_e, _k, _in) of pairs of (_in, _id, _t) that can be almost the same: texts of one ``_in``, of lengths near each other, in blocks."""
+    base = math.log(1 / (1 - edits) + 0.01 if edits is not None else 2.01)
+
+    def split(rows: DataFrame, chars: int, name: str) -> tuple[DataFrame, DataFrame]:
+        sized = rows.where("_t <> ''").withColumn("_class", F.floor(F.log(F.length("_t")) / base))
+        sums = sized.groupBy("_in", "_class").agg(F.ceil(F.sum(F.length("_t")) / chars).alias(f"_{name}n"))
+        return sized, sums
+
+    held, many = split(held, HELD_CHARS, "e")
+    known, more = split(known, KNOWN_CHARS, "k")
+    # Classes that meet, with the numbers of their blocks; every block of one side goes to every block of the other.
+    meet = more.withColumnRenamed("_class", "_kclass").withColumn("_class", F.explode(F.array(F.col("_kclass") - 1, "_kclass", F.col("_kclass") + 1))).join(many, ["_in", "_class"])
+    meet = cut(meet)
+    block = F.concat_ws(":", "_in", "_class", "_kclass", "_eb", "_kb")
+
+    def spread(rows: DataFrame, own: str, other: str) -> DataFrame:
+        classes = meet if own == "e" else meet.withColumnsRenamed({"_class": "_eclass", "_kclass": "_class"})
+        out = rows.join(classes, ["_in", "_class"]).withColumn(f"_{own}b", F.pmod(F.xxhash64("_id"), F.col(f"_{own}n")))
+        out = out.withColumn(f"_{other}b", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(f"_{other}n") - 1)))
+        return (out if own == "e" else out.withColumnsRenamed({"_class": "_kclass", "_eclass": "_class"})).select(block.alias("_b"), *[F.col(c).alias(c) for c in ("_in", "_id", "_t")])
+
+    return spread(held, "e", "k").groupBy("_b").cogroup(spread(known, "k", "e").groupBy("_b")).applyInPandas(_blocks(n, edits, share), "_e bigint, _k bigint, _in bigint")
+
+
 def _alike(a: str, b: str, share: float) -> str:
     """SQL: two canonical texts are almost the same."""
     common = f"size(array_intersect({_runs(a, 4)}, {_runs(b, 4)}))"
@@ -107,17 +214,14 @@ def overlaps(
     asked = cut(asked.select("_key", "_train", "_q", F.xxhash64("_q").alias("_qh")))
     distinct = cut(asked.groupBy("_train", "_qh").agg(F.first("_q").alias("_q")).where("_q <> ''"))
 
-    # The kept units of distinct questions, by side; the training side's are shuffled once, for counts and for the join.
-    units = distinct.select("_train", "_qh", F.explode(F.expr(_units("_q", KEPT_OF))).alias("_h"))
-    theirs = units.where("_train").select("_h", F.col("_qh").alias("_tq")).repartition("_h")
-    mine = units.where("NOT _train").select("_h", F.col("_qh").alias("_eq"))
-    often = theirs.groupBy("_h").agg(F.count(F.lit(1)).alias("_n"), F.max("_tq").alias("_one"))
-    own = Window.partitionBy("_eq")  # units of one question
-    ranked = mine.join(often, "_h", "left").withColumn("_r", F.row_number().over(own.orderBy(F.coalesce("_n", F.lit(0)), "_h"))).withColumn("_l", F.count(F.lit(1)).over(own))
-    # Almost the same questions share at least UNITS_SHARED of the units, so also two of those before that many but two are left.
-    rare = ranked.where((F.col("_r") <= F.floor((1 - UNITS_SHARED) * F.col("_l")) + 2) & F.col("_one").isNotNull()).select("_h", "_eq", "_l")
-    near = rare.join(theirs, "_h").where("_eq <> _tq").groupBy("_eq", "_tq").agg(F.count(F.lit(1)).alias("_c"), F.first("_l").alias("_l"))
-    near = cut(near.where("_c >= 2 OR _l < 4").select("_eq", "_tq"))
+    # Pairs of distinct questions that can be almost the same; those above EDITED characters by their own test.
+    texts = distinct.select("_train", F.lit(0).cast("bigint").alias("_in"), F.col("_qh").alias("_id"), F.col("_q").alias("_t"))
+    short = texts.where(F.length("_t") <= EDITED)
+    near = _candidates(short.where("NOT _train"), short.where("_train"), 2, QUESTION_EDITS)
+    if not texts.where(F.length("_t") > EDITED).isEmpty():
+        long = texts.where(F.length("_t") >= EDITED // 2)
+        near = near.unionByName(_candidates(long.where("NOT _train"), long.where("_train"), 4, None, SAME_QUESTION))
+    near = cut(near.where("_e <> _k").select(F.col("_e").alias("_eq"), F.col("_k").alias("_tq")).distinct())
     text = distinct.select("_qh", "_q").join(near.select(F.col("_eq").alias("_qh")).union(near.select("_tq")).distinct(), "_qh", "left_semi").groupBy("_qh").agg(F.first("_q").alias("_q"))
     near = near.join(text.select(F.col("_qh").alias("_eq"), F.col("_q").alias("_x")), "_eq").join(text.select(F.col("_qh").alias("_tq"), F.col("_q").alias("_y")), "_tq")
     longest = F.greatest(F.length("_x"), F.length("_y"))

@@ -151,6 +151,40 @@ def test_overlaps_hot_question(spark):
     assert {(i, 1000 + i) for i in range(40)} <= pairs
 
 
+def _edited(r, text, edits):
+    for _ in range(edits):
+        i = r.randrange(max(len(text), 1))
+        text = text[:i] + r.choice(["", "换", text[i : i + 1] + "增"]) + text[i + 1 :]
+    return text
+
+
+def test_overlaps_scattered_edits(spark):
+    r = random.Random(5)
+    signs = [chr(0x4E00 + i) for i in range(300)]
+    asked = ["".join(r.choice(signs) for _ in range(60 + i % 40)) for i in range(60)] + ["".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(60 + i % 40)) for i in range(60)]
+    rows = [(i, q, "可以", "train") for i, q in enumerate(asked)] + [(1000 + i, _edited(r, q, 2 + i % 12), "可以", "eval") for i, q in enumerate(asked)]
+    pairs = {tuple(x) for x in split_overlap.overlaps(spark.createDataFrame(rows, "case_id long, question string, answer string, split string")).collect()}
+    assert pairs == {(i, 1000 + i) for i in range(120)}
+
+
+def test_sharing_misses_no_pair():
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a):
+            before, row = row, [i + 1]
+            for j, y in enumerate(b):
+                row.append(min(before[j] + (x != y), before[j + 1] + 1, row[j] + 1))
+        return row[-1]
+
+    r = random.Random(6)
+    known = ["".join(r.choice("甲乙丙丁abc") for _ in range(r.randrange(1, 40))) for _ in range(80)] + ["a" * n for n in range(1, 12)]
+    held = [_edited(r, t, r.randrange(9)) for t in known]
+    for edits in (0.25, 0.15):
+        found = set(zip(*map(list, split_overlap.sharing(held, known, 2, edits))))
+        near = {(i, j) for i, a in enumerate(held) for j, b in enumerate(known) if a and distance(a, b) <= edits * max(len(a), len(b))}
+        assert near <= found and len(near) > 20
+
+
 # --- problem 6
 
 ODD = [None, "", " ", "  a", "a  b\n\n c", "don't I'll", "中文，ABC 123!!", "ドラゴン龍契士", "<|endoftext|>", "é́ẹ́ ​﻿", "🙏🏽😀", "\x00\x01", "a" * 3000, "裏覚醒 裏覚醒", "x" * 700 + "中", "　　第", "𠀀𠀁", "9" * 1500]
