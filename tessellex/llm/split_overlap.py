@@ -18,21 +18,14 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..session import cut, table
 from .one_form import latin_look, same_codes
 
 #: Characters of the training and of the held-out texts in a block.
 KNOWN_CHARS, HELD_CHARS = 4_000_000, 600_000
-#: Characters in a hashed unit of a question, or of one in an alphabet, and the share (one in so many) of units that is kept.
-UNIT, UNIT_OF_LETTERS, KEPT_OF = 10, 20, 4
-#: Texts of up to the second number of characters have units of half the length, those above the first the others.
-SHORT = (32, 48)
-#: Texts of up to so many characters keep all of their units, other short ones half.
-ALL_UNITS = 24
-#: How many of its rarest units an answer looks up under a linked question.
-LOOKED_UP = 8
+#: Under linked questions with more pairs of answers than this the answers meet in blocks, too.
+MANY_ANSWERS = 2_000
 #: Shares of short runs that two questions and two answers have in common to be almost the same.
 SAME_QUESTION, SAME_ANSWER = 0.6, 0.6
 #: Questions of up to so many characters are compared by edit distance instead, of at most this share.
@@ -70,23 +63,6 @@ def _runs(text: str, n: int) -> str:
     return f"array_distinct(transform(sequence(1, greatest(1, length({text}) - {n - 1})), i -> xxhash64(substring({text}, i, {n}))))"
 
 
-def _units(text: str, kept_of: int) -> str:
-    """SQL for the kept hashed units of a canonical text; letters say less than ideographs, so their units are longer.
-
-    Short texts have units of half the length, as an edit takes a larger part of them; texts
-    between SHORT[0] and SHORT[1] have both kinds, so that lengths on either side of a bound still meet.
-    """
-
-    def runs(half: bool) -> str:
-        n = f"if(octet_length({text}) < 1.5 * length({text}), {UNIT_OF_LETTERS // (1 + half)}, {UNIT // (1 + half)})"
-        return f"transform(sequence(1, greatest(1, length({text}) - {n} + 1)), i -> xxhash64(substring({text}, i, {n})))"
-
-    none = "cast(array() as array<bigint>)"
-    small = f"if(length({text}) <= {SHORT[1]}, filter({runs(True)}, h -> length({text}) <= {ALL_UNITS} OR pmod(h, 2) = 0), {none})"
-    large = f"if(length({text}) > {SHORT[0]}, filter({runs(False)}, h -> pmod(h, {kept_of}) = 0), {none})"
-    return f"array_distinct(concat({small}, {large}))"
-
-
 _SLOTS = 1 << 20
 #: So many runs of the rarest must be shared before all of a pair's are counted.
 _FIRST = 4
@@ -244,15 +220,18 @@ def overlaps(
     held = answers.where("NOT _train").select(F.col("_qh").alias("_eq"), F.col("_ah").alias("_ea"), F.col("_a").alias("_x")).join(linked, "_eq")
     known = answers.where("_train").select(F.col("_qh").alias("_tq"), F.col("_ah").alias("_ta"), F.col("_a").alias("_y"))
     equal = held.join(known, (held["_tq"] == known["_tq"]) & (F.col("_ea") == F.col("_ta"))).select("_eq", "_ea", known["_tq"], "_ta")
-    # Under a question with many answers, a sentence-sized unit of the answer must be shared before answers are compared.
-    held_units = held.withColumn("_u", F.explode(F.expr(_units("_x", 2 * KEPT_OF)))).select("_tq", "_u", "_eq", "_ea")
-    wanted = known.join(linked.select("_tq").distinct(), "_tq")
-    known_units = cut(wanted.withColumn("_u", F.explode(F.expr(_units("_y", 2 * KEPT_OF)))).select("_tq", "_u", "_ta"))  # counted, then joined
-    per = known_units.groupBy("_tq", "_u").agg(F.count(F.lit(1)).alias("_n"))
-    order = F.row_number().over(Window.partitionBy("_tq", "_eq", "_ea").orderBy("_n", "_u"))
-    rare = held_units.join(per, ["_tq", "_u"]).withColumn("_r", order).where(F.col("_r") <= LOOKED_UP).select("_tq", "_u", "_eq", "_ea")
-    maybe = rare.join(known_units, ["_tq", "_u"]).where("_ea <> _ta").select("_eq", "_ea", "_tq", "_ta").distinct()
-    maybe = maybe.join(held.select("_eq", "_ea", "_tq", "_x"), ["_eq", "_ea", "_tq"]).join(known, ["_tq", "_ta"])
+    # All answers under linked questions are compared; under those with very many, all that share enough runs.
+    sizes = held.groupBy("_eq", "_tq").agg(F.count(F.lit(1)).alias("_m")).join(known.groupBy("_tq").agg(F.count(F.lit(1)).alias("_n")), "_tq")
+    hot = cut(sizes.where(F.col("_m") * F.col("_n") > MANY_ANSWERS).select("_eq", "_tq"))
+    maybe = held.join(hot, ["_eq", "_tq"], "left_anti").join(known, "_tq").where("_ea <> _ta")
+    if not hot.isEmpty():
+        here = hot.withColumn("_in", F.xxhash64("_eq", "_tq"))
+        mine = held.join(here, ["_eq", "_tq"]).select("_in", F.col("_ea").alias("_id"), F.col("_x").alias("_t"))
+        theirs = known.join(here, "_tq").select("_in", F.col("_ta").alias("_id"), F.col("_y").alias("_t"))
+        brief = F.length("_t") <= BRIEF
+        found = _candidates(mine.where(brief), theirs.where(brief), 2, EDITS).unionByName(_candidates(mine.where(F.length("_t") > BRIEF // 2), theirs.where(F.length("_t") > BRIEF // 2), 4, None, SAME_ANSWER))
+        found = found.distinct().join(here, "_in").select("_eq", F.col("_e").alias("_ea"), "_tq", F.col("_k").alias("_ta"))
+        maybe = maybe.unionByName(found.where("_ea <> _ta").join(held, ["_eq", "_ea", "_tq"]).join(known, ["_tq", "_ta"]))
     close = maybe.where(F.expr(_alike("_x", "_y", SAME_ANSWER))).select("_eq", "_ea", "_tq", "_ta")
     classes = cut(equal.unionByName(close))
 

@@ -185,6 +185,22 @@ def test_sharing_misses_no_pair():
         assert near <= found and len(near) > 20
 
 
+def test_overlaps_sentence_left_out(spark):
+    q = "同一个问题反复出现，怎么办才好呢？"
+    r = random.Random(7)
+    signs = [chr(0x4E00 + i) for i in range(400)]
+    rows, wanted = [], set()
+    for i in range(30):
+        whole = ["".join(r.choice(signs) for _ in range(60)) for _ in range(5)]
+        less = whole[: i % 5] + whole[i % 5 + 1 :]
+        rows += [(3 * i, q, "。".join(whole), "train"), (3 * i + 1, q, "。".join(less), "train"), (3 * i + 2, q, "。".join([*whole, "完"]), "eval")]
+        wanted |= {(3 * i, 3 * i + 2), (3 * i + 1, 3 * i + 2)}
+    frame = spark.createDataFrame(rows, "case_id long, question string, answer string, split string")
+    assert {tuple(x) for x in split_overlap.overlaps(frame).collect()} == wanted
+    few = frame.where("case_id < 15")
+    assert {tuple(x) for x in split_overlap.overlaps(few).collect()} == {p for p in wanted if p[1] < 15}
+
+
 # --- problem 6
 
 ODD = [None, "", " ", "  a", "a  b\n\n c", "don't I'll", "中文，ABC 123!!", "ドラゴン龍契士", "<|endoftext|>", "é́ẹ́ ​﻿", "🙏🏽😀", "\x00\x01", "a" * 3000, "裏覚醒 裏覚醒", "x" * 700 + "中", "　　第", "𠀀𠀁", "9" * 1500]
