@@ -65,8 +65,8 @@ OPEN_END = r"[、,:;×+\-—…(《“「=÷·]\z"
 NUMBERS = {n: i + 1 for i, n in enumerate("一二三四五六七八九十")} | {"两": 2}
 #: An unfinished length is a limit if so many answers stop at it, and so many times more than around it.
 SPIKE_ROWS, SPIKE_TIMES = 20, 6.0
-#: Last words that so many answers end with are a closing, as are those of this share of answers.
-CLOSING_ROWS, CLOSING_SHARE = 5, 0.001
+#: Last words behind so many different texts are a closing, if a letter more or less stands behind so many times fewer.
+CLOSING_TEXTS, CLOSING_TIMES = 5, 6.0
 
 
 def _letters(text: Column) -> Column:
@@ -179,7 +179,8 @@ def broken_pairs(rows: DataFrame, key: str = "case_id", question: str = "questio
     rest = _letters(F.regexp_replace(F.regexp_replace(low, REFUSAL, " "), "|".join(sorted(COURTESY, key=len, reverse=True)), " "))
     opening = rf"\A[\s\p{{P}}]*(?:{'|'.join(sorted(COURTESY, key=len, reverse=True))}|{REFUSAL})"  # fails at once for a real reply
     refusal = F.when(F.length("_a") > 400, False).when(~low.rlike(opening), False).when(~low.rlike(DECLINES), False).otherwise(low.rlike(REFUSAL) & (F.length(rest) <= 3))
-    empty = F.when(F.length("_a") > 24, False).otherwise(_letters(F.col("_a")).isin("", *PLACEHOLDERS))
+    few = rf"\A[^\p{{L}}\p{{N}}]*+(?:[\p{{L}}\p{{N}}][^\p{{L}}\p{{N}}]*+){{0,{max(map(len, PLACEHOLDERS))}}}\z"  # fails at the next letter
+    empty = F.when(~F.col("_a").rlike(few), False).otherwise(_letters(F.col("_a")).isin("", *PLACEHOLDERS))
     kind = F.when(empty, "empty").when(copied, "copied").when(refusal, "refusal").when(F.col("_foreign"), "language").otherwise("")
     kinds = cut(unframed.select("_key", kind.alias("_kind"), F.when(~F.col("_a").rlike(SAFE_END) | F.col("_a").rlike(ANNOUNCED), F.col("_a")).alias("_a")))
 
@@ -205,9 +206,15 @@ def broken_pairs(rows: DataFrame, key: str = "case_id", question: str = "questio
     parts = base.select(F.split("_a", r"[。!?;.]\s*").alias("_s")).select(F.explode(F.slice("_s", 1, F.greatest(F.size("_s") - 1, F.lit(0)))).alias("_s"))
     ending = F.when(F.col("_s").rlike(r"[A-Za-z]\z"), F.regexp_extract(F.expr("right(_s, 40)"), r"(\p{L}+[\s']\p{L}+)\z", 1)).otherwise(F.expr("right(_s, 4)"))
     ends = parts.groupBy(ending.alias("_last")).agg(F.count(F.lit(1)).alias("_times")).where("_times > 1")
-    closings = bare.groupBy("_tail").agg(F.count(F.lit(1)).alias("_same"))
-    limit = max(CLOSING_ROWS, int(CLOSING_SHARE * kinds.count()))
-    usual = closings.where(F.col("_same") >= limit).select("_tail", F.lit(True).alias("_usual"))
+    # A closing stands behind a finished sentence in different texts; copies of one text count once. An answer cut at
+    # some length leaves tails of all lengths, so that a letter more or less is as frequent.
+    before = F.expr("left(_a, length(_a) - length(_tail))")
+    closings = bare.where(before != "").select("_tail", F.xxhash64(before).alias("_b")).distinct().groupBy("_tail").agg(F.count(F.lit(1)).alias("_same"))
+    closings = cut(closings.where(F.col("_tail") != ""))
+    shorter = closings.select("_tail", "_same", F.expr("left(_tail, length(_tail) - 1)").alias("_less"))
+    beside = shorter.select(F.col("_less").alias("_tail"), F.col("_same").alias("_other")).unionByName(shorter.select("_tail", "_less").join(closings.select(F.col("_tail").alias("_less"), F.col("_same").alias("_other")), "_less").select("_tail", "_other"))
+    most = beside.groupBy("_tail").agg(F.max("_other").alias("_other"))
+    usual = closings.where(F.col("_same") >= CLOSING_TEXTS).join(most, "_tail", "left").where(F.col("_same") > CLOSING_TIMES * F.coalesce("_other", F.lit(0))).select("_tail", F.lit(True).alias("_usual"))
     open_ends = bare.join(usual, "_tail", "left").where("_usual IS NULL").join(ends, "_last", "left")
     stopped = open_ends.where("_times IS NULL").select("_key")
 

@@ -130,6 +130,16 @@ def test_broken_pairs(spark):
     assert bad_pairs.broken_pairs(spark.createDataFrame([], "case_id long, question string, answer string")).collect() == []
 
 
+def test_copies_make_no_closing(spark):
+    q = "2020年我和某公司签了合同，对方不付款，违约金怎么算？"
+    fine = [f"根据规定，对方应当支付第{i}笔违约金。协商不成的，可以向法院提起诉讼。以上仅供参考" for i in range(12)]
+    cut = ["对方应当支付违约金。如果协商不成，可以"] * 30
+    blank = ["。" * 40, "N / A" + " ." * 20]
+    rows = list(enumerate(fine + cut + blank))
+    found = {r["case_id"]: r["defect"] for r in bad_pairs.broken_pairs(spark.createDataFrame([(i, q, a) for i, a in rows], "case_id long, question string, answer string")).collect()}
+    assert found == {i: "truncated" if a in cut else "empty" for i, a in rows if a not in fine}
+
+
 # --- problem 5
 
 
