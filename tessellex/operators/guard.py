@@ -73,9 +73,14 @@ def claims(text: Column) -> Column:
     return F.filter(clauses(text), lambda s: (F.length(s) > 10) & s.rlike(r"[0-9]+\.?[0-9]*|第.{0,4}条|司法解释|规定|赔偿|时效|应当|不得"))
 
 
+def key_runs(claim: Column) -> Column:
+    """The first five runs of three or more ideographs."""
+    return F.slice(F.filter(F.regexp_extract_all(claim, F.lit("[一-鿿]{2,}"), F.lit(0)), lambda r: F.length(r) >= 3), 1, 5)
+
+
 def supported(claim: Column, docs: Column) -> Column:
     """H-5: whether a document has at least 60 % of the claim's first five runs of three or more ideographs; without runs it is."""
-    runs = F.slice(F.filter(F.regexp_extract_all(claim, F.lit("[一-鿿]{2,}"), F.lit(0)), lambda r: F.length(r) >= 3), 1, 5)
+    runs = key_runs(claim)
     return (F.size(runs) == 0) | F.exists(docs, lambda d: F.size(F.filter(runs, lambda r: F.contains(d, r))) >= 0.6 * F.size(runs))
 
 

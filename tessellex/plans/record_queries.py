@@ -165,9 +165,16 @@ def risk_level(s: SparkSession, d: str) -> DataFrame:
 
 
 def claim_support(s: SparkSession, d: str) -> DataFrame:
-    docs = T(s, d, "chunks").where("title IS NOT NULL").groupBy("title").agg(F.array(F.min("content"), F.max("content")).alias("docs"))
-    x = T(s, d, "contract").where("answer IS NOT NULL").select("case_id", F.col("law_title").alias("title"), F.explode(guard.claims(F.col("answer"))).alias("claim")).join(docs, "title")
-    return x.groupBy("case_id").agg(F.count(F.lit(1)).alias("claims"), F.count_if(guard.supported(F.col("claim"), F.col("docs"))).alias("supported"))
+    chunks = T(s, d, "chunks").where("title IS NOT NULL").select("title", "content").distinct()
+    asked = T(s, d, "contract").where("answer IS NOT NULL").select("case_id", F.col("law_title").alias("title"), F.explode(guard.claims(F.col("answer"))).alias("claim"))
+    x = asked.join(chunks.select("title").distinct(), "title", "left_semi")
+    # Every chunk of the title counts: each run of a title is looked for once in each of its chunks, then runs are counted per claim and chunk.
+    claims = x.select("title", "claim").distinct().withColumn("runs", guard.key_runs(F.col("claim"))).withColumn("n", F.size("runs"))
+    runs = claims.select("title", "claim", "n", F.explode("runs").alias("run")).groupBy("title", "claim", "n", "run").agg(F.count(F.lit(1)).alias("times"))
+    hits = runs.select("title", "run").distinct().join(chunks.withColumn("chunk", F.xxhash64("content")), "title").where(F.contains("content", F.col("run"))).select("title", "run", "chunk")
+    best = runs.join(hits, ["title", "run"]).groupBy("title", "claim", "n", "chunk").agg(F.sum("times").alias("there")).where(F.col("there") >= 0.6 * F.col("n"))
+    backed = best.select("title", "claim").unionByName(claims.where("n = 0").select("title", "claim")).distinct().withColumn("backed", F.lit(True))
+    return x.join(backed, ["title", "claim"], "left").groupBy("case_id").agg(F.count(F.lit(1)).alias("claims"), F.count("backed").alias("supported"))
 
 
 def qa_extract(s: SparkSession, d: str) -> DataFrame:

@@ -164,3 +164,13 @@ def test_streaming_guard(spark, tmp_path):
     stream = guarded.guard_stream(spark.readStream.schema("question string").json(str(tmp_path / "in")))
     stream.writeStream.format("memory").queryName("guarded").trigger(availableNow=True).start().awaitTermination()
     assert {r["question"]: r["check"]["safe"] for r in spark.table("guarded").collect()} == {"公司辞退怎么赔偿": True, "天气": False}
+
+
+def test_every_chunk_supports_claims(spark, tmp_path):
+    from tessellex.plans import record_queries
+
+    chunks = [("某法", f"{sign}第{i}条的其他内容") for i, sign in enumerate("甲乙丙")] + [("某法", "当事人违约，承担赔偿责任，返还押金"), ("另法", None)]
+    spark.createDataFrame([(i, *c) for i, c in enumerate(chunks)], "chunk_id int, title string, content string").write.parquet(str(tmp_path / "chunks.parquet"))
+    cases = [(1, "某法", "当事人违约，应当承担赔偿责任，返还押金。"), (2, "某法", "出租人修缮，应当返还押金，承担费用。"), (3, "另法", "应当a1234567890b"), (4, "无法", "当事人违约，承担赔偿责任，返还押金。"), (5, "某法", None)]
+    spark.createDataFrame(cases, "case_id int, law_title string, answer string").write.parquet(str(tmp_path / "contract.parquet"))
+    assert {tuple(r) for r in record_queries.claim_support(spark, str(tmp_path)).select("case_id", "claims", "supported").collect()} == {(1, 1, 1), (2, 1, 0), (3, 1, 1)}
