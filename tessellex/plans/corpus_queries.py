@@ -131,7 +131,7 @@ def minhash_sig16(s: SparkSession, d: str) -> DataFrame:
 
 
 def minhash_dedup(s: SparkSession, d: str) -> DataFrame:
-    return dedup.minhash_dedup(T(s, d, "documents"), F.coalesce("text", F.lit("")), "doc_id", perms=64, band_count=8, fast=True).select("doc_id")
+    return dedup.minhash_dedup(T(s, d, "documents"), F.coalesce("text", F.lit("")), "doc_id", fast=True).select("doc_id")
 
 
 def title_dedup(s: SparkSession, d: str) -> DataFrame:

@@ -174,3 +174,19 @@ def test_every_chunk_supports_claims(spark, tmp_path):
     cases = [(1, "某法", "当事人违约，应当承担赔偿责任，返还押金。"), (2, "某法", "出租人修缮，应当返还押金，承担费用。"), (3, "另法", "应当a1234567890b"), (4, "无法", "当事人违约，承担赔偿责任，返还押金。"), (5, "某法", None)]
     spark.createDataFrame(cases, "case_id int, law_title string, answer string").write.parquet(str(tmp_path / "contract.parquet"))
     assert {tuple(r) for r in record_queries.claim_support(spark, str(tmp_path)).select("case_id", "claims", "supported").collect()} == {(1, 1, 1), (2, 1, 0), (3, 1, 1)}
+
+
+def test_minhash_query_recall(spark, tmp_path):
+    import random
+
+    from tessellex.plans import corpus_queries
+
+    r = random.Random(4)
+    texts = ["".join(chr(0x4E00 + r.randrange(3000)) for _ in range(200)) for _ in range(150)]
+    # Four edits break 20 of 196 runs: 176 / 216 are shared.
+    near = ["".join("换" if i in (30, 90, 150, 190) else c for i, c in enumerate(t)) for t in texts]
+    grams = lambda t: {t[i : i + 5] for i in range(len(t) - 4)}
+    alike = [len(grams(a) & grams(b)) / len(grams(a) | grams(b)) for a, b in zip(texts, near)]
+    assert 0.79 < min(alike) and max(alike) < 0.83
+    spark.createDataFrame(list(enumerate(texts + near)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    assert corpus_queries.minhash_dedup(spark, str(tmp_path)).where("doc_id >= 150").count() <= 0.12 * len(near)
