@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -73,38 +78,50 @@ def minhash_dedup(rows: DataFrame, text: Column, seq: str, threshold: float = 0.
 
 
 def semantic_dedup(rows: DataFrame, vector: str, seq: str, threshold: float = 0.9, window: int = 20) -> DataFrame:
-    """Drops a row whose vector has a cosine of at least ``threshold`` with one of the ``window`` rows before it that is itself kept.
+    """Drops a row whose vector has a cosine of at least ``threshold`` with one of the last ``window`` kept rows before it.
 
-    The window counts all rows by order of ``seq``, so that each row's neighbours are known before any
-    decision; pairs come from an equi-join on blocks of the order, not from one sequential task.
+    Range partitions of the order are walked side by side, each from the last kept vectors of the one before.
+    These are known for the first partition only; the others are walked again until what they start from no
+    longer changes, which gives the sequential result. Only ``window`` vectors per partition reach the driver. Rows with a null
+    vector stay and are compared with none.
     """
-    from pyspark.sql.window import Window
-
-    # Global ranks from per-block counts: no task sees all rows.
-    base = rows.select(F.col(seq).alias("_s"), F.col(vector).cast("array<double>").alias("_v"))
-    parts = cut(base.repartitionByRange("_s").withColumn("_p", F.spark_partition_id()))
-    local = parts.withColumn("_r", F.row_number().over(Window.partitionBy("_p").orderBy("_s")))
-    counts = parts.groupBy("_p").agg(F.count(F.lit(1)).alias("_c"))
-    before = counts.withColumn("_o", F.sum("_c").over(Window.orderBy("_p")) - F.col("_c")).select("_p", "_o")  # one row per partition
-    ranked = local.join(F.broadcast(before), "_p").select("_s", "_v", (F.col("_r") + F.col("_o")).alias("_n"))
-    norm = F.sqrt(F.aggregate("_v", F.lit(0.0), lambda a, x: a + x * x))
-    ranked = cut(ranked.select("_s", "_n", F.transform("_v", lambda x: x / (norm + 1e-9)).alias("_v")))
-    left = ranked.select(F.col("_s").alias("_x"), F.col("_n").alias("_i"), F.col("_v").alias("_a"), F.explode(F.array(F.floor(F.col("_n") / window), F.floor(F.col("_n") / window) - 1)).alias("_b"))
-    right = ranked.select(F.col("_s").alias("_y"), F.col("_n").alias("_j"), F.col("_v").alias("_w"), F.floor(F.col("_n") / window).alias("_b"))
-    pairs = left.join(right, "_b").where(f"_j < _i AND _i - _j <= {window}")
-    dot = F.aggregate(F.zip_with("_a", "_w", lambda p, q: p * q), F.lit(0.0), lambda s, x: s + x)
-    edges = cut(pairs.where(dot >= threshold).select("_x", "_y"))
-    undecided, dropped = cut(edges.select("_x").distinct()), None
-    while not undecided.isEmpty():
-        open_ = edges.join(undecided, "_x", "left_semi")
-        if dropped is not None:
-            open_ = open_.join(dropped.withColumnRenamed("_x", "_y"), "_y", "left_anti")
-        fall = open_.join(undecided.withColumnRenamed("_x", "_y"), "_y", "left_anti").select("_x").distinct()
-        free = undecided.join(open_.select("_x").distinct(), "_x", "left_anti")
-        fall, free = cut(fall), cut(free)
-        dropped = fall if dropped is None else dropped.unionByName(fall)
-        undecided = cut(undecided.join(fall, "_x", "left_anti").join(free, "_x", "left_anti"))
-    return rows if dropped is None else rows.join(dropped.select(F.col("_x").alias(seq)), seq, "left_anti")
+    base = rows.select(F.col(seq).alias("_s"), F.col(vector).cast("array<double>").alias("_v")).where("_s IS NOT NULL AND _v IS NOT NULL")
+    parts = cut(base.repartitionByRange("_s").sortWithinPartitions("_s"))
+
+    def walk(starts: dict[int, list], todo: set[int] | None):
+        """Dropped keys of all partitions, or (``todo``) the last kept vectors of these."""
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            at = TaskContext.get().partitionId()
+            if todo is not None and at not in todo:
+                return
+            kept = [np.array(v) for v in starts.get(at, [])]
+            for batch in batches:
+                fallen = []
+                for s, v in zip(batch["_s"], batch["_v"]):
+                    v = np.asarray(v, dtype=float)
+                    if kept and any(len(w) == len(v) and v @ w / (np.linalg.norm(v) * np.linalg.norm(w) + 1e-9) >= threshold for w in kept):
+                        fallen.append(s)
+                    else:
+                        kept = [*kept, v][-window:]
+                if todo is None:
+                    yield pd.DataFrame({"_s": fallen})
+            if todo is not None:
+                yield pd.DataFrame({"_p": [at], "_kept": [[w.tolist() for w in kept]]})
+
+        kind = f"_s {parts.schema['_s'].dataType.simpleString()}" if todo is None else "_p int, _kept array<array<double>>"
+        return parts.mapInPandas(run, kind)
+
+    count = parts.rdd.getNumPartitions()
+    starts: dict[int, list] = {}
+    todo = set(range(count - 1))
+    while todo:
+        ends = {r["_p"]: r["_kept"] for r in walk(starts, todo).collect()}
+        changed = {p + 1: kept for p, kept in ends.items() if kept != starts.get(p + 1, [])}
+        starts |= changed
+        todo = {p for p in changed if p < count - 1}
+    dropped = cut(walk(starts, None))
+    return rows.join(dropped.withColumnRenamed("_s", seq), seq, "left_anti")
 
 
 def three_stage(rows: DataFrame, text: Column, seq: str, vector: str | None = None) -> DataFrame:

@@ -190,3 +190,19 @@ def test_minhash_query_recall(spark, tmp_path):
     assert 0.79 < min(alike) and max(alike) < 0.83
     spark.createDataFrame(list(enumerate(texts + near)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     assert corpus_queries.minhash_dedup(spark, str(tmp_path)).where("doc_id >= 150").count() <= 0.12 * len(near)
+
+
+def test_semantic_against_sequential(spark):
+    import math
+    import random
+
+    r = random.Random(8)
+    turns = [0.0] * 70 + [r.choice([0.0, 1.0, 2.0, 3.0]) + r.random() * 0.2 for _ in range(200)] + [r.random() * 6.28 for _ in range(100)]
+    rows = [(i, [math.cos(t), math.sin(t)]) for i, t in enumerate(turns)]
+    for window in (2, 20):
+        kept = []
+        for i, v in rows:
+            if not any(v[0] * w[0] + v[1] * w[1] >= 0.95 for _, w in kept[-window:]):
+                kept.append((i, v))
+        frame = spark.createDataFrame(rows, "id int, v array<double>").repartition(5)
+        assert sorted(x["id"] for x in dedup.semantic_dedup(frame, "v", "id", 0.95, window).collect()) == [i for i, _ in kept]
