@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -68,24 +69,23 @@ def _top(scored: DataFrame, group: str, key: str, k: int) -> DataFrame:
 def dense(queries: DataFrame, vectors: DataFrame, key: str, vector: str, k: int = 5, query_key: str = "query_id", query: str = "vector", block: int = 1000) -> DataFrame:
     """(query_key, key, score, rank), score 1 / (1 + Euclidean distance), exact over all vectors.
 
-    A stated set of queries goes against all vectors in blocks: each block of queries is one array that
-    every vector meets once, with the k best kept per partition first.
+    Queries go against all vectors in blocks of about ``block``, however many there are: each block is one
+    array that every vector meets once, with the k best kept per partition first. Null vectors meet nothing.
     """
-    asked = queries.select(F.col(query_key).alias("q"), F.col(query).cast("array<double>").alias("v"))
-    ids = asked.collect() if asked.limit(block + 1).count() <= block else None
+    asked = queries.select(F.col(query_key).alias("q"), F.col(query).cast("array<double>").alias("v")).where("v IS NOT NULL")
     base = vectors.select(F.col(key).alias("_k"), F.col(vector).cast("array<double>").alias("_v")).where("_v IS NOT NULL")
+    count = max(1, -(-asked.count() // block))
 
     def distance(a: Column, b: Column) -> Column:
         return F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x))
 
-    if ids is not None:
-        spark = vectors.sparkSession
-        one = F.broadcast(spark.createDataFrame([(0, [(r["q"], list(r["v"])) for r in ids])], f"_one int, _qs array<struct<q:{asked.schema['q'].dataType.simpleString()},v:array<double>>>"))
-        met = base.withColumn("_one", F.lit(0)).join(one, "_one").select("_k", "_v", F.explode("_qs").alias("_q"))
+    def best(i: int) -> DataFrame:
+        one = F.broadcast(asked.where(F.pmod(F.xxhash64("q"), F.lit(count)) == i).agg(F.collect_list(F.struct("q", "v")).alias("_qs")))
+        met = base.crossJoin(one).select("_k", "_v", F.explode("_qs").alias("_q"))
         scored = met.select(F.col("_q.q").alias(query_key), "_k", F.round(1 / (1 + distance(F.col("_v"), F.col("_q.v"))), 6).alias("score"))
-    else:
-        raise ValueError(f"more than {block} queries: call in blocks")
-    return _top(scored, query_key, "_k", k).withColumnRenamed("_k", key)
+        return _top(scored, query_key, "_k", k)
+
+    return reduce(DataFrame.unionByName, map(best, range(count))).withColumnRenamed("_k", key)
 
 
 def fuse(lexical: DataFrame, dense_hits: DataFrame, key: str = "content", k: int = 5, query_key: str = "query_id", constant: int = 60, weights: tuple[float, float] = (0.5, 1.0)) -> DataFrame:

@@ -206,3 +206,11 @@ def test_semantic_against_sequential(spark):
                 kept.append((i, v))
         frame = spark.createDataFrame(rows, "id int, v array<double>").repartition(5)
         assert sorted(x["id"] for x in dedup.semantic_dedup(frame, "v", "id", 0.95, window).collect()) == [i for i, _ in kept]
+
+
+def test_dense_in_blocks(spark):
+    rows = spark.createDataFrame([(i, [float(i % 37), float(i % 11)]) for i in range(90)], "id int, v array<double>")
+    asked = rows.select(F.col("id").alias("query_id"), F.col("v").alias("vector"))
+    whole = retrieval.dense(asked, rows, "id", "v", 3)
+    parts = retrieval.dense(asked, rows, "id", "v", 3, block=20)
+    assert sorted(map(tuple, parts.collect())) == sorted(map(tuple, whole.collect())) and whole.count() == 270
