@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -21,20 +22,41 @@ def session(app: str = "tessellex", master: str | None = None, **conf: str) -> S
     return builder.config(map=defaults | conf).getOrCreate()
 
 
-def cut(df: DataFrame, eager: bool = True) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and read it from there.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share: the one the cluster names in ``spark.checkpoint.dir``.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``; only where that setting is
-    empty (local tests) a temporary folder is used.
+    Only where that setting is empty and the master is local (tests) a temporary folder is used; on a
+    cluster without the setting this raises, as a folder of one machine would not outlive it.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        shared = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="tessellex-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="tessellex-"))
+    return context.getCheckpointDir()
+
+
+def cut(df: DataFrame, eager: bool = True) -> DataFrame:
+    """Write ``df`` to the shared folder as a checkpoint and read it from there."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager)
 
 
+def kept_table(df: DataFrame) -> DataFrame:
+    """The same as a compressed table, for rows with texts, which a checkpoint would write as they are.
+
+    The table goes with the application, together with the checkpoints' folder.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark).rstrip('/')}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """One parquet table of a test-data folder."""
     return spark.read.parquet(f"{folder}/{name}.parquet")
