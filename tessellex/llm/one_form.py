@@ -88,12 +88,13 @@ def same_codes(text: Column) -> Column:
     """
     plain = reduce(lambda t, c: F.replace(t, F.lit(c), F.lit(SAME[c])), COMMON, text)
     full = F.translate(F.regexp_replace(text, "\r\n?", "\n"), "".join(SAME) + INVISIBLE, "".join(SAME.values()))
-    return F.when(text.rlike(rf"\A[\n\x20-\x7E一-鿿。、《》“”‘’…—【】{COMMON}]*+\z"), plain).otherwise(full)
+    # Ideographs and ASCII in classes of their own: a class is asked part by part for every character.
+    return F.when(text.rlike(rf"\A(?:[一-鿿]++|[\n\x20-\x7E]++|[。、《》“”‘’…—【】{COMMON}]++)*+\z"), plain).otherwise(full)
 
 
 def latin_look(text: Column) -> Column:
     """Every letter that looks like a Latin one as that one, for keys and features; few texts have any."""
-    return F.when(text.rlike("[" + "".join(ALIKE) + "]"), F.translate(text, "".join(ALIKE), "".join(ALIKE.values()))).otherwise(text)
+    return F.when(text.rlike("[ɐ-֏]"), F.translate(text, "".join(ALIKE), "".join(ALIKE.values()))).otherwise(text)  # all of ALIKE are in that range
 
 
 _TO_LATIN = str.maketrans(ALIKE)

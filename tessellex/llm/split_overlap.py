@@ -1,41 +1,56 @@
 """Problem 5: records of evaluation splits that the training split has too, exactly or almost.
 
 Question and answer are brought to one canonical form (look-alike codes, case, marks, spaces and markup
-gone) and hashed. Equal hashes of questions join evaluation with training directly. Edited questions meet
-in blocks of bounded size, every evaluation block with every training block of lengths that can be almost
-the same: so many runs must be shared by any two texts that the deciding test lets pass, and only pairs
-that share fewer are left out, so no pair is lost. Each distinct canonical question is looked up once,
-however many records have it, and each distinct pair of answers under a pair of questions is compared once;
-rows come in only after that.
+gone) and hashed. Two records are a pair if their answers are almost the same and their questions are
+
+* the same: equal hashes join evaluation with training;
+* parted by at most k edits of characters, k being 2 and one more for each 32 characters of the shorter one, up
+  to 10, and one for each 6 in short ones (question_edits): a training question is cut into k + 1 segments, of
+  which k edits leave one as it is, and an evaluation question offers, for every length within k of its own, its
+  stretches at the places to which edits can have moved a segment. An equi-join on hashes of both loses no pair;
+* parted by more, up to QUESTION_EDITS, if the answers are the same or share a sentence of SENTENCE characters:
+  an equi-join on hashes of answers and sentences.
+
+Nothing is sampled and no key is left out: what meets grows with the records that share a segment, an answer
+or a sentence, and under a key that very many share the questions meet in blocks of bounded size, in which all
+that share as many runs as the deciding comparison implies are compared. Before a text is read, a sketch of
+parities of counts of characters rules out most pairs: an edit changes at most two of its bits. Each distinct canonical
+question is looked up once, however many records have it, and each distinct pair of answers under a pair of
+questions is compared once; rows come in only after that.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Callable
+from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import cut, table
+from ..session import cut, kept_table, table
 from .one_form import latin_look, same_codes
 
 #: Characters of the training and of the held-out texts in a block.
 KNOWN_CHARS, HELD_CHARS = 4_000_000, 600_000
-#: Under linked questions with more pairs of answers than this the answers meet in blocks, too.
-MANY_ANSWERS = 2_000
+#: Under linked questions with more pairs of answers than this the answers meet in blocks, and so do questions under an answer or sentence with more pairs.
+MANY_ANSWERS, MANY_QUESTIONS = 2_000, 100_000
 #: Shares of short runs that two questions and two answers have in common to be almost the same.
 SAME_QUESTION, SAME_ANSWER = 0.6, 0.6
 #: Questions of up to so many characters are compared by edit distance instead, of at most this share.
 EDITED, QUESTION_EDITS = 400, 0.25
+#: Edits between questions whatever their answers share: so many, one more for each so many characters of the shorter one, at most so many, and no more than one for each so many.
+LEAST_EDITS, EDIT_EVERY, MOST_EDITS, BRIEF_EVERY = 2, 32, 10, 6
+#: Letters and digits of a sentence that tells answers apart from others.
+SENTENCE = 20
 #: Answers of up to so many characters are compared by edit distance, of at most this share.
 BRIEF, EDITS = 30, 0.15
 
 
-def canonical(rows: DataFrame, column: str, name: str) -> DataFrame:
-    """Adds the column without markup, case, marks and spaces, and with one code for letters that look alike; null and empty become ''.
+def _folded(rows: DataFrame, column: str, name: str) -> DataFrame:
+    """Adds the column without markup and case, and with one code for letters that look alike; null becomes ''.
 
     Each step is a column of its own: steps look at their input more than once, and nested expressions
     would make it anew each time.
@@ -45,7 +60,20 @@ def canonical(rows: DataFrame, column: str, name: str) -> DataFrame:
     # Accents are told apart from their letters in some copies and not in others: marks go, and so do composed ones.
     out = out.withColumn("_c3", latin_look(F.col("_c2")))
     out = out.withColumn("_c4", F.when(F.col("_c3").rlike("[À-ɏ]"), F.translate("_c3", *_ACCENTS)).otherwise(F.col("_c3")))
-    return out.withColumn(name, F.regexp_replace(F.lower("_c4"), r"[^\p{L}\p{N}]+", "")).drop("_c1", "_c2", "_c3", "_c4")
+    return out.withColumn(name, F.lower("_c4")).drop("_c1", "_c2", "_c3", "_c4")
+
+
+def canonical(rows: DataFrame, column: str, name: str) -> DataFrame:
+    """Adds the column folded, and without marks and spaces; null and empty become ''."""
+    return _folded(rows, column, "_c0").withColumn(name, F.regexp_replace("_c0", r"[^\p{L}\p{N}]+", "")).drop("_c0")
+
+
+def _answer_keys(rows: DataFrame, column: str, name: str) -> DataFrame:
+    """Adds the hashes of the whole canonical text and of its sentences of at least SENTENCE letters and digits."""
+    parts = _folded(rows, column, "_c0").withColumn("_c5", F.split("_c0", r"[。!?;\n]+|\. "))
+    parts = parts.withColumn("_c6", F.transform("_c5", lambda t: F.regexp_replace(t, r"[^\p{L}\p{N}]+", "")))
+    whole = F.array(F.xxhash64(F.lit("whole"), F.array_join("_c6", "")))
+    return parts.withColumn(name, F.array_union(whole, F.transform(F.filter("_c6", lambda t: F.length(t) >= SENTENCE), lambda t: F.xxhash64(t)))).drop("_c0", "_c5", "_c6")
 
 
 def _accents() -> tuple[str, str]:
@@ -176,6 +204,76 @@ def _alike(a: str, b: str, share: float) -> str:
     return f"CASE WHEN {a} = {b} THEN true WHEN {longest} <= {BRIEF} THEN {brief} WHEN least(length({a}), length({b})) < 0.5 * {longest} THEN false ELSE {long} END"
 
 
+def question_edits(length: str) -> str:
+    """SQL: the edits that the rule lets pass between questions of which the shorter has that length."""
+    return f"least({MOST_EDITS}, {LEAST_EDITS} + {length} div {EDIT_EVERY}, {length} div {BRIEF_EVERY})"
+
+
+#: Parities of the counts of characters, in so many numbers of 64 places.
+_SKETCHES = 4
+
+
+def _with_sketch(questions: DataFrame) -> DataFrame:
+    places = questions.withColumn("_b", F.expr(f"transform(split(_q, ''), x -> pmod(xxhash64(x), {64 * _SKETCHES}))"))
+    one = "aggregate(_b, 0L, (a, b) -> if(b div 64 = {0}, a ^ shiftleft(1L, cast(b % 64 as int)), a))"
+    return places.withColumns({f"_s{i}": F.expr(one.format(i)) for i in range(_SKETCHES)}).drop("_b")
+
+
+def _segment_pairs(distinct: DataFrame) -> DataFrame:
+    """(_e, _k) of distinct (_train, _id, _q, _n) that share a segment where at most the edits of question_edits can have moved it.
+
+    The j-th segment of a training text of length m can stand, in a text of length n, at most j places from its
+    own, and at most k - j from its own counted from the end. k never falls with the length, so that the
+    training text's own k holds for pairs with a shorter one, too.
+    """
+    known = distinct.where("_train").withColumn("_k", F.expr(question_edits("_n"))).withColumn("_w", F.expr("_n div (_k + 1)"))
+    segments = "transform(sequence(0, cast(_k as int)), j -> xxhash64(_n, j, substring(_q, cast(j * _w + 1 as int), cast(_w as int))))"
+    known = known.select(F.col("_id").alias("_k"), F.explode(F.expr(segments)).alias("_h"))
+    held = distinct.where("NOT _train").withColumn("_m", F.explode(F.sequence(F.greatest(F.lit(1), F.col("_n") - MOST_EDITS), F.col("_n") + MOST_EDITS)))
+    held = held.withColumn("_k", F.expr(question_edits("_m"))).where(F.abs(F.col("_m") - F.col("_n")) <= F.col("_k")).withColumn("_w", F.expr("_m div (_k + 1)"))
+    low = "greatest(0L, j * _w - j, j * _w + (_n - _m) - (_k - j))"
+    high = "least(_n - _w, j * _w + j, j * _w + (_n - _m) + (_k - j))"
+    places = f"filter(sequence({low}, {low} + {MOST_EDITS}), p -> p <= {high})"
+    offered = f"flatten(transform(sequence(0, cast(_k as int)), j -> transform({places}, p -> xxhash64(_m, j, substring(_q, cast(p + 1 as int), cast(_w as int))))))"
+    held = held.select(F.col("_id").alias("_e"), F.explode(F.expr(offered)).alias("_h"))
+    return held.join(known, "_h").where("_e <> _k").select("_e", "_k")
+
+
+def _answer_pairs(distinct: DataFrame, keys: DataFrame) -> DataFrame:
+    """(_e, _k) of all questions that share an answer's key, but under keys with very many of those that can be almost the same."""
+    held, known = keys.where("NOT _train").select("_h", F.col("_id").alias("_e")), keys.where("_train").select("_h", F.col("_id").alias("_k"))
+    sizes = keys.groupBy("_h").agg(F.count_if("_train").alias("_a"), F.count_if(~F.col("_train")).alias("_b"))
+    hot = cut(sizes.where(F.col("_a") * F.col("_b") > MANY_QUESTIONS).select("_h"))
+    if hot.isEmpty():
+        return held.join(known, "_h").where("_e <> _k").select("_e", "_k")
+    out = held.join(hot, "_h", "left_anti").join(known, "_h").where("_e <> _k").select("_e", "_k")
+    texts = distinct.select("_train", "_id", F.col("_q").alias("_t"))
+    here = keys.join(hot, "_h", "left_semi").select(F.col("_h").alias("_in"), "_train", "_id").join(texts, ["_train", "_id"]).select("_in", "_train", "_id", "_t")
+    short, long = here.where(F.length("_t") <= EDITED), here.where(F.length("_t") >= EDITED // 2)
+    met = _candidates(short.where("NOT _train").drop("_train"), short.where("_train").drop("_train"), 2, QUESTION_EDITS)
+    met = met.unionByName(_candidates(long.where("NOT _train").drop("_train"), long.where("_train").drop("_train"), 4, None, SAME_QUESTION))
+    return out.unionByName(met.where("_e <> _k").select("_e", "_k"))
+
+
+def _near_questions(distinct: DataFrame, keys: DataFrame) -> DataFrame:
+    """(_eq, _tq): pairs of different questions that are almost the same, of distinct (_train, _qh, _id, _q, _n, sketches) and (_train, _id, _h) of their answers' keys."""
+    met = _segment_pairs(distinct).withColumn("_far", F.lit(False)).unionByName(_answer_pairs(distinct, keys).withColumn("_far", F.lit(True)))
+    met = met.groupBy("_e", "_k").agg(F.max("_far").alias("_far"))
+    facts = [f"_s{i}" for i in range(_SKETCHES)] + ["_n"]
+    mine = distinct.where("NOT _train").select(F.col("_id").alias("_e"), *[F.col(c).alias(f"_e{c}") for c in facts])
+    theirs = distinct.where("_train").select(F.col("_id").alias("_k"), *[F.col(c).alias(f"_k{c}") for c in facts])
+    apart = reduce(Column.__add__, [F.bit_count(F.col(f"_e_s{i}").bitwiseXOR(F.col(f"_k_s{i}"))) for i in range(_SKETCHES)])
+    longest, few = F.greatest("_e_n", "_k_n"), F.expr(question_edits("least(_e_n, _k_n)"))
+    fits = (apart <= 2 * few) | F.col("_far") & ((longest > EDITED) & (F.least("_e_n", "_k_n") * 2 >= longest) | (apart <= 2 * QUESTION_EDITS * longest))
+    met = cut(met.join(mine, "_e").join(theirs, "_k").where(fits).select("_e", "_k", "_far"))
+    text = distinct.join(met.select(F.col("_e").alias("_id")).union(met.select("_k")).distinct(), "_id", "left_semi")
+    mine = text.where("NOT _train").select(F.col("_id").alias("_e"), F.col("_qh").alias("_eq"), F.col("_q").alias("_x"))
+    theirs = text.where("_train").select(F.col("_id").alias("_k"), F.col("_qh").alias("_tq"), F.col("_q").alias("_y"))
+    longest, edits = F.greatest(F.length("_x"), F.length("_y")), F.levenshtein("_x", "_y")
+    near = (edits <= F.expr(question_edits("least(length(_x), length(_y))"))) | F.col("_far") & F.when(longest <= EDITED, edits <= QUESTION_EDITS * longest).otherwise(F.expr(_alike("_x", "_y", SAME_QUESTION)))
+    return met.join(mine, "_e").join(theirs, "_k").where(near & (F.col("_eq") != F.col("_tq"))).select("_eq", "_tq")
+
+
 def overlaps(
     rows: DataFrame, key: str = "case_id", question: str = "question", answer: str = "answer", split: str = "split", train: tuple[str, ...] = ("train",), held_out: tuple[str, ...] = ("eval", "test")
 ) -> DataFrame:
@@ -186,26 +284,14 @@ def overlaps(
     out; an empty table gives no pairs. Further columns, whatever their names, are ignored.
     """
     kept = rows.where(F.col(split).isin(*train, *held_out))
-    asked = canonical(kept.select(F.col(key).alias("_key"), F.col(split).isin(*train).alias("_train"), F.col(question).alias("_s")), "_s", "_q")
-    asked = cut(asked.select("_key", "_train", "_q", F.xxhash64("_q").alias("_qh")))
-    distinct = cut(asked.groupBy("_train", "_qh").agg(F.first("_q").alias("_q")).where("_q <> ''"))
-
-    # Pairs of distinct questions that can be almost the same; those above EDITED characters by their own test.
-    texts = distinct.select("_train", F.lit(0).cast("bigint").alias("_in"), F.col("_qh").alias("_id"), F.col("_q").alias("_t"))
-    short = texts.where(F.length("_t") <= EDITED)
-    near = _candidates(short.where("NOT _train"), short.where("_train"), 2, QUESTION_EDITS)
-    if not texts.where(F.length("_t") > EDITED).isEmpty():
-        long = texts.where(F.length("_t") >= EDITED // 2)
-        near = near.unionByName(_candidates(long.where("NOT _train"), long.where("_train"), 4, None, SAME_QUESTION))
-    near = cut(near.where("_e <> _k").select(F.col("_e").alias("_eq"), F.col("_k").alias("_tq")).distinct())
-    text = distinct.select("_qh", "_q").join(near.select(F.col("_eq").alias("_qh")).union(near.select("_tq")).distinct(), "_qh", "left_semi").groupBy("_qh").agg(F.first("_q").alias("_q"))
-    near = near.join(text.select(F.col("_qh").alias("_eq"), F.col("_q").alias("_x")), "_eq").join(text.select(F.col("_qh").alias("_tq"), F.col("_q").alias("_y")), "_tq")
-    longest = F.greatest(F.length("_x"), F.length("_y"))
-    edits = F.levenshtein("_x", "_y") <= QUESTION_EDITS * longest
-    near = near.where(F.when(longest <= EDITED, edits).otherwise(F.expr(_alike("_x", "_y", SAME_QUESTION)))).select("_eq", "_tq")
+    asked = canonical(kept.select(F.col(key).alias("_key"), F.col(split).isin(*train).alias("_train"), F.col(question).alias("_s"), F.col(answer).alias("_a")), "_s", "_q")
+    asked = kept_table(_answer_keys(asked, "_a", "_hs").select("_key", "_train", "_q", F.unhex(F.md5("_q")).alias("_qh"), "_hs").where("_q <> ''"))
+    distinct = asked.groupBy("_train", "_qh").agg(F.first("_q").alias("_q"))
+    distinct = kept_table(_with_sketch(distinct.withColumns({"_id": F.xxhash64("_qh"), "_n": F.length("_q")})))
+    keys = asked.select("_train", F.xxhash64("_qh").alias("_id"), F.explode("_hs").alias("_h")).distinct()
     sides = distinct.groupBy("_qh").agg(F.count(F.lit(1)).alias("_n")).where("_n = 2")  # a question of both sides
     same = sides.select(F.col("_qh").alias("_eq"), F.col("_qh").alias("_tq"))
-    linked = cut(near.unionByName(same))
+    linked = cut(_near_questions(distinct, keys).unionByName(same))
 
     # Only the rows of linked questions are read in full.
     ends = linked.select(F.col("_eq").alias("_qh")).union(linked.select("_tq")).distinct()
@@ -213,7 +299,7 @@ def overlaps(
     full = kept.select(F.col(key).alias("_key"), F.col(split).isin(*train).alias("_train"), F.col(question).alias("_rq"), F.col(answer).alias("_ra"))
     full = full.join(keys.select("_key", "_train").distinct(), ["_key", "_train"], "left_semi")
     full = canonical(canonical(full, "_rq", "_q"), "_ra", "_a")
-    base = cut(full.select("_key", "_train", F.xxhash64("_q").alias("_qh"), "_a", F.xxhash64("_a").alias("_ah")))
+    base = kept_table(full.select("_key", "_train", F.unhex(F.md5("_q")).alias("_qh"), "_a", F.xxhash64("_a").alias("_ah")))
 
     # Distinct answers under linked questions: equal ones by hash, others by comparison.
     answers = base.groupBy("_train", "_qh", "_ah").agg(F.first("_a").alias("_a"))
