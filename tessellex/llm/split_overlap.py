@@ -12,10 +12,10 @@ gone) and hashed. Two records are a pair if their answers are almost the same an
   an equi-join on hashes of answers and sentences.
 
 Nothing is sampled and no key is left out: what meets grows with the records that share a segment, an answer
-or a sentence, and under a key that very many share the questions meet in blocks of bounded size, in which all
-that share as many runs as the deciding comparison implies are compared. Before a text is read, a sketch of
-parities of counts of characters rules out most pairs: an edit changes at most two of its bits. Each distinct canonical
-question is looked up once, however many records have it, and each distinct pair of answers under a pair of
+or a sentence. Before a text is read, lengths and a sketch of parities of counts of characters rule out most
+pairs: an edit changes at most two of its bits. Under an answer or sentence that very many share, the sketches
+alone meet, in blocks of bounded size, and under a question with very many answers the answers meet in blocks, in
+which all that share as many runs as the deciding comparison implies are compared. Each distinct canonical question is looked up once, however many records have it, and each distinct pair of answers under a pair of
 questions is compared once; rows come in only after that.
 """
 
@@ -37,6 +37,8 @@ from .one_form import latin_look, same_codes
 KNOWN_CHARS, HELD_CHARS = 4_000_000, 600_000
 #: Under linked questions with more pairs of answers than this the answers meet in blocks, and so do questions under an answer or sentence with more pairs.
 MANY_ANSWERS, MANY_QUESTIONS = 2_000, 100_000
+#: Rows in a block of those.
+KNOWN_ROWS, HELD_ROWS = 8_000, 2_000
 #: Shares of short runs that two questions and two answers have in common to be almost the same.
 SAME_QUESTION, SAME_ANSWER = 0.6, 0.6
 #: Questions of up to so many characters are compared by edit distance instead, of at most this share.
@@ -239,33 +241,45 @@ def _segment_pairs(distinct: DataFrame) -> DataFrame:
     return held.join(known, "_h").where("_e <> _k").select("_e", "_k")
 
 
+def _facts(distinct: DataFrame, train: bool, key: str) -> DataFrame:
+    """The key, length and sketches of one side's questions, named by ``key``."""
+    rows = distinct.where("_train" if train else "NOT _train")
+    return rows.select(F.col("_id").alias(key), *[F.col(c).alias(f"{key}{c}") for c in ("_n", *(f"_s{i}" for i in range(_SKETCHES)))])
+
+
+def _can_be_near(far: Column) -> Column:
+    """What length and sketches of _e and _k leave possible: an edit changes at most two places of a sketch."""
+    apart = reduce(Column.__add__, [F.bit_count(F.col(f"_e_s{i}").bitwiseXOR(F.col(f"_k_s{i}"))) for i in range(_SKETCHES)])
+    longest, shortest = F.greatest("_e_n", "_k_n"), F.least("_e_n", "_k_n")
+    by_edits = (apart <= 2 * QUESTION_EDITS * longest) & (longest - shortest <= QUESTION_EDITS * longest)
+    return (apart <= 2 * F.expr(question_edits("least(_e_n, _k_n)"))) | far & F.when(longest > EDITED, shortest * 2 >= longest).otherwise(by_edits)
+
+
 def _answer_pairs(distinct: DataFrame, keys: DataFrame) -> DataFrame:
-    """(_e, _k) of all questions that share an answer's key, but under keys with very many of those that can be almost the same."""
+    """(_e, _k) of questions that share an answer's key, but under keys with very many only those that length and sketches leave possible."""
     held, known = keys.where("NOT _train").select("_h", F.col("_id").alias("_e")), keys.where("_train").select("_h", F.col("_id").alias("_k"))
     sizes = keys.groupBy("_h").agg(F.count_if("_train").alias("_a"), F.count_if(~F.col("_train")).alias("_b"))
-    hot = cut(sizes.where(F.col("_a") * F.col("_b") > MANY_QUESTIONS).select("_h"))
+    hot = cut(sizes.where(F.col("_a") * F.col("_b") > MANY_QUESTIONS))
     if hot.isEmpty():
         return held.join(known, "_h").where("_e <> _k").select("_e", "_k")
     out = held.join(hot, "_h", "left_anti").join(known, "_h").where("_e <> _k").select("_e", "_k")
-    texts = distinct.select("_train", "_id", F.col("_q").alias("_t"))
-    here = keys.join(hot, "_h", "left_semi").select(F.col("_h").alias("_in"), "_train", "_id").join(texts, ["_train", "_id"]).select("_in", "_train", "_id", "_t")
-    short, long = here.where(F.length("_t") <= EDITED), here.where(F.length("_t") >= EDITED // 2)
-    met = _candidates(short.where("NOT _train").drop("_train"), short.where("_train").drop("_train"), 2, QUESTION_EDITS)
-    met = met.unionByName(_candidates(long.where("NOT _train").drop("_train"), long.where("_train").drop("_train"), 4, None, SAME_QUESTION))
-    return out.unionByName(met.where("_e <> _k").select("_e", "_k"))
+    # Every block of one side meets every block of the other; a block's rows are lengths and sketches.
+    blocks = hot.select("_h", F.expr(f"(_a - 1) div {KNOWN_ROWS} + 1").alias("_kn"), F.expr(f"(_b - 1) div {HELD_ROWS} + 1").alias("_en"))
+
+    def spread(rows: DataFrame, own: str, other: str) -> DataFrame:
+        facts = _facts(distinct, own == "_k", own)
+        return rows.join(blocks, "_h").join(facts, own).withColumn(f"{own}b", F.pmod(F.xxhash64(own), F.col(f"{own}n"))).withColumn(f"{other}b", F.explode(F.expr(f"sequence(0L, {other}n - 1)"))).drop("_kn", "_en")
+
+    met = spread(held, "_e", "_k").join(spread(known, "_k", "_e"), ["_h", "_eb", "_kb"])
+    return out.unionByName(met.where(_can_be_near(F.lit(True)) & (F.col("_e") != F.col("_k"))).select("_e", "_k"))
 
 
 def _near_questions(distinct: DataFrame, keys: DataFrame) -> DataFrame:
     """(_eq, _tq): pairs of different questions that are almost the same, of distinct (_train, _qh, _id, _q, _n, sketches) and (_train, _id, _h) of their answers' keys."""
     met = _segment_pairs(distinct).withColumn("_far", F.lit(False)).unionByName(_answer_pairs(distinct, keys).withColumn("_far", F.lit(True)))
     met = met.groupBy("_e", "_k").agg(F.max("_far").alias("_far"))
-    facts = [f"_s{i}" for i in range(_SKETCHES)] + ["_n"]
-    mine = distinct.where("NOT _train").select(F.col("_id").alias("_e"), *[F.col(c).alias(f"_e{c}") for c in facts])
-    theirs = distinct.where("_train").select(F.col("_id").alias("_k"), *[F.col(c).alias(f"_k{c}") for c in facts])
-    apart = reduce(Column.__add__, [F.bit_count(F.col(f"_e_s{i}").bitwiseXOR(F.col(f"_k_s{i}"))) for i in range(_SKETCHES)])
-    longest, few = F.greatest("_e_n", "_k_n"), F.expr(question_edits("least(_e_n, _k_n)"))
-    fits = (apart <= 2 * few) | F.col("_far") & ((longest > EDITED) & (F.least("_e_n", "_k_n") * 2 >= longest) | (apart <= 2 * QUESTION_EDITS * longest))
-    met = cut(met.join(mine, "_e").join(theirs, "_k").where(fits).select("_e", "_k", "_far"))
+    met = met.join(_facts(distinct, False, "_e"), "_e").join(_facts(distinct, True, "_k"), "_k")
+    met = cut(met.where(_can_be_near(F.col("_far"))).select("_e", "_k", "_far"))
     text = distinct.join(met.select(F.col("_e").alias("_id")).union(met.select("_k")).distinct(), "_id", "left_semi")
     mine = text.where("NOT _train").select(F.col("_id").alias("_e"), F.col("_qh").alias("_eq"), F.col("_q").alias("_x"))
     theirs = text.where("_train").select(F.col("_id").alias("_k"), F.col("_qh").alias("_tq"), F.col("_q").alias("_y"))
@@ -288,7 +302,7 @@ def overlaps(
     asked = kept_table(_answer_keys(asked, "_a", "_hs").select("_key", "_train", "_q", F.unhex(F.md5("_q")).alias("_qh"), "_hs").where("_q <> ''"))
     distinct = asked.groupBy("_train", "_qh").agg(F.first("_q").alias("_q"))
     distinct = kept_table(_with_sketch(distinct.withColumns({"_id": F.xxhash64("_qh"), "_n": F.length("_q")})))
-    keys = asked.select("_train", F.xxhash64("_qh").alias("_id"), F.explode("_hs").alias("_h")).distinct()
+    keys = kept_table(asked.select("_train", F.xxhash64("_qh").alias("_id"), F.explode("_hs").alias("_h")).distinct())
     sides = distinct.groupBy("_qh").agg(F.count(F.lit(1)).alias("_n")).where("_n = 2")  # a question of both sides
     same = sides.select(F.col("_qh").alias("_eq"), F.col("_qh").alias("_tq"))
     linked = cut(_near_questions(distinct, keys).unionByName(same))
