@@ -1,7 +1,9 @@
 """Problem 7: mixing sources to target shares of the total size.
 
-Token sizes per cell of source, language and topic are raked to target margins by iterative proportional
-fitting, with no cell used more often than its source may be. Each document then comes into the mix as
+Token sizes per cell of source, language and topic are raked by iterative proportional fitting to three
+margins: the sources' targets, and the shares that languages and topics shall have of the mix (those they have
+of all documents, unless given), with no cell used more often than its source may be. Where the margins
+contradict each other, the sources' hold and the others are met as nearly as proportional fitting comes. Each document then comes into the mix as
 often as the whole part of its cell's weight says, and once more with the weight's fraction as its
 probability; the probabilities are calibrated per source against the sizes in order of the documents'
 random numbers, so that a source's share is met to a small part of its size and not just in expectation.
@@ -96,27 +98,35 @@ def _cells(sized: DataFrame) -> list:
     return sizes
 
 
-def _plan(sizes: list, targets: list) -> tuple[dict[tuple, float], list[tuple]]:
+def _targets(targets: DataFrame) -> dict:
+    """(thousandths, repeats) by source: of one named twice the shares add up and the smaller number of repeats holds; raises if they are too many for the driver."""
+    per = targets.groupBy("source").agg(F.sum(F.coalesce("target_pm", F.lit(0))).alias("pm"), F.min(F.greatest(F.coalesce("max_repeats", F.lit(1)), F.lit(0))).alias("n"))
+    rows = per.limit(MAX_CELLS + 1).collect()
+    if len(rows) > MAX_CELLS:
+        raise ValueError(f"more than {MAX_CELLS} sources with targets")
+    return {r["source"]: (r["pm"], r["n"]) for r in rows}
+
+
+def _plan(sizes: list, wanted: dict, languages: dict[str, float] | None = None, topics: dict[str, float] | None = None) -> tuple[dict[tuple, float], list[tuple]]:
     """Weights of the cells, and the report's rows but for the actual tokens."""
     cells = {(r["_source"], r["_lang"], r["_topic"]): float(r["tokens"]) for r in sizes}
     total, have = sum(r["tokens"] for r in sizes), defaultdict(int)
     for r in sizes:
         have[r["_source"]] += r["tokens"]
-    wanted: dict = {}
-    for r in targets:  # a source named twice: its shares add up, the smaller number of repeats holds
-        pm, often = wanted.get(r["source"], (0, None))
-        n = max(0, r["max_repeats"] if r["max_repeats"] is not None else 1)
-        wanted[r["source"]] = (pm + (r["target_pm"] or 0), n if often is None else min(often, n))
-    goals = {s: total * wanted.get(s, (0, 0))[0] / 1000 for s in {*have, *wanted}}
-    reach = {s: min(goals[s], have[s] * wanted.get(s, (0, 0))[1]) for s in goals}
-    # Language and topic margins: those of the corpus once each source has its share.
-    margins = [reach, defaultdict(float), defaultdict(float)]
-    for (s, lang, about), size in cells.items():
-        part = size * reach[s] / have[s] if have[s] else 0.0
-        margins[1][lang] += part
-        margins[2][about] += part
-    weights = rake(cells, margins, {s: wanted.get(s, (0, 0))[1] for s in goals})
-    report = [(s, wanted.get(s, (0, 0))[0], wanted.get(s, (0, 0))[1], have[s], total, have[s] * wanted.get(s, (0, 0))[1] * 1000 < total * wanted.get(s, (0, 0))[0]) for s in goals]
+    known = {s: wanted.get(s, (0, 0)) for s in {*have, *wanted}}
+    reach = {s: min(total * pm / 1000, have[s] * n) for s, (pm, n) in known.items()}
+    mixed = sum(reach.values())
+
+    def margin(place: int, shares: dict[str, float] | None) -> dict[str, float]:
+        if shares is None:
+            shares = defaultdict(float)
+            for cell, size in cells.items():
+                shares[cell[place]] += size
+        whole = sum(shares.values()) or 1.0
+        return {name: mixed * x / whole for name, x in shares.items()}
+
+    weights = rake(cells, [reach, margin(1, languages), margin(2, topics)], {s: n for s, (_, n) in known.items()})
+    report = [(s, pm, n, have[s], total, have[s] * n * 1000 < total * pm) for s, (pm, n) in known.items()]
     return weights, report
 
 
@@ -125,23 +135,27 @@ REPORT = "source string, target_pm bigint, max_repeats int, source_tokens bigint
 
 def mix_plan(documents: DataFrame, targets: DataFrame, key: str = "doc_id", vocabulary: str = VOCABULARY) -> DataFrame:
     """One row per source of either table: target, tokens, and whether even all repeats fall short of it."""
-    return documents.sparkSession.createDataFrame(_plan(_cells(_sized(documents, key, vocabulary)), targets.limit(MAX_CELLS).collect())[1], REPORT)
+    return documents.sparkSession.createDataFrame(_plan(_cells(_sized(documents, key, vocabulary)), _targets(targets))[1], REPORT)
 
 
-def mix_sources(documents: DataFrame, targets: DataFrame, seed: int = 29, key: str = "doc_id", vocabulary: str = VOCABULARY) -> tuple[DataFrame, DataFrame]:
+def mix_sources(
+    documents: DataFrame, targets: DataFrame, seed: int = 29, key: str = "doc_id", vocabulary: str = VOCABULARY, languages: dict[str, float] | None = None, topics: dict[str, float] | None = None
+) -> tuple[DataFrame, DataFrame]:
     """(mix, report).
 
     The mix has ``key``, source, tokens and repeats (1 or more) of every document used. The mix is as
     large as all documents, each counted once, less what sources fall short of. The report has one row
-    per source, with actual_tokens and actual_pm (thousandths of all tokens). Null and empty texts have no tokens;
-    they come in like others. A null source is a source of its own; one without target is left out, one
+    per source, with actual_tokens, actual_pm (thousandths of the mix's tokens) and off_pm, what these are above
+    or below the target: where some sources fall short, the others make up more of the mix than their targets.
+    ``languages`` and ``topics`` are shares of the mix by name (in proportion; names without one keep what the
+    sources give them). Null and empty texts have no tokens; they come in like others. A null source is a source of its own; one without target is left out, one
     without documents falls short. Null max_repeats counts as 1, null target_pm as 0. Repeated rows count
     each. An empty table gives an empty mix. Further columns, whatever their names, are ignored.
     """
     spark = documents.sparkSession
     sized = cut(_sized(documents, key, vocabulary))  # sizes are used four times and dear to make
     sizes = _cells(sized)
-    weights, plan = _plan(sizes, targets.limit(MAX_CELLS).collect())
+    weights, plan = _plan(sizes, _targets(targets), languages, topics)
     whole = {c: math.floor(w + 1e-9) for c, w in weights.items()}
     rows = [(*c, whole[c], max(0.0, w - whole[c])) for c, w in weights.items()]
     per_cell = spark.createDataFrame(rows, "_s string, _l string, _t string, _whole int, _part double")
@@ -150,10 +164,10 @@ def mix_sources(documents: DataFrame, targets: DataFrame, seed: int = 29, key: s
     u = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col("_key")), 11) / F.lit(float(1 << 53))
     # A document's place: below 1 it would be drawn by its probability as such; the step that fits the source's size decides.
     drawn = joined.withColumn("_at", F.when(F.col("_part") > 1e-9, F.least(F.floor(u / F.col("_part") * (STEPS // 4)), F.lit(STEPS))))
-    need = {}
-    for c, w in weights.items():
-        part = max(0.0, w - whole[c])
-        need[c[0]] = need.get(c[0], 0.0) + part * next((float(r["tokens"]) for r in sizes if (r["_source"], r["_lang"], r["_topic"]) == c), 0.0)
+    need: dict = defaultdict(float)
+    for r in sizes:
+        c = (r["_source"], r["_lang"], r["_topic"])
+        need[c[0]] += max(0.0, weights[c] - whole[c]) * r["tokens"]
     needs = spark.createDataFrame([(s, n) for s, n in need.items()], "_s string, _need double")
     steps = drawn.where("_at IS NOT NULL").groupBy("_source", "_at").agg(F.sum("tokens").alias("_n")).withColumn("_upto", F.sum("_n").over(Window.partitionBy("_source").orderBy("_at")))
     cutoff = steps.join(F.broadcast(needs), F.col("_source").eqNullSafe(F.col("_s"))).where("_upto - _n / 2 <= _need").groupBy("_source").agg(F.max("_at").alias("_last")).withColumnRenamed("_source", "_s2")
@@ -161,8 +175,10 @@ def mix_sources(documents: DataFrame, targets: DataFrame, seed: int = 29, key: s
     repeats = F.col("_whole") + F.coalesce((F.col("_at") <= F.col("_last")).cast("int"), F.lit(0))
     mix = out.select(F.col("_key").alias(key), F.col("_source").alias("source"), "tokens", repeats.alias("repeats")).where("repeats > 0")
     actual = mix.groupBy(F.col("source").alias("_src")).agg(F.sum(F.col("tokens") * F.col("repeats")).alias("_n"))
-    report = spark.createDataFrame(plan, REPORT).join(F.broadcast(actual), F.col("source").eqNullSafe(F.col("_src")), "left")
-    report = report.select(*[x.split()[0] for x in REPORT.split(", ")], F.coalesce("_n", F.lit(0)).alias("actual_tokens"), F.round(F.coalesce("_n", F.lit(0)) * 1000 / F.col("total_tokens"), 3).alias("actual_pm"))
+    report = spark.createDataFrame(plan, REPORT).join(F.broadcast(actual), F.col("source").eqNullSafe(F.col("_src")), "left").withColumn("actual_tokens", F.coalesce("_n", F.lit(0)))
+    share = F.coalesce(F.col("actual_tokens") * 1000 / F.nullif(F.sum("actual_tokens").over(Window.partitionBy()), F.lit(0)), F.lit(0.0))  # one row per source
+    report = report.withColumn("actual_pm", F.round(share, 3)).withColumn("off_pm", F.round(F.col("actual_pm") - F.col("target_pm"), 3))
+    report = report.select(*[x.split()[0] for x in REPORT.split(", ")], "actual_tokens", "actual_pm", "off_pm")
     return mix, report
 
 
