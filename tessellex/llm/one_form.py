@@ -1,16 +1,17 @@
 """Problem 1: text that looks the same in one form.
 
-Three steps, of which the first runs over all text inside Spark's generated code:
-
 1. Code points that are always the same to a reader get one code: full-width forms, compatibility and
-   radical codes of ideographs, every kind of space; invisible ones go; line ends become one code.
-2. Script-aware repair of words in which letters of several alphabets, or combining marks, meet. Such
-   words are rare; each distinct one is repaired once: its dominant script is the one that most of its
-   letters can belong to, look-alikes of other scripts are put into it, and the result is taken if the
-   corpus' own vocabulary of clean words has it.
-3. A word whose repair the vocabulary lacks gets the form of the script that its letters without
-   look-alikes call for, and Latin if there are none, so that equal looks end in equal strings even where a
-   word has no clean copy.
+   radical codes of ideographs, every kind of space; invisible ones go; line ends become one code. This runs
+   over all text inside Spark's generated code.
+2. Script-aware repair of words in which letters of several alphabets meet. Such words are rare; each distinct
+   one is repaired once: look-alikes of other scripts are put into its dominant script, the one that most of its
+   letters can belong to, and the result is taken if the corpus' own vocabulary of clean words has it; else
+   the next script that gives a known word. A word without any stays as it is, and so do words of one script,
+   whatever they resemble. Combining marks are composed with their letters.
+
+Two texts look the same if their look keys are equal: the form with every letter that has a Latin twin
+as that one. The key needs no vocabulary, so that equal looks meet even where a word has no clean copy or
+stands in two scripts.
 
 What a reader can tell apart stays apart: case, numbers of spaces and line ends, raised and encircled
 signs, roman numeral signs, other words.
@@ -26,7 +27,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import table
+from ..session import cut, kept_table, table
 
 # Letters of other alphabets by the Latin letter of the same shape.
 CYRILLIC = dict(zip("АВЕЅІЈКМНОРСТУХҮԌԚԜһԁԛԝаеѕіјорсухѵгӀӏҺ", "ABESIJKMHOPCTYXYGQWhdqwaesijopcyxvrIlh"))
@@ -78,6 +79,8 @@ SAME = _same_codes()
 COMMON = "，！？：；（）～"
 #: A word of letters, marks and digits that has a combining mark, or a letter of Greek, Cyrillic, Armenian or of LATIN_KIN.
 WORD = r"[\p{L}\p{M}\p{Nd}&&[^一-鿿㐀-䶿\x{20000}-\x{3FFFF}ぁ-ヿ가-힣]]+"
+#: A letter, mark or digit of the scripts told apart here.
+ANY = "[0-9A-Za-zÀ-֏]"
 SUSPECT = r"[̀-ͯͰ-ϿЀ-ԯ԰-֏ɑɡ]"
 
 
@@ -109,72 +112,96 @@ def _script(letter: str) -> str:
     return "Armenian" if "԰" <= letter <= "֏" else "Latin"
 
 
-def repair(word: str) -> tuple[str, str]:
-    """(into its dominant script, into one script whatever the vocabulary says) of one word, both composed."""
+def repair(word: str) -> tuple[list[str], str, str]:
+    """(the word in each script that all its letters can be put into, the dominant one first; composed word; its look) of one word.
+
+    The list is empty for a word of one script. Letters of LATIN_KIN count as strangers in a Latin word.
+    """
     bare = unicodedata.normalize("NFD", word)
+    composed, look = unicodedata.normalize("NFC", word), unicodedata.normalize("NFC", bare.translate(_TO_LATIN))
     letters = [c for c in bare if c.isalpha()]
+    seen = Counter("kin" if c in LATIN_KIN else _script(c) for c in letters)
+    if len(seen) < 2 and "kin" not in seen:
+        return [], composed, look
     # Letters without a look-alike show the script for sure; Latin ones without a foreign twin do so for Latin.
-    sure = Counter(_script(c) for c in letters if c not in ALIKE and (_script(c) != "Latin" or not any(c in set(t.values()) for t in (CYRILLIC, GREEK))))
-    seen = Counter(_script(c) for c in letters)
-
-    def into(script: str) -> str:
-        out = bare.translate(_TO_LATIN) if script == "Latin" else bare.translate(_FROM_LATIN.get(script, {}))
-        return unicodedata.normalize("NFC", out)
-
-    main = max(seen, key=lambda s: (sure[s], seen[s], s == "Latin")) if seen else "Latin"
-    strict = "Latin" if not sure or sure["Latin"] else main
-    return into(main), into(strict)
+    sure = Counter(_script(c) for c in letters if c not in ALIKE and (_script(c) != "Latin" or not any(ord(c) in t for t in _FROM_LATIN.values())))
+    out = []
+    for script in sorted({*seen, "Latin"} - {"kin"}, key=lambda x: (-sure[x], -seen[x], x != "Latin")):
+        to = bare.translate(_TO_LATIN) if script == "Latin" else bare.translate(_TO_LATIN).translate(_FROM_LATIN.get(script, {}))
+        if all(_script(c) == script for c in to if c.isalpha()):
+            out.append(unicodedata.normalize("NFC", to))
+    return out, composed, look
 
 
 def _suspects(coded: DataFrame) -> DataFrame:
     words = F.regexp_extract_all("_t", F.lit(WORD), F.lit(0))
-    return coded.where(F.col("_t").rlike(SUSPECT)).select("_key", "_tbl", F.explode(F.array_distinct(F.filter(words, lambda w: w.rlike(SUSPECT)))).alias("_w"))
+    return coded.select("_key", "_tbl", F.explode(F.array_distinct(F.filter(words, lambda w: w.rlike(SUSPECT)))).alias("_w"))
 
 
 def one_form(tables: dict[str, tuple[DataFrame, str, str]]) -> DataFrame:
-    """(tbl, id, raw, form) of all rows of several text columns, given as {name: (rows, key, text)}.
+    """(tbl, id, raw, form, look) of all rows of several text columns, given as {name: (rows, key, text)}.
 
-    The vocabulary is that of all given texts together. form is null for a null text and empty for an
-    empty one (or one of invisible characters only). Repeated rows come out each, and rows with the same
-    key keep their own form as long as table and key together name a row; ids are read as BIGINT. Further
-    columns of the rows, whatever their names, are ignored. An empty table adds nothing.
+    The vocabulary is that of all given texts together: their words of one script. form and look are null for
+    a null text and empty for an empty one (or one of invisible characters only). Repeated rows come out each,
+    and rows with the same key keep their own form as long as table and key together name a row; ids are read
+    as BIGINT. Further columns of the rows, whatever their names, are ignored. An empty table adds nothing.
     """
     parts = [rows.select(F.lit(name).alias("_tbl"), F.col(key).cast("bigint").alias("_key"), F.col(text).alias("_raw")) for name, (rows, key, text) in tables.items()]
     coded = reduce(DataFrame.unionByName, parts).withColumn("_t", same_codes(F.col("_raw")))
-    suspects = _suspects(coded)
+    odd = F.coalesce(F.col("_t").rlike(SUSPECT), F.lit(False))
+    rare = kept_table(coded.where(odd))  # texts with a word to look at, written once
 
-    @F.pandas_udf("main string, strict string")
+    @F.pandas_udf("options array<string>, composed string, look string")
     def repaired(words: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([repair(w) for w in words], columns=["main", "strict"])
-
-    distinct = suspects.groupBy("_w").agg(F.count(F.lit(1)).alias("_n")).withColumn("_r", repaired("_w"))
-    distinct = distinct.select("_w", "_r.main", "_r.strict")
-    # The vocabulary: words that are clean already, of the texts' scripts; only those that some repair asks for are counted.
-    clean = coded.select(F.explode(F.regexp_extract_all("_t", F.lit(r"[A-Za-z0-9À-ɏͰ-֏]*[A-Za-zÀ-ɏͰ-֏][A-Za-z0-9À-ɏͰ-֏]*"), F.lit(0))).alias("main")).distinct()
-    known = distinct.join(clean.withColumn("_known", F.lit(True)), "main", "left")
-    # Both answers end in one form for equal looks: a known word in a script is what its look-alikes become.
-    fixed = known.select("_w", F.when(F.col("_known") & (F.col("main") == F.col("strict")), F.col("main")).otherwise(F.col("strict")).alias("_to"))
-    pairs = suspects.join(fixed, "_w").where("_w <> _to").groupBy("_tbl", "_key").agg(F.map_from_entries(F.collect_set(F.struct("_w", "_to"))).alias("_map"))
+        return pd.DataFrame([repair(w) for w in words], columns=["options", "composed", "look"])
+
+    suspects = _suspects(rare)
+    distinct = cut(suspects.groupBy("_w").agg(F.count(F.lit(1)).alias("_n")).withColumn("_r", repaired("_w")).select("_w", "_r.*"))
+    # The vocabulary: only words that some repair asks for are looked for, which are of one script.
+    asked = distinct.select("_w", F.posexplode("options").alias("_p", "_o"))
+    words = F.regexp_extract_all("_t", F.lit(f"{ANY}+"), F.lit(0))
+    clean = coded.select(F.explode(F.array_distinct(words)).alias("_o")).join(asked.select("_o").distinct(), "_o", "left_semi").distinct()
+    known = asked.join(clean, "_o").groupBy("_w").agg(F.min_by("_o", "_p").alias("_to"))
+    fixed = distinct.join(known, "_w", "left").select("_w", F.coalesce("_to", "composed").alias("_to"), "look").where("_w <> _to OR _w <> look")
+    pairs = suspects.join(fixed, "_w").groupBy("_tbl", "_key").agg(F.map_from_entries(F.collect_set(F.struct("_w", F.struct("_to", "look")))).alias("_map"))
     pieces = F.regexp_extract_all("_t", F.lit(f"{WORD}|(?:(?!{WORD})[\\s\\S])+"), F.lit(0))
-    mended = F.array_join(F.transform(pieces, lambda w: F.coalesce(F.try_element_at("_map", w), w)), "")
-    plain = coded.where(~F.coalesce(F.col("_t").rlike(SUSPECT), F.lit(False))).select("_tbl", "_key", "_raw", F.col("_t").alias("form"))
-    rare = coded.where(F.col("_t").rlike(SUSPECT)).join(pairs, ["_tbl", "_key"], "left")
-    rare = rare.select("_tbl", "_key", "_raw", F.when(F.col("_map").isNull(), F.col("_t")).otherwise(mended).alias("form"))
-    return plain.unionByName(rare).select(F.col("_tbl").alias("tbl"), F.col("_key").alias("id"), F.col("_raw").alias("raw"), "form")
+
+    def mended(which: str) -> Column:
+        whole = F.array_join(F.transform("_p", lambda w: F.coalesce(F.try_element_at("_map", w)[which], w)), "")
+        return F.when(F.col("_map").isNull(), F.col("_t")).otherwise(whole)
+
+    plain = coded.where(~odd).select("_tbl", "_key", "_raw", F.col("_t").alias("form"), F.col("_t").alias("look"))
+    rare = rare.join(pairs, ["_tbl", "_key"], "left").withColumn("_p", F.when(F.col("_map").isNotNull(), pieces))
+    rare = rare.select("_tbl", "_key", "_raw", mended("_to").alias("form"), mended("look").alias("look"))
+    out = plain.unionByName(rare)
+    return out.select(F.col("_tbl").alias("tbl"), F.col("_key").alias("id"), F.col("_raw").alias("raw"), "form", "look")
+
+
+def look_classes(forms: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(classes, members): pairs of different strings of one table that look the same, as (tbl, a, b) with a < b, and (tbl, id, string) of the rows that have one of them.
+
+    Only hashes of 128 bits travel. Copies of a string are one member of a class each, and no pairs among themselves.
+    """
+    def code(c: str) -> Column:
+        return F.unhex(F.md5(c))
+
+    hashed = cut(forms.where("raw <> ''").select("tbl", "id", code("look").alias("look"), code("raw").alias("string")))
+    strings = hashed.groupBy("tbl", "look", "string").agg(F.count(F.lit(1)).alias("rows"))
+    several = strings.groupBy("tbl", "look").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("tbl", "look")
+    kept = strings.join(several, ["tbl", "look"]).select("tbl", "look", "string")
+    classes = kept.withColumnRenamed("string", "a").join(kept.withColumnRenamed("string", "b"), ["tbl", "look"]).where("a < b").select("tbl", "a", "b")
+    return classes, hashed.join(several, ["tbl", "look"]).select("tbl", "id", "string")
 
 
 def look_alikes(forms: DataFrame) -> DataFrame:
-    """(tbl, id_a, id_b): pairs of rows of one table with the same form and different strings, id_a < id_b.
+    """(tbl, id_a, id_b): pairs of rows of one table that look the same and are different strings, id_a < id_b.
 
-    Only 128-bit hashes travel. Rows whose form has a single string, however many copies of it there are,
-    are left out before any pair is made.
+    Strings are paired first, and rows come in only for the result, which has them all.
     """
-    hashed = forms.where("raw <> ''").select("tbl", "id", F.xxhash64("form").alias("f1"), F.crc32(F.encode("form", "UTF-8")).alias("f2"), F.xxhash64("raw").alias("r1"), F.crc32(F.encode("raw", "UTF-8")).alias("r2"))
-    several = hashed.groupBy("tbl", "f1", "f2").agg(F.min(F.struct("r1", "r2")).alias("a"), F.max(F.struct("r1", "r2")).alias("b")).where("a <> b").select("tbl", "f1", "f2")
-    rows = hashed.join(several, ["tbl", "f1", "f2"])
-    other = rows.withColumnsRenamed({"id": "id_b", "r1": "s1", "r2": "s2"})
-    pairs = rows.withColumnRenamed("id", "id_a").join(other, ["tbl", "f1", "f2"]).where("id_a < id_b AND (r1 <> s1 OR r2 <> s2)")
-    return pairs.select("tbl", "id_a", "id_b")
+    classes, members = look_classes(forms)
+    left, right = members.select("tbl", F.col("string").alias("a"), F.col("id").alias("x")), members.select("tbl", F.col("string").alias("b"), F.col("id").alias("y"))
+    pairs = classes.join(left, ["tbl", "a"]).join(right, ["tbl", "b"])
+    return pairs.where("x <> y").select("tbl", F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"))
 
 
 def _forms(spark: SparkSession, folder: str) -> DataFrame:
@@ -189,5 +216,13 @@ def p1_forms(spark: SparkSession, folder: str) -> DataFrame:
     return _forms(spark, folder).select("tbl", "id", "form")
 
 
-QUERIES = {"p1_found": p1_found, "p1_forms": p1_forms}
+def p1_classes(spark: SparkSession, folder: str) -> DataFrame:
+    """How many rows each look-alike string of a class has, and of how many strings the class is."""
+    classes, members = look_classes(_forms(spark, folder))
+    linked = classes.select("tbl", F.col("a").alias("string")).unionByName(classes.select("tbl", F.col("b").alias("string")))
+    links = linked.groupBy("tbl", "string").agg(F.count(F.lit(1)).alias("links"))
+    return members.join(links, ["tbl", "string"]).select("tbl", "id", F.lower(F.hex("string")).alias("string"), "links")
+
+
+QUERIES = {"p1_found": p1_found, "p1_forms": p1_forms, "p1_classes": p1_classes}
 SQL: dict[str, str] = {}
