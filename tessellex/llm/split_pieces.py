@@ -2,7 +2,8 @@
 
 One regular expression per row cuts the content: its alternatives are ordered by the strength of the
 boundary (rest of the text, line end, sentence end, any character), each with a bounded quantifier that
-takes as much as still fits. Character offsets of the cuts give each piece its overlap by looking back.
+takes as much as still fits. Character offsets of the cuts give each piece its overlap by looking back at
+the stretches before it; the time is linear in the text's length.
 All of it is built-in SQL on arrays, without a Python worker and without a shuffle of the content.
 """
 
@@ -13,8 +14,10 @@ from pyspark.sql import functions as F
 
 from ..session import table
 
-#: The largest number of limits that is broadcast.
+#: The largest number of limits that is broadcast; more are joined by a shuffle.
 MAX_TYPES = 100_000
+#: Texts in a block of running sums.
+BLOCK = 128
 LINE_END = r"(?:\r\n|\n|\r(?!\n))"
 SENTENCE_END = "[。！？；!?;]"
 NEITHER = r"[\n\r。！？；!?;]"
@@ -42,15 +45,17 @@ def split_oversized(
 
     ``limits`` has law_type, max_chars, overlap_chars; its row of null law_type holds for types that are
     null or not listed (without such a row, those items have no limit and are not split). Result: one row
-    per piece with ``key``, piece (from 0), pieces, piece_text, start (offset of the piece's own content),
-    overlap (characters repeated from before), cut ('line', 'sentence', 'character' or 'end'), max_chars
-    and longest_run (the content's longest stretch without line or sentence end).
+    per piece with ``key``, piece (from 0), pieces, part ('title' or 'content'), piece_text, start (offset of
+    the piece's own stretch in its part), overlap (characters repeated from before), cut ('line', 'sentence',
+    'character' or 'end'), max_chars and longest_run (the content's longest stretch without line or sentence end).
 
     A piece is the title, a line end, the overlap and a stretch of content, at most max_chars code points
-    together. A null title counts as an empty one, and an empty one takes no line end. A title longer than
-    half the limit is cut to that half. An overlap above half of what the title leaves is cut to that
-    half. Null or empty content of an item with an oversized title gives one piece. Repeated rows give
-    their pieces each; an empty table gives none. Further columns of the items are ignored, whatever their names.
+    together. A null title counts as an empty one, and an empty one takes no line end. A title that leaves
+    less than the overlap and a quarter of the limit leads with as much as leaves that; the rest of such a title
+    comes first, in pieces of its own without overlap. An overlap above max_chars - 3 leaves no room and is cut to
+    that. A limit under 3 counts as 3. Null or empty content has no pieces, unless the title has none of its own either (then
+    one). Repeated rows give their pieces each; an empty table gives none. Further columns of the items are
+    ignored, whatever their names.
     """
     known = limits.where("law_type IS NOT NULL").groupBy("law_type").agg(F.min("max_chars").alias("_m"), F.min("overlap_chars").alias("_o"))
     # The one default row is a setting, so its two numbers become literals.
@@ -58,42 +63,68 @@ def split_oversized(
     picked = items.select(
         F.col(key).alias("_key"), F.coalesce(F.col(title), F.lit("")).alias("_title"), F.coalesce(F.col(content), F.lit("")).alias("_content"), F.col(kind).alias("_kind")
     )
-    if known.limit(MAX_TYPES + 1).count() > MAX_TYPES:
-        raise ValueError(f"more than {MAX_TYPES} types with limits")
-    sized = picked.join(F.broadcast(known), F.col("_kind") == F.col("law_type"), "left")
+    if known.limit(MAX_TYPES + 1).count() <= MAX_TYPES:
+        known = F.broadcast(known)
+    sized = picked.join(known, F.col("_kind") == F.col("law_type"), "left")
     listed = F.col("law_type").isNotNull()
     big = sized.select(
         "_key", "_title", "_content",
         F.when(listed, F.col("_m")).otherwise(F.lit(rest[0])).alias("_max"),
         F.greatest(F.lit(0), F.coalesce(F.when(listed, F.col("_o")).otherwise(F.lit(rest[1])), F.lit(0))).alias("_overlap"),
     ).where(F.length("_title") + F.length("_content") > F.col("_max"))
-    head = F.when(F.length("_title") > F.col("_max") / 2, F.expr("substring(_title, 1, greatest(0, _max div 2 - 1))")).otherwise(F.col("_title"))
-    fit = big.withColumn("_head", F.when(head != "", F.concat(head, F.lit("\n"))).otherwise(F.lit("")))
-    fit = fit.withColumn("_room", F.greatest(F.lit(2), F.col("_max") - F.length("_head")))
-    fit = fit.withColumn("_back", F.least("_overlap", F.expr("_room div 2")).cast("int")).withColumn("_own", F.col("_room") - F.col("_back"))
+    fit = big.withColumn("_top", F.greatest(F.lit(3), F.col("_max"))).withColumn("_back", F.expr("least(_overlap, _top - 3)"))
+    fit = fit.withColumn("_left", F.expr("greatest(2, least(_top div 4, _top - 1 - _back)) + _back"))
+    fit = fit.withColumn("_led", F.expr("if(length(_title) + 1 + _left <= _top, length(_title), greatest(0, _top - 1 - _left))").cast("int"))
+    fit = fit.withColumn("_head", F.expr("if(_led > 0, concat(substring(_title, 1, _led), '\n'), '')"))
+    fit = fit.withColumn("_room", F.expr("_top - length(_head)").cast("int")).withColumn("_own", F.expr("_room - _back").cast("int")).withColumn("_back", F.col("_back").cast("int"))
     pattern = F.concat(F.lit(r"\A(?:"), _cuts(F.col("_room")), F.lit(")|(?:"), _cuts(F.col("_own")), F.lit(")"))
-    parts = F.regexp_extract_all("_content", pattern, F.lit(0))
-    fit = fit.withColumn("_parts", F.when(F.size(parts) > 0, parts).otherwise(F.array(F.lit(""))))
-    ends = F.aggregate("_parts", F.array().cast("array<int>"), lambda acc, x: F.concat(acc, F.array(F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0)) + F.length(x))))
-    fit = fit.withColumn("_ends", ends).withColumn("_run", F.array_max(F.transform(F.split("_content", NEITHER), F.length)))
-    one = fit.select("_key", "_head", "_content", "_max", "_back", "_run", F.size("_parts").alias("pieces"), F.posexplode(F.arrays_zip("_parts", "_ends")).alias("piece", "_x"))
-    start = F.col("_x._ends") - F.length("_x._parts")
-    one = one.withColumn("start", start).withColumn("overlap", F.least("_back", "start"))
-    body = F.col("_content").substr(F.col("start") - F.col("overlap") + 1, F.col("overlap") + F.length("_x._parts"))
+    fit = fit.withColumn("_rest", F.regexp_extract_all(F.expr("substring(_title, _led + 1)"), F.concat(F.lit(r"[\s\S]{1,"), F.col("_room").cast("string"), F.lit("}")), F.lit(0)))
+    fit = fit.withColumn("_parts", F.regexp_extract_all("_content", pattern, F.lit(0)))
+    fit = fit.withColumn("_parts", F.when((F.size("_parts") > 0) | (F.size("_rest") > 0), F.col("_parts")).otherwise(F.array(F.lit(""))))
+    fit = _with_starts(fit, "_parts").withColumn("_run", F.array_max(F.transform(F.split("_content", NEITHER), F.length)))
+    titled = F.expr("transform(_rest, (t, i) -> struct('title' AS part, t AS body, cast(i * _room AS int) AS start, 0 AS overlap))")
+    own = F.transform(F.arrays_zip(F.col("_parts").alias("p"), F.col("_starts").alias("s")), lambda x, i: F.struct(
+        F.lit("content").alias("part"), F.concat(_before("_parts", i, "_back"), x["p"]).alias("body"), x["s"].alias("start"), F.least(F.col("_back"), x["s"]).alias("overlap")
+    ))
+    one = fit.select("_key", "_head", "_max", "_run", F.concat(titled, own).alias("_pieces"))
+    # The number of pieces is known before they are exploded, so that no row carries all of them. Each item has a piece;
+    # the outer form keeps the optimiser from a filter that would make the pieces twice.
+    one = one.select("_key", "_head", "_max", "_run", F.size("_pieces").alias("pieces"), "_pieces")
+    one = one.select("_key", "_head", "_max", "_run", "pieces", F.posexplode_outer("_pieces").alias("piece", "_x"))
+    body = F.col("_x.body")
     return one.select(
-        F.col("_key").alias(key), "piece", "pieces", F.concat("_head", body).alias("piece_text"), "start", "overlap",
-        F.when(F.col("piece") + 1 == F.col("pieces"), "end").when(F.col("_x._parts").rlike(r"[\n\r]\z"), "line").when(F.col("_x._parts").rlike(SENTENCE_END + r"\z"), "sentence").otherwise("character").alias("cut"),
+        F.col("_key").alias(key), "piece", "pieces", "_x.part", F.concat("_head", body).alias("piece_text"), "_x.start", "_x.overlap",
+        F.when(F.col("piece") + 1 == F.col("pieces"), "end").when(body.rlike(r"[\n\r]\z"), "line").when(body.rlike(SENTENCE_END + r"\z"), "sentence").otherwise("character").alias("cut"),
         F.col("_max").alias("max_chars"), F.col("_run").alias("longest_run"),
     )
 
 
+def _with_starts(rows: DataFrame, parts: str) -> DataFrame:
+    """Adds _starts, the offsets of an array's texts in their concatenation: running sums within blocks, and over the blocks, so that no long array is copied at each step."""
+    sums = "aggregate({0}, array(cast({1} AS int)), (a, n) -> concat(a, array(element_at(a, -1) + n)))"
+    blocks = f"transform(sequence(0, (size({parts}) - 1) div {BLOCK}), b -> transform(slice({parts}, b * {BLOCK} + 1, {BLOCK}), t -> length(t)))"
+    out = rows.withColumn("_lengths", F.expr(f"if(size({parts}) = 0, cast(array() AS array<array<int>>), {blocks})"))
+    out = out.withColumn("_upto", F.expr(sums.format("transform(_lengths, b -> aggregate(b, 0, (s, n) -> s + n))", "0")))
+    within = f"zip_with(_lengths, slice(_upto, 1, size(_lengths)), (b, u) -> slice({sums.format('b', 'u')}, 1, size(b)))"
+    return out.withColumn("_starts", F.expr(f"flatten({within})")).drop("_lengths", "_upto")
+
+
+def _before(parts: str, i: Column, back: str) -> Column:
+    """The last ``back`` characters before the i-th text: of the text before it if that is long enough, else of as many as it takes."""
+    texts, want = F.col(parts), F.col(back)
+    last = F.try_element_at(texts, i)
+    few = F.array_join(F.slice(texts, F.greatest(F.lit(1), i - BLOCK + 1), F.least(i, F.lit(BLOCK))), "")
+    enough = F.when(F.length(few) >= want, few).otherwise(F.array_join(F.slice(texts, F.lit(1), i), ""))
+    return F.when((i == 0) | (want == 0), "").when(F.length(last) >= want, F.right(last, want)).otherwise(F.right(enough, want))
+
+
 def p3_pieces(spark: SparkSession, folder: str) -> DataFrame:
     return split_oversized(table(spark, folder, "laws"), table(spark, folder, "split_limits"))
 
 
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     """Every split law once; its pieces carry the longest stretch that no natural cut can divide."""
-    first = p3_pieces(spark, folder).where("piece = 0")
+    first = p3_pieces(spark, folder).where("piece = 0")  # of the title or the content
     return first.select("law_id", F.when(F.col("longest_run") > F.col("max_chars"), "forced").otherwise("natural").alias("kind"))
 
 
