@@ -16,25 +16,39 @@ def _forms(spark, texts, extra=False):
 
 
 def test_one_form(spark):
-    texts = ["Bank of 中⽂，ＡＢ１", "Bаnk of 中文,AB1", "a​b c", "ab c", "ab  c", "café", "café", "m²", "m2", "①", "1", "行\r\n次", "行\n次", "Ab", "ab", None, "", "дом", "ΒΑΝΚ", "BANK", "Ⅳ", "IV"]
-    form = {r["id"]: r["form"] for r in _forms(spark, texts).collect()}
-    same = [(0, 1), (2, 3), (5, 6), (11, 12), (18, 19)]
-    assert all(form[a] == form[b] for a, b in same)
+    texts = ["Bank of 中⽂，ＡＢ１", "Bаnk of 中文,AB1", "a\u200bb\u3000c", "ab c", "ab  c", "caf\u00e9", "cafe\u0301", "m²", "m2", "①", "1", "行\r\n次", "行\n次", "Ab", "ab", None, "", "дом", "ΒΑΝΚ", "BANK", "Ⅳ", "IV", "дoм", "Quаrx"]
+    rows = {r["id"]: r for r in _forms(spark, texts).collect()}
+    form, look = ({i: r[c] for i, r in rows.items()} for c in ("form", "look"))
+    same = [(0, 1), (2, 3), (5, 6), (11, 12), (17, 22)]
+    assert all(form[a] == form[b] and look[a] == look[b] for a, b in same)
     apart = [(3, 4), (7, 8), (9, 10), (13, 14), (20, 21)]
-    assert all(form[a] != form[b] for a, b in apart)
+    assert all(form[a] != form[b] and look[a] != look[b] for a, b in apart)
     assert form[15] is None and form[16] == "" and form[17] == "дом"
+    assert form[18] == "ΒΑΝΚ" and look[18] == look[19] == "BANK"  # a word of one script keeps its letters
+    assert form[23] == "Quаrx" and look[23] == "Quarx"  # no clean word to repair it into
+
+
+def test_vocabulary_decides(spark):
+    with_word, without = _forms(spark, ["Lоrvit", "Lorvit"]).collect(), _forms(spark, ["Lоrvit", "x"]).collect()
+    assert {r["form"] for r in with_word} == {"Lorvit"}
+    assert {r["form"] for r in without} == {"Lоrvit", "x"}
+    assert {r["form"] for r in _forms(spark, ["сор", "оса", "ΝΟΤΕ", "cop", "NOTE"]).collect()} == {"сор", "оса", "ΝΟΤΕ", "cop", "NOTE"}
 
 
 def test_look_alikes(spark):
-    texts = ["甲а乙", "甲a乙", "甲a乙", "丙", None, "", "​"]
+    texts = ["甲а乙", "甲a乙", "甲a乙", "丙", None, "", "\u200b", "cop", "сор"]
     pairs = {(r["id_a"], r["id_b"]) for r in one_form.look_alikes(_forms(spark, texts)).collect()}
-    assert pairs == {(0, 1), (0, 2)}  # null and empty texts form none; equal strings neither
+    assert pairs == {(0, 1), (0, 2), (7, 8)}  # null and empty texts form none; equal strings neither
     assert one_form.look_alikes(_forms(spark, texts).limit(0)).collect() == []
+    many = _forms(spark, ["сор"] * 30 + ["cop"] * 30)
+    classes, members = one_form.look_classes(many)
+    assert classes.count() == 1 and members.count() == 60 and one_form.look_alikes(many).count() == 900
 
 
-def test_repair_needs_no_vocabulary_for_equal_looks():
-    assert one_form.repair("Bаnk")[1] == one_form.repair("Bank")[1] == one_form.repair("Ваnk")[1] == "Bank"
-    assert one_form.repair("дoм")[0] == "дом"
+def test_repair():
+    assert one_form.repair("Bаnk")[0][0] == "Bank" and one_form.repair("дoм")[0] == ["дом"]
+    assert one_form.repair("сор")[0] == [] and one_form.repair("cafe\u0301") == ([], "caf\u00e9", "caf\u00e9")
+    assert one_form.repair("cafе\u0301")[2] == "caf\u00e9"  # a Cyrillic letter below the accent
 
 
 # --- problem 2
@@ -94,14 +108,20 @@ def test_split_round_trip(spark):
         if len(title or "") + len(whole) <= limit:
             assert key not in pieces
             continue
-        own = sorted(pieces[key], key=lambda p: p["piece"])
-        assert [p["piece"] for p in own] == list(range(own[0]["pieces"]))
+        both = sorted(pieces[key], key=lambda p: p["piece"])
+        assert [p["piece"] for p in both] == list(range(both[0]["pieces"]))
+        assert all(len(p["piece_text"]) <= limit for p in both)
+        rest = [p for p in both if p["part"] == "title"]
+        own = both[len(rest) :]
+        assert all(p["part"] == "content" for p in own)
+        led = min(len(title or ""), limit - 1 - overlap - max(2, limit // 4)) if len(title or "") + 1 + overlap + max(2, limit // 4) > limit else len(title or "")
+        head = (title or "")[:led] + ("\n" if led else "")
+        assert head.rstrip("\n") + "".join(p["piece_text"][len(head) :] for p in rest) == (title or "")  # the whole title comes out
         back = ""
         for k, p in enumerate(own):
-            assert len(p["piece_text"]) <= limit
             end = own[k + 1]["start"] if k + 1 < len(own) else len(whole)
-            assert p["piece_text"].endswith(whole[p["start"] - p["overlap"] : end])
-            assert p["overlap"] <= overlap and (k == 0 or p["overlap"] > 0)
+            assert p["piece_text"] == head + whole[p["start"] - p["overlap"] : end]
+            assert p["overlap"] == min(overlap, p["start"])
             back += whole[p["start"] : end]
             if title:
                 assert p["piece_text"].startswith(title[: limit // 2 - 1])
@@ -110,6 +130,16 @@ def test_split_round_trip(spark):
         assert back == whole
 
 
+def test_split_long_text(spark):
+    for size in (20_000, 1_000_000):
+        whole = "".join("一行文字，没有别的。"[: 3 + i % 7] + "\n" * (i % 3 == 0) for i in range(size // 7))
+        got = sorted(_split(spark, [(1, "题" * 3000, whole, "y", "")]).select("piece", "part", "start", F.length("piece_text").alias("n"), "overlap", "piece_text").collect())
+        own = [p for p in got if p["part"] == "content"]
+        assert max(p["n"] for p in got) <= 60 and all(p["overlap"] == min(10, p["start"]) for p in own)
+        assert "".join(p["piece_text"][p["n"] - (q["start"] if q else len(whole)) + p["start"] :] for p, q in zip(own, [*own[1:], None])) == whole
+        assert sum(p["n"] for p in got if p["part"] == "title") >= 3000
+
+
 def test_split_empty(spark):
     assert _split(spark, [(1, "t", "c", "x", "")]).collect() == []
 
@@ -249,13 +279,28 @@ def test_rake():
     assert abs(w["a", "zh", "x"] * 100 + w["a", "en", "x"] * 50 - 60) < 1e-6 and w["b", "zh", "y"] == 2
 
 
+def test_rake_meets_all_margins():
+    r = random.Random(3)
+    cells = {(s, lang, t): float(r.randrange(50, 500)) for s in "abc" for lang in ("zh", "en") for t in ("x", "y", "z")}
+    total = sum(cells.values())
+    margins = [{"a": 0.3 * total, "b": 0.3 * total, "c": 0.4 * total}, {"zh": 0.7 * total, "en": 0.3 * total}, {"x": 0.2 * total, "y": 0.5 * total, "z": 0.3 * total}]
+    w = mix_sources.rake(cells, margins, dict.fromkeys("abc", 20))
+    for place, margin in enumerate(margins):
+        for name, goal in margin.items():
+            assert abs(sum(x * w[c] for c, x in cells.items() if c[place] == name) - goal) < 0.001 * goal
+    only_sources = mix_sources.rake(cells, [margins[0], {}, {}], dict.fromkeys("abc", 20))
+    assert max(abs(w[c] - only_sources[c]) for c in cells) > 0.1  # languages and topics change the weights
+
+
 def test_mix(spark):
     docs = [(i, "字" * (5 + i % 7), "zh", "ab"[i % 2], "某法") for i in range(400)] + [(900, None, None, "a", None), (901, "", "zh", None, None), (902, "词语", "zh", "c", "x")]
     frame = spark.createDataFrame([(*d, 1) for d in docs], "doc_id long, text string, lang string, source string, law_title string, repeats int")
     targets = spark.createDataFrame([("a", 200, 1), ("b", 790, 2), ("d", 10, 5)], "source string, target_pm int, max_repeats int")
     mix, report = mix_sources.mix_sources(frame, targets)
     got = {r["source"]: r for r in report.collect()}
-    assert abs(got["a"]["actual_pm"] - 200) < 5 and abs(got["b"]["actual_pm"] - 790) < 5
+    # Shares of the mix, which lacks what d falls short of.
+    assert abs(got["a"]["actual_pm"] - 200 / 0.99) < 5 and abs(got["b"]["actual_pm"] - 790 / 0.99) < 5 and abs(sum(r["actual_pm"] for r in got.values()) - 1000) < 0.01
+    assert abs(got["b"]["off_pm"] - (got["b"]["actual_pm"] - 790)) < 0.01
     assert got["d"]["short"] and not got["a"]["short"] and not got["b"]["short"] and got["c"]["actual_tokens"] == 0
     assert mix.agg(F.max("repeats")).first()[0] <= 2 and mix.where("source = 'a'").agg(F.max("repeats")).first()[0] == 1
     mix, report = mix_sources.mix_sources(frame.limit(0), targets)
