@@ -35,9 +35,9 @@ from .one_form import latin_look, same_codes
 
 #: Characters of the training and of the held-out texts in a block.
 KNOWN_CHARS, HELD_CHARS = 4_000_000, 600_000
-#: Under linked questions with more pairs of answers than this the answers meet in blocks, and so do questions under an answer or sentence with more pairs.
-MANY_ANSWERS, MANY_QUESTIONS = 2_000, 100_000
-#: Rows in a block of those.
+#: Under linked questions with more pairs of answers than this the answers meet in blocks.
+MANY_ANSWERS = 2_000
+#: Rows in a block of the questions under one answer or sentence.
 KNOWN_ROWS, HELD_ROWS = 8_000, 2_000
 #: Shares of short runs that two questions and two answers have in common to be almost the same.
 SAME_QUESTION, SAME_ANSWER = 0.6, 0.6
@@ -247,39 +247,40 @@ def _facts(distinct: DataFrame, train: bool, key: str) -> DataFrame:
     return rows.select(F.col("_id").alias(key), *[F.col(c).alias(f"{key}{c}") for c in ("_n", *(f"_s{i}" for i in range(_SKETCHES)))])
 
 
-def _can_be_near(far: Column) -> Column:
-    """What length and sketches of _e and _k leave possible: an edit changes at most two places of a sketch."""
+def _can_be_near(far: bool) -> Column:
+    """What lengths and sketches of _e and _k leave possible: an edit changes at most two places of a sketch."""
     apart = reduce(Column.__add__, [F.bit_count(F.col(f"_e_s{i}").bitwiseXOR(F.col(f"_k_s{i}"))) for i in range(_SKETCHES)])
     longest, shortest = F.greatest("_e_n", "_k_n"), F.least("_e_n", "_k_n")
-    by_edits = (apart <= 2 * QUESTION_EDITS * longest) & (longest - shortest <= QUESTION_EDITS * longest)
-    return (apart <= 2 * F.expr(question_edits("least(_e_n, _k_n)"))) | far & F.when(longest > EDITED, shortest * 2 >= longest).otherwise(by_edits)
+    if not far:
+        return apart <= 2 * F.expr(question_edits("least(_e_n, _k_n)"))
+    by_edits = (longest - shortest <= QUESTION_EDITS * longest) & (apart <= 2 * QUESTION_EDITS * longest)
+    return F.when(longest > EDITED, shortest * 2 >= longest).otherwise(by_edits)
 
 
-def _answer_pairs(distinct: DataFrame, keys: DataFrame) -> DataFrame:
-    """(_e, _k) of questions that share an answer's key, but under keys with very many only those that length and sketches leave possible."""
-    held, known = keys.where("NOT _train").select("_h", F.col("_id").alias("_e")), keys.where("_train").select("_h", F.col("_id").alias("_k"))
-    sizes = keys.groupBy("_h").agg(F.count_if("_train").alias("_a"), F.count_if(~F.col("_train")).alias("_b"))
-    hot = cut(sizes.where(F.col("_a") * F.col("_b") > MANY_QUESTIONS))
-    if hot.isEmpty():
-        return held.join(known, "_h").where("_e <> _k").select("_e", "_k")
-    out = held.join(hot, "_h", "left_anti").join(known, "_h").where("_e <> _k").select("_e", "_k")
-    # Every block of one side meets every block of the other; a block's rows are lengths and sketches.
-    blocks = hot.select("_h", F.expr(f"(_a - 1) div {KNOWN_ROWS} + 1").alias("_kn"), F.expr(f"(_b - 1) div {HELD_ROWS} + 1").alias("_en"))
+def _answer_pairs(distinct: DataFrame, asked: DataFrame) -> DataFrame:
+    """(_e, _k) of questions that share an answer's key and that lengths and sketches leave possible.
 
-    def spread(rows: DataFrame, own: str, other: str) -> DataFrame:
-        facts = _facts(distinct, own == "_k", own)
-        return rows.join(blocks, "_h").join(facts, own).withColumn(f"{own}b", F.pmod(F.xxhash64(own), F.col(f"{own}n"))).withColumn(f"{other}b", F.explode(F.expr(f"sequence(0L, {other}n - 1)"))).drop("_kn", "_en")
+    Most keys have a single row; only those of both sides are looked at again, with lengths and sketches in place
+    of texts. Under a key of very many rows every block of one side meets every block of the other.
+    """
+    rows = asked.select("_train", F.xxhash64("_qh").alias("_id"), F.explode("_hs").alias("_h"))
+    sizes = rows.groupBy("_h").agg(F.count_if("_train").alias("_a"), F.count_if(~F.col("_train")).alias("_b")).where("_a > 0 AND _b > 0")
+    both = cut(sizes.select("_h", F.expr(f"cast((_a - 1) div {KNOWN_ROWS} + 1 AS int)").alias("_kn"), F.expr(f"cast((_b - 1) div {HELD_ROWS} + 1 AS int)").alias("_en")))
+    keys = rows.join(both, "_h").withColumn("_m", F.struct("_kn", "_en")).groupBy("_h", "_train", "_id").agg(F.first("_m").alias("_m"))
+
+    def spread(train: bool, own: str, other: str) -> DataFrame:
+        mine = keys.where("_train" if train else "NOT _train").select("_h", F.col("_id").alias(own), "_m._kn", "_m._en").join(_facts(distinct, train, own), own)
+        return mine.withColumn(f"{own}b", F.pmod(F.xxhash64(own), F.col(f"{own}n"))).withColumn(f"{other}b", F.explode(F.expr(f"sequence(0L, {other}n - 1L)"))).drop("_kn", "_en")
 
-    met = spread(held, "_e", "_k").join(spread(known, "_k", "_e"), ["_h", "_eb", "_kb"])
-    return out.unionByName(met.where(_can_be_near(F.lit(True)) & (F.col("_e") != F.col("_k"))).select("_e", "_k"))
+    met = spread(False, "_e", "_k").join(spread(True, "_k", "_e"), ["_h", "_eb", "_kb"])
+    return met.where(_can_be_near(True) & (F.col("_e") != F.col("_k"))).select("_e", "_k").distinct()
 
 
-def _near_questions(distinct: DataFrame, keys: DataFrame) -> DataFrame:
-    """(_eq, _tq): pairs of different questions that are almost the same, of distinct (_train, _qh, _id, _q, _n, sketches) and (_train, _id, _h) of their answers' keys."""
-    met = _segment_pairs(distinct).withColumn("_far", F.lit(False)).unionByName(_answer_pairs(distinct, keys).withColumn("_far", F.lit(True)))
-    met = met.groupBy("_e", "_k").agg(F.max("_far").alias("_far"))
-    met = met.join(_facts(distinct, False, "_e"), "_e").join(_facts(distinct, True, "_k"), "_k")
-    met = cut(met.where(_can_be_near(F.col("_far"))).select("_e", "_k", "_far"))
+def _near_questions(distinct: DataFrame, asked: DataFrame) -> DataFrame:
+    """(_eq, _tq): pairs of different questions that are almost the same, of distinct (_train, _qh, _id, _q, _n, sketches) and rows of (_train, _qh, _hs)."""
+    near = _segment_pairs(distinct).distinct().join(_facts(distinct, False, "_e"), "_e").join(_facts(distinct, True, "_k"), "_k").where(_can_be_near(False)).select("_e", "_k")
+    met = near.withColumn("_far", F.lit(False)).unionByName(_answer_pairs(distinct, asked).withColumn("_far", F.lit(True)))
+    met = cut(met.groupBy("_e", "_k").agg(F.max("_far").alias("_far")))
     text = distinct.join(met.select(F.col("_e").alias("_id")).union(met.select("_k")).distinct(), "_id", "left_semi")
     mine = text.where("NOT _train").select(F.col("_id").alias("_e"), F.col("_qh").alias("_eq"), F.col("_q").alias("_x"))
     theirs = text.where("_train").select(F.col("_id").alias("_k"), F.col("_qh").alias("_tq"), F.col("_q").alias("_y"))
@@ -302,10 +303,9 @@ def overlaps(
     asked = kept_table(_answer_keys(asked, "_a", "_hs").select("_key", "_train", "_q", F.unhex(F.md5("_q")).alias("_qh"), "_hs").where("_q <> ''"))
     distinct = asked.groupBy("_train", "_qh").agg(F.first("_q").alias("_q"))
     distinct = kept_table(_with_sketch(distinct.withColumns({"_id": F.xxhash64("_qh"), "_n": F.length("_q")})))
-    keys = kept_table(asked.select("_train", F.xxhash64("_qh").alias("_id"), F.explode("_hs").alias("_h")).distinct())
     sides = distinct.groupBy("_qh").agg(F.count(F.lit(1)).alias("_n")).where("_n = 2")  # a question of both sides
     same = sides.select(F.col("_qh").alias("_eq"), F.col("_qh").alias("_tq"))
-    linked = cut(_near_questions(distinct, keys).unionByName(same))
+    linked = cut(_near_questions(distinct, asked).unionByName(same))
 
     # Only the rows of linked questions are read in full.
     ends = linked.select(F.col("_eq").alias("_qh")).union(linked.select("_tq")).distinct()
