@@ -81,22 +81,34 @@ def sentence_chunks(text: Column, most: int = 512, overlap: int = 128) -> Column
     return F.aggregate(sentences(text), start, step, lambda acc: F.when(F.size(acc["now"]) > 0, F.concat(acc["done"], F.array(F.array_join(acc["now"], "")))).otherwise(acc["done"]))
 
 
-def pack_context(hits: DataFrame, group: str, rank: str, most: int = 2000, least_rest: int = 100) -> DataFrame:
-    """(group, context): ranked hits as header and body up to ``most`` characters; the last is cut with '...' if more than ``least_rest`` are left, and then the context ends."""
-    item = F.concat(F.lit("【"), F.coalesce("title", F.lit("")), F.lit("】\n"), F.col("content"))
-    lists = hits.groupBy(group).agg(F.array_sort(F.collect_list(F.struct(F.col(rank).alias("r"), item.alias("t")))).alias("_x"))  # at most top-k hits per group
+def pack_context(hits: DataFrame, group: str, rank: str, most: int = 2000, least_rest: int = 100, numbered: bool = False) -> DataFrame:
+    """(group, context): a heading, then ranked hits as header and body up to ``most`` characters; the last is cut with '...' if more than ``least_rest`` are left for its body, and then the context ends.
+
+    The plain form heads a hit with its title (its source, if it has none); the numbered one, of training records,
+    with its place and title.
+    """
+    if numbered:
+        top, glue = "【检索到的法条】", "\n\n"
+        header = lambda x, k: F.concat(F.lit("[文档"), k.cast("string"), F.lit("] "), x["t"], F.lit("：\n"))
+        name = F.coalesce("title", F.lit(""))
+    else:
+        top, glue = "【参考法律法规】", "\n"
+        header = lambda x, k: F.concat(F.lit("\n--- "), x["t"], F.lit(" ---\n"))
+        source = F.coalesce("source", F.lit("法规")) if "source" in hits.columns else F.lit("法规")
+        name = F.when(F.coalesce("title", F.lit("")) != "", F.col("title")).otherwise(source)
+    lists = hits.groupBy(group).agg(F.array_sort(F.collect_list(F.struct(F.col(rank).alias("r"), name.alias("t"), F.coalesce("content", F.lit("")).alias("c")))).alias("_x"))  # at most top-k hits per group
+    items = F.transform("_x", lambda x, i: F.struct(header(x, i + 1).alias("h"), x["c"].alias("c")))
     start = F.struct(_strings().alias("out"), F.lit(0).alias("n"), F.lit(False).alias("end"))
 
     def step(acc: Column, x: Column) -> Column:
-        rest = F.lit(most) - acc["n"]
-        fits = F.length(x["t"]) <= rest
-        part = F.concat(F.substring(x["t"], F.lit(1), rest), F.lit("..."))
-        taken = F.struct(F.concat(acc["out"], F.array(x["t"])).alias("out"), (acc["n"] + F.length(x["t"])).alias("n"), F.lit(False).alias("end"))
+        rest = F.lit(most) - acc["n"] - F.length(x["h"])
+        whole = F.struct(F.concat(acc["out"], F.array(F.concat(x["h"], x["c"]))).alias("out"), (acc["n"] + F.length(x["h"]) + F.length(x["c"])).alias("n"), F.lit(False).alias("end"))
+        part = F.concat(x["h"], F.substring(x["c"], F.lit(1), rest), F.lit("..."))
         cut = F.struct(F.concat(acc["out"], F.array(part)).alias("out"), F.lit(most).alias("n"), F.lit(True).alias("end"))
         stop = F.struct(acc["out"].alias("out"), acc["n"].alias("n"), F.lit(True).alias("end"))
-        return F.when(acc["end"], acc).when(fits, taken).when(rest > least_rest, cut).otherwise(stop)
+        return F.when(acc["end"], acc).when(F.length(x["c"]) <= rest, whole).when(rest > least_rest, cut).otherwise(stop)
 
-    return lists.select(group, F.aggregate("_x", start, step, lambda acc: F.array_join(acc["out"], "\n\n")).alias("context"))
+    return lists.select(group, F.concat(F.lit(top + glue), F.aggregate(items, start, step, lambda acc: F.array_join(acc["out"], glue))).alias("context"))
 
 
 __all__ = ["chunk_by_article", "pack", "pack_context", "paragraphs", "raft_chunks", "sentence_chunks", "split_long"]

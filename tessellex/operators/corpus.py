@@ -39,22 +39,23 @@ def clean_content(text: Column) -> Column:
 
 
 def latest_versions(laws: DataFrame, seq: str = "law_id") -> DataFrame:
-    """Of each title the row with the largest publish_date (as text), the first one at a tie; rows without title are dropped."""
-    order = Window.partitionBy("title").orderBy(F.coalesce("publish_date", F.lit("")).desc(), seq)
-    return laws.where("title IS NOT NULL AND title <> ''").withColumn("_r", F.row_number().over(order)).where("_r = 1").drop("_r")
+    """Of each title the row with the largest publish_date (as text), the first one at a tie; rows without title are dropped. ``seq`` names a row; only it travels."""
+    named = laws.where("title IS NOT NULL AND title <> ''")
+    first = named.groupBy("title").agg(F.max_by(seq, F.struct(F.coalesce("publish_date", F.lit("")), -F.col(seq))).alias(seq)).select(seq)
+    return named.join(first, seq, "left_semi")
 
 
 def preprocess(laws: DataFrame, types: tuple[str, ...] = legal.NATIONAL_TYPES, seq: str = "law_id", least: int = 30) -> DataFrame:
-    """Adds clean and reason ('type', 'status', 'version', 'mojibake', 'short' or null for kept)."""
-    scoped = F.when(~F.coalesce(F.col("type").isin(*types), F.lit(False)), "type").when(F.coalesce(F.trim("status"), F.lit("")) != "有效", "status")
+    """Adds clean and reason ('type', 'status', 'title', 'version', 'mojibake', 'short' or null for kept)."""
+    scoped = F.when(~F.coalesce(F.col("type").isin(*types), F.lit(False)), "type").when(F.coalesce(F.trim("status"), F.lit("")) != "有效", "status").when(F.coalesce("title", F.lit("")) == "", "title")
     tagged = laws.withColumn("_scope", scoped)
-    order = Window.partitionBy("title", F.col("_scope").isNull()).orderBy(F.coalesce("publish_date", F.lit("")).desc(), seq)
-    tagged = tagged.withColumn("_r", F.row_number().over(order)).withColumn("clean", F.when(F.col("_scope").isNull() & (F.col("_r") == 1), clean_content(F.col("content"))))
+    newest = latest_versions(tagged.where("_scope IS NULL").select(seq, "title", "publish_date"), seq).select(seq, F.lit(True).alias("_newest"))
+    tagged = tagged.join(newest, seq, "left").withColumn("clean", F.when(F.col("_newest"), clean_content(F.col("content"))))
     reason = (
-        F.when(F.col("_scope").isNotNull(), F.col("_scope")).when(F.coalesce("title", F.lit("")) == "", "title").when(F.col("_r") > 1, "version")
+        F.when(F.col("_scope").isNotNull(), F.col("_scope")).when(F.col("_newest").isNull(), "version")
         .when(has_mojibake(F.col("clean")), "mojibake").when(F.coalesce(F.length("clean"), F.lit(0)) < least, "short")
     )
-    return tagged.withColumn("reason", reason).drop("_scope", "_r")
+    return tagged.withColumn("reason", reason).drop("_scope", "_newest")
 
 
 def audit(laws: DataFrame) -> DataFrame:

@@ -2,20 +2,23 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..domain import legal
-from ..functions.text import any_of, clauses, has_html
+from ..functions.text import any_of, clauses
 
 FINDING = "array<struct<category:string,subtype:string,severity:string,span:string>>"
 
 
 def filter_input(question: Column) -> Column:
-    """G1: STRUCT<accepted, category>: danger first, then foreign topics, then whether any keyword of the field is there."""
+    """G1: STRUCT<accepted, category, reason>: danger first, then foreign topics, then whether any keyword of the field is there."""
     q = F.coalesce(question, F.lit(""))
     label = F.when(q.rlike("|".join(legal.DANGER)), "abusive").when(q.rlike("|".join(legal.OUT_OF_SCOPE)), "off_topic").when(any_of(q, legal.IN_SCOPE), "in_scope").otherwise("off_topic")
-    return F.struct((label == "in_scope").alias("accepted"), label.alias("category"))
+    reason = F.when(label == "abusive", "检测到危险内容，无法处理此请求。").when(q.rlike("|".join(legal.OUT_OF_SCOPE)), "您的问题不在本领域范围内。").when(label == "off_topic", "您的问题似乎与本领域无关。").otherwise("")
+    return F.struct((label == "in_scope").alias("accepted"), label.alias("category"), reason.alias("reason"))
 
 
 def intent(question: Column) -> Column:
@@ -39,11 +42,11 @@ def emergency(question: Column) -> Column:
 
 
 def check_input(question: Column) -> Column:
-    """STRUCT<safe, category, intent, confidence, label, emergency, needs_rag, refusal>."""
+    """STRUCT<safe, category, intent, confidence, label, emergency, needs_rag, rag_query, refusal>; rag_query is null where nothing is to be retrieved."""
     g, i = filter_input(question), intent(question)
     return F.struct(
         g["accepted"].alias("safe"), g["category"].alias("category"), i["intent"].alias("intent"), i["confidence"].alias("confidence"), intent_label(i["intent"]).alias("label"),
-        emergency(question).alias("emergency"), (g["accepted"] & (i["intent"] != "off_topic")).alias("needs_rag"), (i["intent"] == "criminal").alias("refusal"),
+        emergency(question).alias("emergency"), (g["accepted"] & (i["intent"] != "off_topic")).alias("needs_rag"), F.when(g["accepted"] & (i["intent"] != "off_topic"), question).alias("rag_query"), (i["intent"] == "criminal").alias("refusal"),
     )
 
 
@@ -124,21 +127,56 @@ def confidence(answer: Column, found: Column | None = None, has_docs: Column | N
     return F.round(F.least(F.lit(1.0), score), 6)
 
 
-def check_output(rows: DataFrame, question: str = "question", answer: str = "answer", suffix: str = "\n\n以上内容仅供参考，不构成法律意见。如有具体案件，请咨询执业律师。") -> DataFrame:
-    """Adds risk_level, safe, response and confidence. An emergency is answered as such; a critical warning makes the answer unsafe; a missing disclaimer is put behind."""
+def report(found: Column) -> Column:
+    """H-7: a text of all findings with their number and risk."""
+    icons = F.create_map(*[F.lit(x) for x in ("critical", "🔴", "high", "🟠", "medium", "🟡", "low", "🟢")])
+    span = lambda x: F.when(F.length(x["span"]) > 100, F.concat(F.substring(x["span"], 1, 100), F.lit("..."))).otherwise(x["span"])
+    lines = F.transform(found, lambda x: F.concat(F.lit("  "), F.try_element_at(icons, x["severity"]), F.lit(" ["), x["category"], F.lit("/"), x["subtype"], F.lit("]\n     "), span(x)))
+    head = F.format_string("%d finding(s), risk: %s", F.size(found), F.upper(risk(found)))
+    return F.when(F.size(found) == 0, "no findings").otherwise(F.concat_ws("\n", head, F.array_join(lines, "\n")))
+
+
+def check_output(rows: DataFrame, question: str = "question", answer: str = "answer", docs: str | None = None, suffix: str = legal.SUFFIX, blocked: str = legal.BLOCKED) -> DataFrame:
+    """Adds risk_level, safe, response, fallback and confidence.
+
+    A question with an emergency gets its fixed text, whatever the answer. A critical warning makes the answer
+    unsafe, and the fallback is the text to show. Else a missing disclaimer is put behind; findings are looked for
+    in the text as it is then, and those of high risk are reported behind it; an answer of a confidence below
+    0.5 gets a note. ``docs`` names an array of retrieved texts.
+    """
     a = F.coalesce(F.col(answer), F.lit(""))
-    w = rows.withColumn("_w", moderate(a)).withColumn("_f", findings(a))
-    critical = F.exists("_w", lambda x: x["severity"] == "critical")
-    urgent = emergency(F.col(question))
-    response = F.when(any_of(a, legal.GUARD_DISCLAIMERS), a).otherwise(F.concat(a, F.lit(suffix)))
-    sure = confidence(a, F.col("_f"))
-    level = F.when(urgent, "emergency").when(critical, "critical").when(risk(F.col("_f")).isin("critical", "high"), "high").otherwise(risk(F.col("_f")))
-    return w.withColumns({"risk_level": level, "safe": ~critical | urgent, "confidence": sure, "response": F.when(urgent, "emergency").when(critical, "blocked").otherwise(response)}).drop("_w", "_f")
+    w = rows.withColumn("_w", moderate(a)).withColumn("_u", emergency(F.col(question)))
+    w = w.withColumn("_x", F.exists("_w", lambda x: x["severity"] == "critical") & ~F.col("_u"))
+    missing = F.exists("_w", lambda x: x["severity"] == "medium") & ~F.contains(a, F.lit(suffix.strip()))
+    w = w.withColumn("_r", F.when(missing, F.concat(a, F.lit(suffix))).otherwise(a))
+    w = w.withColumn("_f", findings(F.col("_r"), F.col(docs) if docs else None)).withColumn("_k", risk(F.col("_f")))
+    w = w.withColumn("_r", F.when(F.col("_k").isin("critical", "high"), F.concat("_r", F.lit("\n\n⚠️ "), report(F.col("_f")))).otherwise(F.col("_r")))
+    w = w.withColumn("_s", confidence(F.col("_r"), F.col("_f"), F.size(docs) > 0 if docs else None))
+    response = F.when(F.col("_s") < 0.5, F.concat("_r", F.lit("\n\n⚠️ " + legal.LOW_CONFIDENCE))).otherwise(F.col("_r"))
+    level = F.when(F.col("_u") | F.col("_x"), "critical").when(F.col("_k").isin("critical", "high"), "high").otherwise("low")
+    return w.withColumns({
+        "risk_level": level, "safe": ~F.col("_x"), "confidence": F.when(F.col("_u") | F.col("_x"), 0.0).otherwise(F.col("_s")),
+        "response": F.when(F.col("_u"), legal.EMERGENCY_TEXT).when(F.col("_x"), a).otherwise(response), "fallback": F.when(F.col("_x"), blocked).otherwise(""),
+    }).drop("_w", "_u", "_x", "_r", "_f", "_k", "_s")
+
+
+def process(questions: DataFrame, generate: Callable[[DataFrame], DataFrame], question: str = "question", docs: str | None = None) -> DataFrame:
+    """The input check, an answer by ``generate`` (which adds a column answer) where the question is accepted, and the output check.
+
+    Refused questions come out with safe false and an empty answer.
+    """
+    checked = questions.withColumn("check", check_input(F.col(question)))
+    done = check_output(generate(checked.where("check.safe")), question, docs=docs)
+    return done.unionByName(checked.where("NOT check.safe").withColumn("safe", F.lit(False)), allowMissingColumns=True)
 
 
 def indicator_flags(text: Column) -> Column:
-    """H-8, H-9: MAP of flags: promise, bare figure, vague source, markup residue, loose citation."""
-    return F.create_map(
-        F.lit("promise"), text.rlike(legal.OVERPROMISE), F.lit("win_rate"), text.rlike(legal.FORBIDDEN[1][0]), F.lit("vague"), text.rlike(legal.FABRICATION[0][0]),
-        F.lit("markup"), has_html(text), F.lit("citation"), text.rlike(legal.FACT_FORMAT),
-    )
+    """H-8: STRUCT of the five indicators and score, the share that holds."""
+    flags = {n: text.rlike(p) for n, p in legal.INDICATORS}
+    return F.struct(*[c.alias(n) for n, c in flags.items()], F.round(sum((c.cast("int") for c in flags.values()), F.lit(0)) / len(flags), 6).alias("score"))
+
+
+def quick_flags(text: Column) -> Column:
+    """H-9: STRUCT of the three flags and their count."""
+    flags = {n: text.rlike(p) for n, p in legal.QUICK_FLAGS}
+    return F.struct(*[c.alias(n) for n, c in flags.items()], sum((c.cast("int") for c in flags.values()), F.lit(0)).alias("hallucination_count"))

@@ -102,11 +102,16 @@ def general_keep(instruction: Column, output: Column) -> Column:
     return F.length(output).between(20, 1500) & (F.length(instruction) >= 3)
 
 
+def verified(checked: Column, answer: Column) -> Column:
+    """the facts hold and there is an answer."""
+    return F.coalesce(checked, F.lit(False)) & (F.coalesce(answer, F.lit("")) != "")
+
+
 def preference_source(answer: Column) -> Column:
     """long enough, with disclaimer and a citation, without promises."""
     return (F.length(answer) >= 80) & has_disclaimer(answer) & ~has_overpromise(answer) & (F.size(citations(answer)) >= 1)
 
 
-def complex_enough(text: Column, terms: tuple[str, ...], least: int = 2) -> Column:
-    """F14."""
+def complex_enough(text: Column, terms: tuple[str, ...] = legal.GROUNDED_TERMS, least: int = 2) -> Column:
+    """at least ``least`` of the terms are in the question."""
     return count_of(text, terms) >= least

@@ -17,7 +17,7 @@ def first_n(rows: DataFrame, n: int, seed: int, seq: str) -> DataFrame:
     return rows.orderBy(draw_key(seed, F.col(seq)), seq).limit(n)
 
 
-def _rank(rows: DataFrame, group: list[str], order: list[Column | str], buckets: Column) -> DataFrame:
+def rank_in_groups(rows: DataFrame, group: list[str], order: list[Column | str], buckets: Column) -> DataFrame:
     """Adds _pos, the place in the group's order, and _n, its size, without sorting a whole group in one task.
 
     Rows are ranked within (group, bucket), where buckets follow the order; the buckets' sizes, summed up, give the rest.
@@ -35,7 +35,7 @@ def _rank(rows: DataFrame, group: list[str], order: list[Column | str], buckets:
 def stratified_split(rows: DataFrame, by: str, difficulty: str, seq: str, train: float = 0.7, evaluation: float = 0.15) -> DataFrame:
     """M5: adds split; within each group the easiest 70 % are train, the next 15 % eval, the hardest test."""
     steps = F.floor(F.coalesce(F.col(difficulty), F.lit(0.0)) * 200).cast("int")
-    ranked = _rank(rows, [by], [F.coalesce(F.col(difficulty), F.lit(0.0)), seq], steps)
+    ranked = rank_in_groups(rows, [by], [F.coalesce(F.col(difficulty), F.lit(0.0)), seq], steps)
     a, b = F.floor(F.col("_n") * F.lit(train)), F.floor(F.col("_n") * F.lit(evaluation))
     return ranked.withColumn("split", F.when(F.col("_pos") <= a, "train").when(F.col("_pos") <= a + b, "eval").otherwise("test")).drop("_pos", "_n")
 
@@ -43,7 +43,7 @@ def stratified_split(rows: DataFrame, by: str, difficulty: str, seq: str, train:
 def random_split(rows: DataFrame, seed: int, seq: str, train: float = 0.8, evaluation: float = 0.1) -> DataFrame:
     """Adds split by rank of the random key, 80 / 10 / 10."""
     key = draw_key(seed, F.col(seq))
-    ranked = _rank(rows.withColumn("_k", key).withColumn("_g", F.lit(0)), ["_g"], ["_k", seq], F.substring("_k", 1, 3))
+    ranked = rank_in_groups(rows.withColumn("_k", key).withColumn("_g", F.lit(0)), ["_g"], ["_k", seq], F.substring("_k", 1, 3))
     a, b = F.floor(F.col("_n") * F.lit(train)), F.floor(F.col("_n") * F.lit(evaluation))
     return ranked.withColumn("split", F.when(F.col("_pos") <= a, "train").when(F.col("_pos") <= a + b, "eval").otherwise("test")).drop("_pos", "_n", "_k", "_g")
 
@@ -76,8 +76,8 @@ def diversity_sample(rows: DataFrame, by: str, bucket: str, most: int, seed: int
     plan = rows.sparkSession.createDataFrame([(c, n) for c, n in target.items()], f"_c {rows.schema[by].dataType.simpleString()}, _t int")
     share = F.when(F.col(bucket) == "medium", 0.4).otherwise(0.3)
     key = draw_key(seed, F.col(seq))
-    ranked = _rank(rows.withColumn("_k", key), [by, bucket], ["_k", seq], F.substring("_k", 1, 3)).drop("_n")
+    ranked = rank_in_groups(rows.withColumn("_k", key), [by, bucket], ["_k", seq], F.substring("_k", 1, 3)).drop("_n")
     planned = ranked.join(F.broadcast(plan), F.col(by).eqNullSafe(F.col("_c"))).withColumn("_own", F.col("_pos") <= F.floor(F.col("_t") * share))
     order = F.concat(F.when(F.col("_own"), "0").otherwise("1"), F.col("_k"))
-    second = _rank(planned.drop("_pos").withColumn("_k", order), [by], ["_k", seq], F.substring("_k", 1, 4))
+    second = rank_in_groups(planned.drop("_pos").withColumn("_k", order), [by], ["_k", seq], F.substring("_k", 1, 4))
     return second.where("_pos <= _t").drop("_pos", "_n", "_c", "_t", "_own", "_k")

@@ -53,7 +53,7 @@ def statute_index(laws: DataFrame, seq: str = "law_id") -> tuple[DataFrame, Data
 
 
 def resolve_names(cited: DataFrame, names: DataFrame, law: str = "law") -> DataFrame:
-    """(law, title) of each distinct cited name: its exact title or short form, else the longest title that contains it or is contained in it, else null.
+    """(law, title) of each distinct cited name: its exact title or short form, else the longest title that contains it or is contained in it, else the title that its own short form names, else null.
 
     The containment test runs only for distinct names without an exact match, over grams of four
     characters that both share, so it needs no cross join.
@@ -70,7 +70,9 @@ def resolve_names(cited: DataFrame, names: DataFrame, law: str = "law") -> DataF
     near = open_.select("_law", F.explode(grams(F.col("_law"))).alias("_g")).join(titles.select("title", "rank", F.substring("title", 1, 2).alias("_g")), "_g").where(F.contains("_law", "title"))
     far = open_.select("_law", F.substring("_law", 1, 2).alias("_g")).join(titles.select("title", "rank", F.explode(grams(F.col("title"))).alias("_g")), "_g").where(F.contains("title", "_law"))
     best = near.unionByName(far).groupBy("_law").agg(F.max_by("title", F.struct(F.length("title"), -F.col("rank"))).alias("title"))
-    resolved = exact.where("title IS NOT NULL").unionByName(open_.join(best, "_law", "left"))
+    short = names.select(F.col("name").alias("_n"), F.col("title").alias("_t"))
+    rest = open_.join(best, "_law", "left").join(short, short_name(F.col("_law")) == F.col("_n"), "left").select("_law", F.coalesce("title", "_t").alias("title"))
+    resolved = exact.where("title IS NOT NULL").unionByName(rest)
     return resolved.select(F.col("_law").alias(law), "title")
 
 
@@ -100,6 +102,19 @@ def nearest_article(asked: DataFrame, statutes: DataFrame) -> DataFrame:
     return joined.groupBy("title", "wanted").agg(F.min_by("article", F.struct(F.abs(F.col("article") - F.col("wanted")), F.col("article"))).alias("article"))
 
 
+def law_summary(statutes: DataFrame) -> DataFrame:
+    """(title, articles, n_articles): the sorted article numbers of each law; the titles are the law names."""
+    return statutes.groupBy("title").agg(F.sort_array(F.collect_set("article")).alias("articles")).withColumn("n_articles", F.size("articles"))
+
+
+def embedding_score(a: Column, b: Column) -> Column:
+    """C11: cosine of two vectors, with 1e-9 in the denominator."""
+    def dot(x: Column, y: Column) -> Column:
+        return F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q), F.lit(0.0), lambda s, v: s + v)
+
+    return dot(a, b) / (F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)) + 1e-9)
+
+
 def available_citations(chunks: DataFrame, key: str = "chunk_id", text: str = "content") -> DataFrame:
     """(key, citations): the distinct 《law》第N条 of each chunk in order."""
     names = F.transform(citations(F.col(text)), lambda c: F.format_string("《%s》第%d条", c["law"], c["article"]))

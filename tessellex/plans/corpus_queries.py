@@ -40,7 +40,7 @@ def clean_laws(s: SparkSession, d: str) -> DataFrame:
 
 
 def corpus_audit(s: SparkSession, d: str) -> DataFrame:
-    return corpus.audit(T(s, d, "laws")).drop("articles", "no_articles")
+    return corpus.audit(T(s, d, "laws"))
 
 
 def article_totals(s: SparkSession, d: str) -> DataFrame:
@@ -187,7 +187,7 @@ _CITED_TAIL = _CITED.replace("WITH raw", "raw", 1)
 _RESOLVED = """,
     asked AS (SELECT DISTINCT law FROM {src}),
     near AS (SELECT a.law, arg_max(f.title, (length(f.title), -f.f)) AS title FROM asked a JOIN firsts f ON contains(a.law, f.title) OR contains(f.title, a.law) GROUP BY a.law),
-    resolved AS (SELECT a.law, coalesce(n.title, near.title) AS title FROM asked a LEFT JOIN names n ON n.name = a.law LEFT JOIN near ON near.law = a.law)"""
+    resolved AS (SELECT a.law, coalesce(n.title, near.title, m.title) AS title FROM asked a LEFT JOIN names n ON n.name = a.law LEFT JOIN near ON near.law = a.law LEFT JOIN names m ON m.name = trim(replace(a.law, '中华人民共和国', '')))"""
 _CHECKED = _INDEX + ", " + _CITED_TAIL + _RESOLVED.format(src="cited") + r""",
     scored AS (SELECT c.case_id, c.p, c.law, c.article, c.para, r.title, i.text IS NOT NULL AS ok,
                       list_distinct(regexp_extract_all(c.answer, '[零〇一二两三四五六七八九十百千万0-9]{1,6}(?:倍|年|个月|月|日|天|元|万|%|％|小时|周)')) AS q, i.text
@@ -199,11 +199,11 @@ SQL = {
     "normalize_hash": f"SELECT doc_id, length({_NORM.format('text')})::INTEGER AS n, sha256({_NORM.format('text')}) AS h FROM documents",
     "exact_dedup": f"SELECT min(doc_id) AS doc_id FROM documents GROUP BY {_NORM.format(chr(99) + 'oalesce(text, ' + chr(39) * 2 + ')')}",
     "title_version_dedup": "SELECT law_id, title, publish_date FROM laws WHERE title <> '' QUALIFY row_number() OVER (PARTITION BY title ORDER BY coalesce(publish_date, '') DESC, law_id) = 1",
-    "corpus_audit": r"""
-        SELECT count(*) AS laws, count_if(coalesce(trim(title), '') = '') AS no_title, count_if(trim(coalesce(content, '')) = '') AS no_content, count_if(length(trim(coalesce(content, ''))) BETWEEN 1 AND 49) AS short,
+    "corpus_audit": _LINES + r""", n AS (SELECT law_id, count(*) AS k FROM arts GROUP BY law_id)
+        SELECT count(*) AS laws, coalesce(sum(k), 0)::BIGINT AS articles, count_if(k IS NULL) AS no_articles, count_if(coalesce(trim(title), '') = '') AS no_title, count_if(trim(coalesce(content, '')) = '') AS no_content, count_if(length(trim(coalesce(content, ''))) BETWEEN 1 AND 49) AS short,
                count_if(regexp_matches(coalesce(content, ''), '<[a-z]+[ >]')) AS html, count_if(contains(coalesce(content, ''), chr(65533))) AS mojibake,
                min(CASE WHEN regexp_matches(publish_date, '^[0-9]{4}') THEN publish_date END) AS first_date, max(CASE WHEN regexp_matches(publish_date, '^[0-9]{4}') THEN publish_date END) AS last_date,
-               count(title) - count(DISTINCT title) AS repeated_titles FROM laws""",
+               count(title) - count(DISTINCT title) AS repeated_titles FROM laws LEFT JOIN n USING (law_id)""",
     "article_totals": _LINES + " SELECT l.law_id, count(a.pos)::INTEGER AS n_articles FROM laws l LEFT JOIN arts a USING (law_id) GROUP BY l.law_id",
     "type_histogram": "SELECT type AS value, count(*) AS rows_count, round(count(*) / sum(count(*)) OVER (), 6)::DOUBLE AS share FROM laws GROUP BY type",
     "missing_titles": "SELECT DISTINCT law_title AS title FROM contract WHERE law_title IS NOT NULL AND law_title NOT IN (SELECT title FROM laws WHERE title IS NOT NULL)",

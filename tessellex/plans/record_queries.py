@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..domain import legal
-from ..functions.citations import citations
+from ..functions.citations import LOOSE, citations
 from ..operators import builders, chunking, guard, metrics, quality, retrieval, sampling, statutes
 from ..session import table
 
@@ -62,7 +62,7 @@ def fact_rules(s: SparkSession, d: str) -> DataFrame:
 
 
 def answer_flags(s: SparkSession, d: str) -> DataFrame:
-    return _qa(s, d).select("case_id", quality.has_disclaimer(A()).alias("disclaimer"), quality.has_overpromise(A()).alias("promise"), quality.in_scope(Q()).alias("in_scope"), quality.preference_source(A()).alias("preference"), quality.complex_enough(F.concat(Q(), A()), legal.HARD_WORDS).alias("complex_enough"))
+    return _qa(s, d).select("case_id", quality.has_disclaimer(A()).alias("disclaimer"), quality.has_overpromise(A()).alias("promise"), quality.in_scope(Q()).alias("in_scope"), quality.preference_source(A()).alias("preference"), quality.complex_enough(Q()).alias("complex_enough"))
 
 
 def stratified_split(s: SparkSession, d: str) -> DataFrame:
@@ -133,7 +133,7 @@ def context_pack(s: SparkSession, d: str) -> DataFrame:
 
 def input_filter(s: SparkSession, d: str) -> DataFrame:
     g = guard.filter_input(Q())
-    return _qa(s, d).select("case_id", g["accepted"].alias("accepted"), g["category"].alias("category"))
+    return _qa(s, d).select("case_id", g["accepted"].alias("accepted"), g["category"].alias("category"), (g["reason"] != "").alias("has_reason"))
 
 
 def intent_route(s: SparkSession, d: str) -> DataFrame:
@@ -223,8 +223,9 @@ def safedpo_transform(s: SparkSession, d: str) -> DataFrame:
 
 
 def raft_records(s: SparkSession, d: str) -> DataFrame:
-    x = builders.grounded_records(T(s, d, "contract").where("answer IS NOT NULL"), T(s, d, "chunks"))
-    return x.select("case_id", "oracle_chunk", "has_oracle", F.size("distractors").alias("distractors"))
+    _, names = statutes.statute_index(T(s, d, "laws"))
+    x = builders.grounded_records(T(s, d, "contract").where("question IS NOT NULL AND answer IS NOT NULL"), T(s, d, "chunks"), names)
+    return x.select("case_id", "oracle_chunk", "has_oracle", "oracle_law", F.size("distractors").alias("distractors"))
 
 
 def rewards(s: SparkSession, d: str) -> DataFrame:
@@ -236,11 +237,11 @@ def lcs_rouge(s: SparkSession, d: str) -> DataFrame:
 
 
 def term_coverage(s: SparkSession, d: str) -> DataFrame:
-    return _qa(s, d).select("case_id", metrics.term_coverage(Q(), A()).alias("coverage"))
+    return _qa(s, d).select("case_id", metrics.term_coverage(A(), Q()).alias("coverage"), metrics.term_coverage(A(), Q(), True).alias("distinct_coverage"), metrics.keyword_coverage(Q(), A()).alias("keyword_coverage"))
 
 
 def keypoint_coverage(s: SparkSession, d: str) -> DataFrame:
-    return _qa(s, d).select("case_id", F.round(metrics.key_point_coverage(F.split(Q(), "，"), A()), 6).alias("coverage"), metrics.judge(A())["overall"].alias("judge"))
+    return _qa(s, d).select("case_id", F.round(metrics.key_point_coverage(F.split(Q(), "，"), A()), 6).alias("coverage"), metrics.judge(A())["overall"].alias("judge"), metrics.judge(A())["has_errors"].alias("has_errors"))
 
 
 def eval_rollup(s: SparkSession, d: str) -> DataFrame:
@@ -248,7 +249,7 @@ def eval_rollup(s: SparkSession, d: str) -> DataFrame:
 
 
 def compare_rollup(s: SparkSession, d: str) -> DataFrame:
-    x = _qa(s, d).select("department", metrics.term_coverage(Q(), A()).alias("t"), metrics.length_reward(A()).alias("b"))
+    x = _qa(s, d).select("department", metrics.term_coverage(A(), Q()).alias("t"), metrics.length_reward(A()).alias("b"))
     return metrics.comparison_rollup(x, "department", "b", "t")
 
 
@@ -318,6 +319,13 @@ def _steps() -> str:
 
 
 _R = lambda *ws: _like("answer", ws)
+_JUDGE = f"CAST(round_even((3 + 3 + CASE WHEN regexp_matches(answer, '{legal.JUDGE_DANGER}') THEN 1 ELSE 4 END + CASE WHEN length(answer) > 500 THEN 5 WHEN length(answer) > 200 THEN 4 WHEN length(answer) < 50 THEN 2 ELSE 3 END + CASE WHEN length(answer) > 100 THEN 5 ELSE 3 END) / 5.0, 0) AS INTEGER)"
+
+
+def _cover(terms: str, text: str) -> str:
+    return f"CASE WHEN len({terms}) = 0 THEN 1.0::DOUBLE ELSE round(len(list_filter({terms}, lambda z: contains({text}, z)))::DOUBLE / len({terms}), 6) END"
+
+
 SQL = {
     "flagship": _QA.replace("WITH qa", "WITH qa0", 1) + ", qa AS (SELECT * FROM qa0 QUALIFY row_number() OVER (PARTITION BY regexp_replace(lower(question || ' ' || answer), '[^\\p{L}\\p{N}]+', '', 'g') ORDER BY case_id) = 1)" + _SCORE
     + f" SELECT {_CAT} AS category, count(*) AS records, round(avg(score) + 1e-9::DOUBLE, 4) AS mean_difficulty, count_if(score >= 0.6) AS hard FROM scored WHERE {_GOOD} GROUP BY 1",
@@ -327,7 +335,7 @@ SQL = {
     "cascade_filter": _CASCADE + " SELECT case_id, reason, flags FROM c",
     "filter_stats": _CASCADE + " SELECT reason, count(*) AS records FROM c GROUP BY reason",
     "fact_rules": _QA + " " + " UNION ALL ".join(f"SELECT case_id, '{n}' AS rule, '{s}' AS severity FROM qa WHERE regexp_matches(question || ' ' || answer, '{p}')" for n, p, s in legal.FACT_RULES),
-    "answer_flags": f"{_QA}, {_CITED_TAIL} SELECT case_id, {_DISC} AS disclaimer, regexp_matches(answer, '{_OVER}') AS promise, {_like('question', legal.IN_SCOPE)} AS in_scope, length(answer) >= 80 AND {_DISC} AND NOT regexp_matches(answer, '{_OVER}') AND case_id IN (SELECT case_id FROM cited) AS preference, {_sum('(question || answer)', legal.HARD_WORDS)} >= 2 AS complex_enough FROM qa",
+    "answer_flags": f"{_QA}, {_CITED_TAIL} SELECT case_id, {_DISC} AS disclaimer, regexp_matches(answer, '{_OVER}') AS promise, {_like('question', legal.IN_SCOPE)} AS in_scope, length(answer) >= 80 AND {_DISC} AND NOT regexp_matches(answer, '{_OVER}') AND case_id IN (SELECT case_id FROM cited) AS preference, {_sum('question', legal.GROUNDED_TERMS)} >= 2 AS complex_enough FROM qa",
     "stratified_split": f"{_QA}, r AS (SELECT case_id, row_number() OVER (PARTITION BY department ORDER BY coalesce(difficulty, 0), case_id) AS p, count(*) OVER (PARTITION BY department) AS n FROM qa) SELECT case_id, CASE WHEN p <= floor(n * 0.7::DOUBLE) THEN 'train' WHEN p <= floor(n * 0.7::DOUBLE) + floor(n * 0.15::DOUBLE) THEN 'eval' ELSE 'test' END AS split FROM r",
     "random_split": f"WITH r AS (SELECT case_id, row_number() OVER (ORDER BY {_MD.format('case_id')}, case_id) AS p, count(*) OVER () AS n FROM contract) SELECT case_id, CASE WHEN p <= floor(n * 0.8::DOUBLE) THEN 'train' WHEN p <= floor(n * 0.8::DOUBLE) + floor(n * 0.1::DOUBLE) THEN 'eval' ELSE 'test' END AS split FROM r",
     "hash_sample": f"SELECT doc_id FROM documents ORDER BY {_MD.format('doc_id')}, doc_id LIMIT 600",
@@ -335,15 +343,21 @@ SQL = {
     "bm25_stats": _BM + " SELECT term, any_value(df) AS df, sum(tf)::BIGINT AS tf FROM tf JOIN df USING (term) GROUP BY term",
     "bm25_topk": _BM + " SELECT query_id, chunk_id, score, rank FROM top",
     "dense_topk": "WITH q AS (SELECT vec_id AS query_id, embedding AS v FROM embeddings WHERE vec_id % 20 = 0) SELECT query_id, vec_id, round(1 / (1 + list_distance(v::DOUBLE[], embedding::DOUBLE[])), 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(1 / (1 + list_distance(v::DOUBLE[], embedding::DOUBLE[])), 6) DESC, vec_id)::INTEGER AS rank FROM q, embeddings QUALIFY rank <= 5",
-    "heuristic_rerank": _BM + """ SELECT query_id, chunk_id, round(score * (1 + 0.2::DOUBLE * len(list_filter(list_distinct(regexp_extract_all(question, '[一-鿿]{2,}')), lambda r: contains(content, r)))) * CASE WHEN regexp_matches(content, '第.{1,8}条|司法解释|规定') THEN 1.5::DOUBLE ELSE 1 END * CASE WHEN regexp_matches(content, '20[0-9]{2}') THEN 1.1::DOUBLE ELSE 1 END, 4) AS rerank_score
+    "heuristic_rerank": _BM + """ SELECT query_id, chunk_id, round(score * (1 + 0.2::DOUBLE * len(list_filter(regexp_extract_all(question, '[一-鿿]{2,}'), lambda r: contains(content, r)))) * CASE WHEN regexp_matches(content, '法|条例|司法解释|第.{0,4}条') THEN 1.5::DOUBLE ELSE 1 END * CASE WHEN regexp_matches(content, '20[0-9]{2}') THEN 1.1::DOUBLE ELSE 1 END, 4) AS rerank_score
         FROM top JOIN contract ON case_id = query_id JOIN chunks USING (chunk_id)""",
-    "input_filter": f"{_QA}, g AS (SELECT case_id, CASE WHEN regexp_matches(question, '{'|'.join(legal.DANGER)}') THEN 'abusive' WHEN regexp_matches(question, '{'|'.join(legal.OUT_OF_SCOPE)}') THEN 'off_topic' WHEN {_like('question', legal.IN_SCOPE)} THEN 'in_scope' ELSE 'off_topic' END AS category FROM qa) SELECT case_id, category = 'in_scope' AS accepted, category FROM g",
+    "input_filter": f"{_QA}, g AS (SELECT case_id, CASE WHEN regexp_matches(question, '{'|'.join(legal.DANGER)}') THEN 'abusive' WHEN regexp_matches(question, '{'|'.join(legal.OUT_OF_SCOPE)}') THEN 'off_topic' WHEN {_like('question', legal.IN_SCOPE)} THEN 'in_scope' ELSE 'off_topic' END AS category FROM qa) SELECT case_id, category = 'in_scope' AS accepted, category, category <> 'in_scope' AS has_reason FROM g",
     "confidence": f"{_QA} SELECT case_id, round(0.15::DOUBLE + 0.2::DOUBLE + CASE WHEN {_R('<分析>', '**', '🔴')} THEN 0.1::DOUBLE ELSE 0 END + CASE WHEN length(answer) > 100 THEN 0.05::DOUBLE ELSE 0 END + CASE WHEN regexp_matches(answer, '{legal.FACT_FORMAT}') THEN 0.1::DOUBLE ELSE 0 END + CASE WHEN length(answer) BETWEEN 150 AND 1000 THEN 0.1::DOUBLE ELSE 0 END, 6) AS confidence FROM qa",
     "to_chatml": f"{_QA} SELECT case_id, sha256('<|im_start|>user' || chr(10) || question || '<|im_end|>' || chr(10) || '<|im_start|>assistant' || chr(10) || answer || '<|im_end|>') AS chatml, length('<|im_start|>user' || chr(10) || question || '<|im_end|>' || chr(10) || '<|im_start|>assistant' || chr(10) || answer || '<|im_end|>' || chr(10) || '<|im_start|>assistant' || chr(10))::INTEGER AS prompt_chars FROM qa",
     "chat_pairs": f"{_QA} SELECT case_id, 0 AS pos, 'human' AS speaker, length(question)::INTEGER AS chars FROM qa UNION ALL SELECT case_id, 1, 'gpt', length(answer)::INTEGER FROM qa",
     "history_window": "SELECT event_id, length(string_agg('user: ' || substr(event_type, 1, 200), chr(10)) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 9 PRECEDING AND CURRENT ROW))::INTEGER AS chars FROM events",
     "loss_mask": f"{_QA} SELECT case_id, least(256, length(question) + length(answer))::INTEGER AS n, least(256, length(question))::INTEGER AS masked, (least(256, length(question)) + least(length(answer), greatest(0, 256 - length(question))))::INTEGER AS labels FROM qa",
-    "term_coverage": f"{_QA}, t AS (SELECT case_id, list_filter({list(metrics.TERMS)}, lambda x: contains(question, x)) AS m, answer FROM qa) SELECT case_id, CASE WHEN len(m) = 0 THEN 1.0::DOUBLE ELSE round(len(list_filter(m, lambda x: contains(answer, x)))::DOUBLE / len(m), 6) END AS coverage FROM t",
+    "term_coverage": f"""{_QA}, t AS (SELECT case_id, question, answer, regexp_extract_all(answer, '{legal.ANSWER_TERMS}') AS m, list_distinct(regexp_extract_all(answer, '{legal.ANSWER_TERM_SET}')) AS u, list_filter({list(dict.fromkeys(w for ws in legal.CATEGORIES.values() for w in ws))}, lambda x: contains(question, x)) AS k FROM qa)
+        SELECT case_id, {_cover('m', 'question')} AS coverage, {_cover('u', 'question')} AS distinct_coverage, {_cover('k', 'answer')} AS keyword_coverage FROM t""",
+    "keypoint_coverage": f"""{_QA}, p AS (SELECT case_id, answer, list_transform(string_split(question, '，'), lambda x: list_filter(regexp_split_to_array(x, '[\\s、]+'), lambda w: w <> '')) AS k FROM qa)
+        SELECT case_id, round(len(list_filter(k, lambda w: len(list_filter(w, lambda x: contains(answer, x))) >= 0.4::DOUBLE * greatest(len(w), 1)))::DOUBLE / len(k), 6) AS coverage, {_JUDGE} AS judge, regexp_matches(answer, '{legal.JUDGE_DANGER}') AS has_errors FROM p""",
+    "chain_of_thought": f"""{_QA}, c AS (SELECT *, array_to_string(list_slice(regexp_extract_all(answer, '{LOOSE}'), 1, 2), '、') AS basis FROM qa)
+        SELECT case_id, CASE WHEN question = '' OR answer = '' THEN answer ELSE '<分析>' || chr(10) || '- 核心问题: ' || substr(question, 1, 60) || chr(10) || '- 法律依据: ' || CASE WHEN basis = '' THEN '请引用相关法条' ELSE basis END || chr(10) || '- 风险/时效: '
+            || CASE WHEN contains(answer, '时效') THEN substr(regexp_extract(answer, '[^。；]*时效[^。；]*'), 1, 60) ELSE '请关注相关时效与举证责任' END || chr(10) || '</分析>' || chr(10) || '<建议>' || chr(10) || answer || chr(10) || '</建议>' END AS text FROM c""",
     "case_topk": f"{_QA}, x AS (SELECT case_id, (length(answer) - length(question))::INTEGER AS delta FROM qa) SELECT * FROM (SELECT case_id, delta, 'best' AS side FROM x ORDER BY delta DESC, case_id LIMIT 5) UNION ALL SELECT * FROM (SELECT case_id, delta, 'worst' AS side FROM x ORDER BY delta, case_id LIMIT 5)",
     "token_summary": "SELECT split, count(*) AS records, sum(length(answer))::BIGINT AS chars, round(avg(length(answer)), 4) AS mean_chars FROM contract GROUP BY split",
     "grid_runs": "SELECT n_regionkey::VARCHAR AS name, n_nationkey::VARCHAR AS value, n_regionkey || '-' || n_nationkey AS run, 'pending' AS status FROM nation",
@@ -361,7 +375,7 @@ _HEAD_CITED = _CITED_TAIL.replace("FROM contract WHERE", "FROM (SELECT case_id,
 _EXPANDED = "contract WHERE case_id % 20 = 0 AND question IS NOT NULL"
 SQL |= {
     "qa_extract": f"SELECT case_id, CASE WHEN question <> '' AND answer <> '' THEN sha256({_TRIM.format('question')}) END AS q, CASE WHEN question <> '' AND answer <> '' THEN sha256({_TRIM.format('answer')}) END AS a FROM contract",
-    "rag_prompt": f"{_QA} SELECT case_id, length('【参考资料】' || chr(10) || '（未检索到相关资料）' || chr(10) || chr(10) || '【问题】' || chr(10) || question)::INTEGER AS chars, length({_TRIM.format('answer')})::INTEGER AS bare FROM qa",
+    "rag_prompt": f"{_QA} SELECT case_id, length('{builders.RAG_INSTRUCTION}' || chr(10) || '{builders.NO_CONTEXT}' || chr(10) || chr(10) || '问题：' || question)::INTEGER AS chars, length({_TRIM.format('answer')})::INTEGER AS bare FROM qa",
     "rrf_fusion": f"""WITH {_near('-', 'a')}, {_near('', 'b')}, u AS (SELECT query_id, vec_id, r, 0 AS f, 0.5::DOUBLE AS w FROM a UNION ALL SELECT query_id, vec_id, r, 1, 1.0::DOUBLE FROM b),
         g AS (SELECT query_id, vec_id, round(sum(w / (60 + r)), 9) AS score, min(f * 1000000 + r) AS o, CASE WHEN min(f) <> max(f) THEN 'hybrid' WHEN min(f) = 0 THEN 'bm25' ELSE 'dense' END AS method FROM u GROUP BY ALL)
         SELECT query_id, vec_id, score, method, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, o)::INTEGER AS rank FROM g QUALIFY rank <= 8""",
@@ -369,8 +383,8 @@ SQL |= {
     "eval_rollup": f"""{_QA}, {_CITED_TAIL}, {_HEAD_CITED}, n AS (SELECT case_id, count(*) AS c FROM cited GROUP BY case_id),
         x AS (SELECT department AS grp, (case_id NOT IN (SELECT case_id FROM cited_h) AND {_like('substr(answer, 1, 200)', ('无法', '抱歉', '不能提供', '建议咨询', '超出'))})::INTEGER AS r, coalesce(c, 0) AS c, {_DISC}::INTEGER AS d, regexp_matches(answer, '{_OVER}')::INTEGER AS o FROM qa LEFT JOIN n USING (case_id))
         SELECT grp, grouping(grp)::INTEGER AS is_total, count(*) AS answers, round(avg(r), 4) AS refusal_rate, round(avg((c > 0)::INTEGER), 4) AS cited_rate, round(avg(c), 4) AS density, round(avg(d), 4) AS disclaimer_rate, round(avg(o), 4) AS promise_rate FROM x GROUP BY ROLLUP (grp)""",
-    "compare_rollup": f"""{_QA}, m AS (SELECT *, list_filter({list(metrics.TERMS)}, lambda x: contains(question, x)) AS k FROM qa),
-        x AS (SELECT department, CASE WHEN len(k) = 0 THEN 1.0::DOUBLE ELSE round(len(list_filter(k, lambda z: contains(answer, z)))::DOUBLE / len(k), 6) END AS t,
-                     CASE WHEN length(answer) < 50 THEN 0 WHEN length(answer) < 200 THEN 0.5 WHEN length(answer) <= 800 THEN 1 WHEN length(answer) <= 1500 THEN 0.7 ELSE 0.4 END::DOUBLE AS b FROM m)
-        SELECT department, count(*) AS pairs, round(avg(nullif(b, 0)), 4) AS base_mean, round(avg(nullif(t, 0)), 4) AS tuned_mean, count_if(t - b > 0.01::DOUBLE) AS wins, count_if(t - b < -0.01::DOUBLE) AS losses, count_if(abs(t - b) <= 0.01::DOUBLE) AS ties, round(avg((t - b > 0.01::DOUBLE)::INTEGER), 4) AS win_rate FROM x GROUP BY department""",
+    "compare_rollup": f"""{_QA}, m AS (SELECT *, regexp_extract_all(answer, '{legal.ANSWER_TERMS}') AS k FROM qa),
+        x AS (SELECT department, {_cover('k', 'question')} AS t, CASE WHEN length(answer) < 50 THEN 0 WHEN length(answer) < 200 THEN 0.5 WHEN length(answer) <= 800 THEN 1 WHEN length(answer) <= 1500 THEN 0.7 ELSE 0.4 END::DOUBLE AS b FROM m),
+        g AS (SELECT department, count(*) AS pairs, avg(nullif(b, 0)) AS bm, avg(nullif(t, 0)) AS tm, count_if(t - b > 0.01::DOUBLE) AS wins, count_if(t - b < -0.01::DOUBLE) AS losses, count_if(abs(t - b) <= 0.01::DOUBLE) AS ties, round(avg((t - b > 0.01::DOUBLE)::INTEGER), 4) AS win_rate FROM x GROUP BY department)
+        SELECT department, pairs, round(bm, 4) AS base_mean, round(tm, 4) AS tuned_mean, round((tm - bm) / bm * 100, 2) AS improvement, wins, losses, ties, win_rate FROM g""",
 }

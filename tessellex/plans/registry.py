@@ -7,7 +7,7 @@ from importlib import import_module
 from pyspark.sql import DataFrame, SparkSession
 
 #: Modules of this package with QUERIES and SQL.
-MODULES: tuple[str, ...] = ("corpus_queries", "record_queries")
+MODULES: tuple[str, ...] = ("corpus_queries", "record_queries", "builder_queries")
 
 
 def _collect(what: str) -> dict:

@@ -119,7 +119,7 @@ def test_guard(spark):
 def test_builders(spark):
     rows = spark.createDataFrame([("问", "依《劳动合同法》第八十七条。仅供参考")], "q string, a string")
     r = rows.select(builders.perturb_article(F.col("a"), F.lit(98)).alias("x"), builders.perturb_law(F.col("a"), F.lit("民法典")).alias("y"), builders.perturb_promise(F.col("a")).alias("z")).first()
-    assert r["x"] == "依《劳动合同法》第一百九十八条。仅供参考" and r["y"] == "依《民法典》第八十七条。仅供参考" and "仅供参考" not in r["z"] and "肯定能赢" in r["z"]
+    assert r["x"] == "依《劳动合同法》第一百九十八条。仅供参考" and r["y"] == "依《民法典》第八十七条。仅供参考" and r["z"] == "依《劳动合同法》第八十七条。仅供参考你照做就行，肯定能赢。"
     m = rows.select(builders.loss_mask(F.array(F.lit(1), F.lit(2)), F.array(F.lit(3), F.lit(4)), 3).alias("m")).first()["m"]
     assert m["input_ids"] == [1, 2, 3] and m["labels"] == [-100, -100, 3]
     qa = spark.createDataFrame([(None, None, "q", "r"), ("i", "o", None, None)], "instruction string, output string, query string, response string")
@@ -214,3 +214,53 @@ def test_dense_in_blocks(spark):
     whole = retrieval.dense(asked, rows, "id", "v", 3)
     parts = retrieval.dense(asked, rows, "id", "v", 3, block=20)
     assert sorted(map(tuple, parts.collect())) == sorted(map(tuple, whole.collect())) and whole.count() == 270
+
+
+def test_check_output(spark):
+    fine = "应当支付经济补偿。以上内容仅供参考，不构成法律意见。"
+    rows = [("辞退赔偿多少", fine), ("仲裁时效多久届满", fine), ("辞退赔偿多少", "您肯定能赢。仅供参考"), ("辞退赔偿多少", "应当支付经济补偿。"), (None, None)]
+    out = guard.check_output(spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, question string, answer string")).orderBy("i").collect()
+    assert [r["safe"] for r in out] == [True, True, False, True, True]
+    assert [r["risk_level"] for r in out][1:3] == ["critical", "critical"] and out[1]["response"].startswith("⚠️") and out[2]["fallback"] and not out[0]["fallback"]
+    assert "不构成法律意见" in out[3]["response"] and out[3]["response"].startswith("应当支付经济补偿。\n\n⚠️")
+    done = guard.process(spark.createDataFrame([("辞退赔偿多少",), ("今天天气",)], "question string"), lambda d: d.withColumn("answer", F.lit(fine))).collect()
+    assert {r["question"]: r["safe"] for r in done} == {"辞退赔偿多少": True, "今天天气": False}
+
+
+def test_pack_context_forms(spark):
+    hits = spark.createDataFrame([(1, k, f"法{k}", "甲" * 100) for k in range(3)], "g int, r int, title string, content string")
+    plain = chunking.pack_context(hits, "g", "r", 320).first()["context"]
+    assert plain.startswith("【参考法律法规】\n\n--- 法0 ---\n") and plain.count("---") == 4  # 84 characters are left for the third
+    cut = chunking.pack_context(hits, "g", "r", 320, 80, numbered=True).first()["context"]
+    assert cut.startswith("【检索到的法条】\n\n[文档1] 法0：\n") and cut.endswith("甲...") and "[文档3]" in cut
+
+
+def test_grounded_records(spark):
+    laws = spark.createDataFrame([(i, f"中华人民共和国第{i}法", f"第一条 内容{i}。\n第二条 其他{i}。") for i in range(8)], "law_id long, title string, content string")
+    _, names = statutes.statute_index(laws)
+    chunks = laws.select((F.col("law_id") * 2).alias("chunk_id"), "title", F.lit(1).alias("article"), F.lit("第一条").alias("content")).unionByName(laws.select((F.col("law_id") * 2 + 1).alias("chunk_id"), "title", F.lit(2).alias("article"), F.lit("第二条").alias("content")))
+    rows = spark.createDataFrame([(i, "问", f"依《第{i % 8}法》第二条处理。") for i in range(60)] + [(99, "问", "没有引用")], "case_id long, question string, answer string")
+    out = builders.grounded_records(rows, chunks, names).collect()
+    assert len(out) == 60 and all(r["oracle_chunk"] == 2 * (r["case_id"] % 8) + 1 for r in out)  # resolved by the short form
+    assert all(len(set(r["distractors"])) == 2 and all(d // 2 != r["case_id"] % 8 for d in r["distractors"]) for r in out)
+    assert {d for r in out for d in r["distractors"]} == set(range(16))  # every chunk can be drawn
+    assert 30 < sum(r["has_oracle"] for r in out) < 60
+    for r in out:
+        assert r["context"].count("[文档") == (3 if r["has_oracle"] else 2) and (r["answer"].startswith("抱歉") != r["has_oracle"])
+
+
+def test_preference_pairs_limit(spark):
+    good = "根据《劳动合同法》第八十七条的规定，用人单位违法解除劳动合同的，应当按照经济补偿标准的二倍向劳动者支付赔偿金，可以申请仲裁。" * 2 + "以上内容仅供参考，不构成法律意见。"
+    rows = spark.createDataFrame([(i, "问", good if i % 2 else "短", None) for i in range(10)], "case_id long, question string, answer string, title string")
+    none = spark.createDataFrame([], "title string, article int")
+    pairs = builders.preference_pairs(rows, none, none)
+    assert {r["case_id"] for r in pairs.collect()} == {1, 3, 5, 7, 9} and pairs.count() == 10
+    assert {r["case_id"] for r in builders.preference_pairs(rows, none, none, most=3).collect()} == {1, 3}
+    labels = builders.safety_labels(pairs).select("chosen_safety", "rejected_safety").distinct().collect()
+    assert [tuple(r) for r in labels] == [(0, 1)]
+
+
+def test_resolve_by_short_form(spark):
+    names = spark.createDataFrame([("劳动法", "劳动法（试行）", 1), ("劳动法（试行）", "劳动法（试行）", 1)], "name string, title string, rank long")
+    cited = spark.createDataFrame([("中华人民共和国劳动法",), ("无此法",)], "law string")
+    assert {r["law"]: r["title"] for r in statutes.resolve_names(cited, names).collect()} == {"中华人民共和国劳动法": "劳动法（试行）", "无此法": None}
