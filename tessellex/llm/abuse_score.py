@@ -11,7 +11,8 @@ Labels belong to whole documents, so most passages of a bad document are harmles
 bad document therefore carries only the weight that its own neighbours give it: how much nearer it is to
 passages of other bad documents than to those of good ones, a passage in several counting for each. The
 document's raw score is its worst passage's; isotonic regression on the labelled documents, each scored
-without its own label and without passages of its own alone, turns raw scores into shares of bad documents.
+without passages of its own alone, turns raw scores into shares of bad documents. Weights of passages that a
+document shares with others still hold its own label, so that the shares are somewhat too sure.
 """
 
 from __future__ import annotations
@@ -105,85 +106,42 @@ class Model:
         self.blocks = n // BLOCK + 1
         self.bad_docs = [len(bad_of[p]) for p in keys]
         self.good_docs = np.array([len(where[p]) - len(bad_of[p]) for p in keys], dtype=np.float32)
-        # What speaks for and against each passage of bad documents, and by document how much of it is that document's.
-        plus, minus = np.zeros(n), np.zeros(n)
-        owed: dict[int, dict[int, float]] = defaultdict(lambda: defaultdict(float))
-        judged = []
-        for k in range(sum(1 for b in self.bad_docs if b)):
-            if self.good_docs[k] > self.bad_docs[k]:  # more common in good documents, and still as common without one: of no weight
+        bad_rows = sum(1 for b in self.bad_docs if b)
+        self.bad = np.zeros(n, np.float32)
+        weight = np.zeros(n, np.float32)
+        for k in range(bad_rows):
+            if self.good_docs[k] >= self.bad_docs[k]:  # as common in good documents: of no weight
                 continue
             ids, sims = self._near(rows[k], 0.8 * NEAR)
-            own = set(bad_of[keys[k]])
+            own = len(bad_of[keys[k]])
             power = sims.astype(np.float64) ** 2
-            others = [[d for d in bad_of[keys[j]] if d not in own] if self.bad_docs[j] and j != k else [] for j in ids.tolist()]
-            plus[k] = float(sum(p * len(o) for p, o in zip(power.tolist(), others))) + len(own) - 1
-            minus[k] = float((power * self.good_docs[ids]).sum())
-            if _weight(plus[k], minus[k] - power.sum()) < 0.5:  # of no weight, whichever document is left out
-                continue
-            judged.append(k)
-            for d in own:
-                owed[d][k] += 1
-            for p, o, j in zip(power.tolist(), others, ids.tolist()):
-                for d in o:
-                    owed[d][k] += p
-                if self.good_docs[j]:
-                    for d in where[keys[j]]:
-                        if not labels[d]:
-                            owed[d][k] += p
-
-        def weight(k: int, without: int | None = None) -> float:
-            less = 0.0 if without is None else owed[without][k]
-            bad_one = without is not None and labels[without]
-            good = self.good_docs[k] - (without is not None and not bad_one and without in where[keys[k]])
-            bad = self.bad_docs[k] - (bad_one and without in where[keys[k]])
-            w = _weight(plus[k] - less, minus[k]) if bad_one or without is None else _weight(plus[k], minus[k] - less)
-            return w if w >= 0.5 and good < bad else 0.0
-
-        self.bad = np.zeros(n, np.float32)
-        # First with bounds of all that can have weight without one of the documents, to score each document without itself.
-        self._bounds(rows, owner, np.array(judged, np.int64))
-        for k in judged:
-            self.bad[k] = weight(k)
-        self.steps = [(0.0, 0.0)]
-        alone, shared = defaultdict(set), defaultdict(list)
-        for k, p in enumerate(keys):
-            if len(where[p]) == 1:  # others' copies of a passage speak for themselves
-                alone[where[p][0]].add(k)
-            else:
-                for d in where[p]:
-                    shared[d].append(k)
-        raw = []
-        for d, (text, y) in enumerate(documents):
-            touched, before = list(owed.get(d, ())), self.bad.copy() if d in owed else self.bad
-            for k in touched:
-                self.bad[k] = weight(k, d)
-            if not y:
-                self.good_docs[shared[d]] -= 1
-            raw.append((self.raw(text, alone[d])[0], int(y)))
-            if not y:
-                self.good_docs[shared[d]] += 1
-            self.bad = before
-        self.loo = raw
-        self.steps = isotonic(raw)
-        self._bounds(rows, owner, np.flatnonzero(self.bad > 0))
-        del self.bad_docs
-
-    def _bounds(self, rows: list, owner: np.ndarray, of_weight: np.ndarray) -> None:
-        """What rules out a passage before its neighbours are searched, from the given passages of weight."""
-        n, chosen = len(rows), np.zeros(len(rows), bool)
-        chosen[of_weight] = True
-        # The most that any of them can add to a cosine, by run.
-        reach, mine = np.zeros(len(self.terms), np.float32), chosen[owner] if n else np.zeros(0, bool)
-        np.maximum.at(reach, self.term[mine], self.value[mine])
-        self.reach_of = {g: float(reach[k] * self.idf[k]) for g, k in self.terms.items() if reach[k] > 0}
-        self.bad_count = len(of_weight)
+            near_bad = np.array([len(set(bad_of[keys[j]]).difference(bad_of[keys[k]])) if self.bad_docs[j] and j != k else 0 for j in ids.tolist()], np.float64)
+            plus, minus = float((power * near_bad).sum()) + own - 1, float((power * self.good_docs[ids]).sum())
+            weight[k] = (plus + 0.05) / (plus + minus + 0.1)
+        self.bad = np.where(weight >= 0.5, weight, 0).astype(np.float32)
+        # The most that any bad passage of weight can add to a cosine, by run.
+        self.reach = np.zeros(len(self.terms), np.float32)
+        of_weight = self.bad[owner] > 0 if n else np.zeros(0, bool)
+        np.maximum.at(self.reach, self.term[of_weight], self.value[of_weight])
+        self.reach_of = {g: float(self.reach[k] * self.idf[k]) for g, k in self.terms.items() if self.reach[k] > 0}
+        rows_of_weight = np.flatnonzero(self.bad > 0)
+        self.bad_count = len(rows_of_weight)
         lists: dict[int, tuple[list, list]] = defaultdict(lambda: ([], []))
-        for place, k in enumerate(of_weight.tolist()):
+        for place, k in enumerate(rows_of_weight.tolist()):
             for t, x in zip(rows[k][0].tolist(), rows[k][1].tolist()):
                 lists[t][0].append(place)
                 lists[t][1].append(x)
         self.bad_postings = {t: (np.array(a, np.int32), np.array(b, np.float32)) for t, (a, b) in lists.items()}
         self._facts()
+        self.steps = [(0.0, 0.0)]
+        members = defaultdict(set)
+        for k, p in enumerate(keys):
+            if len(where[p]) == 1:  # others' copies of a passage speak for themselves
+                members[where[p][0]].add(k)
+        raw = [(self.raw(text, members[d])[0], int(y)) for d, (text, y) in enumerate(documents)]
+        self.loo = raw
+        self.steps = isotonic(raw)
+        del self.bad_docs
 
     def _vector(self, units: tuple[str, ...]) -> tuple[np.ndarray, np.ndarray]:
         """(terms, weights) of length one; runs the model doesn't know count in the length only."""
@@ -239,7 +197,7 @@ class Model:
         return self._query
 
     def __getstate__(self) -> dict:
-        return {k: v for k, v in self.__dict__.items() if k not in ("_query", "_seen", "loo", "square_of", "pair_facts")}
+        return {k: v for k, v in self.__dict__.items() if k not in ("_query", "_seen", "loo", "reach", "square_of", "pair_facts")}
 
     def __setstate__(self, state: dict) -> None:
         self.__dict__ = state
@@ -322,10 +280,6 @@ class Model:
         return float(np.interp(raw, xs, [y for _, y in self.steps]))
 
 
-def _weight(plus: float, minus: float) -> float:
-    return (plus + 0.05) / (max(plus, 0.0) + max(minus, 0.0) + 0.1)
-
-
 def isotonic(scored: list[tuple[float, int]]) -> list[tuple[float, float]]:
     """Pool-adjacent-violators: (score, share) with shares that never fall."""
     groups: list[list[float]] = []
