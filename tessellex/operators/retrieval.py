@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..domain import legal
 from ..functions.text import tokens
+from .chunking import sentence_chunks
 
 #: A set of queries is broadcast up to so many term rows; beyond it the join shuffles.
 MAX_BROADCAST_TERMS = 200_000
@@ -66,28 +69,57 @@ def _top(scored: DataFrame, group: str, key: str, k: int) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def dense(queries: DataFrame, vectors: DataFrame, key: str, vector: str, k: int = 5, query_key: str = "query_id", query: str = "vector", block: int = 1000) -> DataFrame:
+def dense(queries: DataFrame, vectors: DataFrame, key: str, vector: str, k: int = 5, query_key: str = "query_id", query: str = "vector", block: int = 5000) -> DataFrame:
     """(query_key, key, score, rank), score 1 / (1 + Euclidean distance), exact over all vectors.
 
-    Queries go against all vectors in blocks of about ``block``, however many there are: each block is one
-    array that every vector meets once, with the k best kept per partition first. Null vectors meet nothing.
+    Queries go against all vectors in blocks of about ``block``, however many there are: a block is broadcast once,
+    and each batch of vectors meets it in a matrix product, of which the k best per query go on. Null vectors
+    and those of another length than the query's meet nothing.
     """
     asked = queries.select(F.col(query_key).alias("q"), F.col(query).cast("array<double>").alias("v")).where("v IS NOT NULL")
     base = vectors.select(F.col(key).alias("_k"), F.col(vector).cast("array<double>").alias("_v")).where("_v IS NOT NULL")
     count = max(1, -(-asked.count() // block))
-
-    def distance(a: Column, b: Column) -> Column:
-        return F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x))
+    schema = f"`{query_key}` {asked.schema['q'].dataType.simpleString()}, _k {base.schema['_k'].dataType.simpleString()}, score double"
 
     def best(i: int) -> DataFrame:
-        one = F.broadcast(asked.where(F.pmod(F.xxhash64("q"), F.lit(count)) == i).agg(F.collect_list(F.struct("q", "v")).alias("_qs")))
-        met = base.crossJoin(one).select("_k", "_v", F.explode("_qs").alias("_q"))
-        scored = met.select(F.col("_q.q").alias(query_key), "_k", F.round(1 / (1 + distance(F.col("_v"), F.col("_q.v"))), 6).alias("score"))
-        return _top(scored, query_key, "_k", k)
+        rows = asked.where(F.pmod(F.xxhash64("q"), F.lit(count)) == i).collect()  # about ``block`` vectors
+        shared = queries.sparkSession.sparkContext.broadcast([(r["q"], r["v"]) for r in rows])
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            by_length: dict[int, list] = {}
+            for q, v in shared.value:
+                by_length.setdefault(len(v), []).append((q, v))
+            sides = {n: ([q for q, _ in x], np.array([v for _, v in x], dtype=float).reshape(len(x), n)) for n, x in by_length.items()}
+            for batch in batches:
+                sizes = batch["_v"].map(len)
+                for n, (names, wanted) in sides.items():
+                    part = batch[sizes == n]
+                    if len(part):
+                        yield from _nearest(names, wanted, part["_k"].to_numpy(), np.stack(part["_v"].to_list()).reshape(len(part), n), k, query_key)
+
+        return _top(base.mapInPandas(run, schema), query_key, "_k", k)
 
     return reduce(DataFrame.unionByName, map(best, range(count))).withColumnRenamed("_k", key)
 
 
+def _nearest(names: list, wanted: np.ndarray, keys: np.ndarray, known: np.ndarray, k: int, query_key: str, rows: int = 256) -> Iterator[pd.DataFrame]:
+    """The k best of a batch for each query; products find what can be among them, plain differences decide."""
+    squares = (known * known).sum(1)
+    for at in range(0, len(names), rows):
+        some = wanted[at : at + rows]
+        far = np.maximum((some * some).sum(1)[:, None] + squares[None, :] - 2 * some @ known.T, 0)
+        out_q, out_k, out_s = [], [], []
+        for i, d in enumerate(far):
+            limit = np.partition(d, k - 1)[k - 1] if len(d) > k else d.max()
+            near = np.flatnonzero(np.sqrt(d) <= np.sqrt(limit) + 1e-5 * (1 + np.sqrt(limit)) ** 2)
+            score = np.round(1 / (1 + np.sqrt(((known[near] - some[i]) ** 2).sum(1))), 6)
+            first = np.lexsort((keys[near], -score))[:k]
+            out_q += [names[at + i]] * len(first)
+            out_k += keys[near][first].tolist()
+            out_s += score[first].tolist()
+        yield pd.DataFrame({query_key: out_q, "_k": out_k, "score": out_s})
+
+
 def fuse(lexical: DataFrame, dense_hits: DataFrame, key: str = "content", k: int = 5, query_key: str = "query_id", constant: int = 60, weights: tuple[float, float] = (0.5, 1.0)) -> DataFrame:
     """Weighted reciprocal rank fusion on ``key``: sum of weight / (constant + rank), rank from 1; method bm25, dense or hybrid; ties by the order of first appearance."""
     a = lexical.select(query_key, key, F.lit(weights[0]).alias("_w"), "rank", F.lit(0).alias("_from"))
@@ -110,15 +142,45 @@ def rerank(hits: DataFrame, query: Column, content: Column) -> DataFrame:
     return hits.withColumn("rerank_score", F.round(F.col("score") * (1 + 0.2 * matched) * law * year, 4))
 
 
+def bm25_indexed(queries: DataFrame, postings: DataFrame, totals: DataFrame, key: str, k: int = 5, query_key: str = "query_id", query: str = "query", k1: float = 1.5, b: float = 0.75) -> DataFrame:
+    """R4 on a written index (S14): only the queries' terms are read of it, and no text."""
+    n, avgdl = totals.first()
+    asked = queries.select(query_key, F.explode(tokens(F.col(query))).alias("term")).groupBy(query_key, "term").agg(F.count(F.lit(1)).alias("_m"))
+    met = asked.join(postings, "term")
+    idf = F.log((F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
+    part = F.col("_m") * idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.lit(max(avgdl, 1e-9))))
+    return _top(met.groupBy(query_key, key).agg(F.round(F.sum(part), 6).alias("score")), query_key, key, k)
+
+
 def hybrid(
     queries: DataFrame, docs: DataFrame, key: str, text: str, vectors: DataFrame | None = None, k: int = 5, force: bool = False, reranker: Callable[[DataFrame], DataFrame] | None = None
 ) -> DataFrame:
-    """Simple queries are left out (unless forced), others expanded, searched twice as deep, fused and cut to k; ``reranker`` may reorder the fused hits of complex ones."""
+    """Simple queries are left out (unless forced), others expanded, searched twice as deep, fused and cut to k; fused hits of complex ones are reranked first.
+
+    ``queries`` has query_id, query and, for dense search, vector; ``vectors`` key and embedding. ``reranker`` (R7)
+    gets hits with query and content and adds rerank_score; without one the heuristic decides.
+    """
     gated = queries.withColumn("_level", complexity(F.col("query")))
     asked = gated if force else gated.where("_level <> 'simple'")
-    asked = asked.withColumn("query", expand(F.col("query")))
-    lexical = bm25(asked, docs, key, text, 2 * k)
+    wide = asked.withColumn("query", expand(F.col("query")))
+    lexical = bm25(wide, docs, key, text, 2 * k)
     if vectors is None:
         return lexical.where(F.col("rank") <= k).withColumn("method", F.lit("bm25"))
-    fused = fuse(lexical, dense(asked, vectors, key, "embedding", 2 * k), key, 2 * k if reranker else k)
-    return reranker(fused) if reranker else fused
+    fused = fuse(lexical, dense(wide, vectors, key, "embedding", 2 * k), key, 2 * k)
+    hits = fused.join(asked.select("query_id", "query", "_level"), "query_id")
+    plain = hits.where("_level <> 'complex' AND rank <= " + str(k)).select(*fused.columns)
+    hard = hits.where("_level = 'complex'").join(docs.select(F.col(key), F.col(text).alias("content")), key)
+    scored = reranker(hard) if reranker else rerank(hard, F.col("query"), F.col("content"))
+    order = Window.partitionBy("query_id").orderBy(F.col("rerank_score").desc(), "rank")
+    again = scored.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= k).withColumns({"score": F.col("rerank_score"), "rank": F.col("_r")})
+    return plain.unionByName(again.select(*fused.columns))
+
+
+def document_search(questions: DataFrame, documents: DataFrame, key: str, text: str, k: int = 3, width: int = 512, overlap: int = 128) -> DataFrame:
+    """(query_id, key, chunk_no, content, rank) of the k best chunks of given documents: no synonyms, no query left out, all hits reranked."""
+    parts = documents.select(F.col(key), F.posexplode(sentence_chunks(F.coalesce(F.col(text), F.lit("")), width, overlap)).alias("chunk_no", "content"))
+    parts = parts.withColumn("_c", F.xxhash64(key, "chunk_no"))
+    hits = bm25(questions, parts, "_c", "content", 2 * k).join(parts, "_c").join(questions.select("query_id", "query"), "query_id")
+    order = Window.partitionBy("query_id").orderBy(F.col("rerank_score").desc(), "rank")
+    best = rerank(hits, F.col("query"), F.col("content")).withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= k)
+    return best.select("query_id", key, "chunk_no", "content", F.col("_r").alias("rank"))

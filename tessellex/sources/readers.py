@@ -5,12 +5,14 @@ from __future__ import annotations
 import io
 import re
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.citations import LOOSE
 from ..functions.text import strip
 
 
@@ -72,16 +74,19 @@ def read_docx(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_zipped_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Rows of the first .json member (an array) of each zip file."""
+    """Rows of the first .json member (an array) of each zip file; files that cannot be read give none."""
 
     @F.pandas_udf("string")
     def member(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
             out = []
             for data in batch:
-                with zipfile.ZipFile(io.BytesIO(data)) as z:
-                    name = next((n for n in z.namelist() if n.endswith(".json")), None)
-                    out.append(z.read(name).decode("utf-8") if name else None)
+                try:
+                    with zipfile.ZipFile(io.BytesIO(data)) as z:
+                        name = next((n for n in z.namelist() if n.endswith(".json")), None)
+                        out.append(z.read(name).decode("utf-8") if name else None)
+                except (zipfile.BadZipFile, UnicodeDecodeError):
+                    out.append(None)
             yield pd.Series(out)
 
     found = spark.read.format("binaryFile").load(path).select(member("content").alias("_j"))
@@ -94,3 +99,37 @@ def benchmark_rows(rows: DataFrame, seq: str) -> DataFrame:
 
     n = F.row_number().over(Window.orderBy(seq)) - 1  # a benchmark is some hundred rows
     return rows.select(F.concat(F.lit("q-"), n).alias("id"), F.col("department").alias("category"), "question", F.array().cast("array<string>").alias("key_points"))
+
+
+def read_grouped_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """S3: rows of JSON files that are one object of arrays by group, with the group's name as department where a row has none."""
+    text = spark.read.text(path, wholetext=True)
+    groups = text.select(F.explode(F.from_json("value", f"map<string, array<struct<{schema}>>>")).alias("_g", "_rows"))
+    rows = groups.select("_g", F.explode("_rows").alias("_x")).select("_g", "_x.*")
+    return (rows.withColumn("department", F.coalesce("department", "_g")) if "department" in rows.columns else rows.withColumn("department", F.col("_g"))).drop("_g")
+
+
+def inspect(rows: DataFrame, text: str) -> DataFrame:
+    """One row per column: type, nulls and distinct values (estimated); for ``text`` its mean length and citations as well."""
+    counts = rows.agg(F.count(F.lit(1)).alias("_n"), *[F.count(F.col(c)).alias(f"n_{c}") for c in rows.columns], *[F.approx_count_distinct(F.col(c).cast("string")).alias(f"d_{c}") for c in rows.columns], F.avg(F.length(text)).alias("_len"), F.sum(F.regexp_count(F.coalesce(text, F.lit("")), F.lit(LOOSE))).alias("_cites"))
+    types = dict(rows.dtypes)
+    each = [F.struct(F.lit(c).alias("column"), F.lit(types[c]).alias("type"), (F.col("_n") - F.col(f"n_{c}")).alias("nulls"), F.col(f"d_{c}").alias("distinct"), (F.col("_len") if c == text else F.lit(None).cast("double")).alias("mean_length"), (F.col("_cites") if c == text else F.lit(None).cast("bigint")).alias("citations")) for c in rows.columns]
+    return counts.select(F.explode(F.array(*each)).alias("_x")).select("_x.*")
+
+
+def read_index(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(postings, totals) of a written index."""
+    return spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/totals")
+
+
+def first_source(*sources: Callable[[], DataFrame]) -> DataFrame:
+    """The first of the sources that has rows (the last one if none has); a source whose files are missing counts as empty."""
+    for k, make in enumerate(sources):
+        try:
+            rows = make()
+            if k + 1 == len(sources) or not rows.isEmpty():
+                return rows
+        except AnalysisException:
+            if k + 1 == len(sources):
+                raise
+    raise ValueError("no source given")

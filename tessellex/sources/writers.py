@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+from datetime import datetime
 from pathlib import Path
 
 from pyspark.sql import DataFrame
@@ -57,3 +59,21 @@ def knowledge_base_template(path: str, sections: tuple[str, ...] = ("laws", "int
         folder = Path(path) / s
         folder.mkdir(parents=True, exist_ok=True)
         (folder / "README.txt").write_text(f"Put {s} here as .txt files.\n", encoding="utf-8")
+
+
+def write_report(rows: DataFrame, path: str, name: str = "metrics") -> None:
+    """K5, K7: a small roll-up as JSON (with a time stamp, and as the latest) and as Markdown in a local folder."""
+    found = [r.asDict(recursive=True) for r in rows.limit(1001).collect()]
+    if len(found) > 1000:
+        raise ValueError("more than 1000 rows")
+    folder = Path(path)
+    folder.mkdir(parents=True, exist_ok=True)
+    body = json.dumps(found, ensure_ascii=False, indent=2, default=str)
+    for stem in (f"{name}_{datetime.now():%Y%m%d_%H%M%S}", f"{name}_latest"):
+        (folder / f"{stem}.json").write_text(body, encoding="utf-8")
+    (folder / f"{name}.md").write_text(markdown(rows), encoding="utf-8")
+
+
+def write_csv_with_mark(rows: DataFrame, path: str) -> None:
+    """K4: a small roll-up as one CSV file that begins with a byte order mark."""
+    rows.limit(100_000).toPandas().to_csv(path, index=False, encoding="utf-8-sig")  # a metrics table is some rows per category

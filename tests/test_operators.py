@@ -264,3 +264,37 @@ def test_resolve_by_short_form(spark):
     names = spark.createDataFrame([("劳动法", "劳动法（试行）", 1), ("劳动法（试行）", "劳动法（试行）", 1)], "name string, title string, rank long")
     cited = spark.createDataFrame([("中华人民共和国劳动法",), ("无此法",)], "law string")
     assert {r["law"]: r["title"] for r in statutes.resolve_names(cited, names).collect()} == {"中华人民共和国劳动法": "劳动法（试行）", "无此法": None}
+
+
+def test_dense_blocks_and_lengths(spark):
+    import random
+
+    r = random.Random(4)
+    rows = [(i, [r.random() for _ in range(6)]) for i in range(120)] + [(500, None), (501, [0.5, 0.5])] + [(600 + i, [0.5] * 6) for i in range(20)]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    asked = spark.createDataFrame([(i, v) for i, v in rows if i % 7 == 0] + [(9001, [0.5] * 6), (9002, None)], "query_id long, vector array<float>")
+    got = {}
+    for x in retrieval.dense(asked, vectors, "vec_id", "embedding", 5, block=4).collect():
+        got.setdefault(x["query_id"], []).append((x["rank"], x["vec_id"], x["score"]))
+    kept = {x["vec_id"]: x["embedding"] for x in vectors.collect() if x["embedding"]}
+    for q in asked.collect():
+        if q["vector"] is None:
+            assert q["query_id"] not in got
+            continue
+        far = {k: round(1 / (1 + sum((a - b) ** 2 for a, b in zip(q["vector"], v)) ** 0.5), 6) for k, v in kept.items() if len(v) == len(q["vector"])}
+        want = sorted(far, key=lambda k: (-far[k], k))[:5]
+        assert [k for _, k, _ in sorted(got[q["query_id"]])] == want
+
+
+def test_hybrid_reranks_complex_only(spark):
+    docs = spark.createDataFrame([(1, "经济补偿 的 计算 标准 2019年"), (2, "第八十七条 经济补偿 计算 司法解释"), (3, "租赁 押金 退还")], "chunk_id long, content string")
+    vectors = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.9, 0.1]), (3, [0.0, 1.0])], "chunk_id long, embedding array<double>")
+    queries = spark.createDataFrame([(1, "经济补偿怎么算", [1.0, 0.0]), (2, "押金 退还", [0.0, 1.0]), (3, "有什么法律规定", [0.0, 1.0])], "query_id long, query string, vector array<double>")
+    out = retrieval.hybrid(queries, docs, "chunk_id", "content", vectors, 2)
+    first = {r["query_id"]: r["chunk_id"] for r in out.where("rank = 1").collect()}
+    assert first == {1: 2, 2: 3}  # the legal reference wins for the complex query, the simple one is left out
+    hits = retrieval.document_search(queries.select("query_id", "query"), docs, "chunk_id", "content", 1).collect()
+    assert {r["query_id"]: r["chunk_id"] for r in hits}[2] == 3
+    postings, totals = retrieval.bm25_index(docs, "chunk_id", "content")
+    plain = sorted(map(tuple, retrieval.bm25(queries, docs, "chunk_id", "content").collect()))
+    assert sorted(map(tuple, retrieval.bm25_indexed(queries, postings, totals, "chunk_id").select("query_id", "chunk_id", "score", "rank").collect())) == plain
