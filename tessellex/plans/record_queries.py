@@ -388,3 +388,27 @@ SQL |= {
         g AS (SELECT department, count(*) AS pairs, avg(nullif(b, 0)) AS bm, avg(nullif(t, 0)) AS tm, count_if(t - b > 0.01::DOUBLE) AS wins, count_if(t - b < -0.01::DOUBLE) AS losses, count_if(abs(t - b) <= 0.01::DOUBLE) AS ties, round(avg((t - b > 0.01::DOUBLE)::INTEGER), 4) AS win_rate FROM x GROUP BY department)
         SELECT department, pairs, round(bm, 4) AS base_mean, round(tm, 4) AS tuned_mean, round((tm - bm) / bm * 100, 2) AS improvement, wins, losses, ties, win_rate FROM g""",
 }
+
+
+def _promised(text: str) -> str:
+    for phrase in builders.CUT_PHRASES:
+        text = f"replace({text}, '{phrase}', '')"
+    return f"rtrim({text}, ' ') || '{builders.PROMISE}'"
+
+
+def _swapped(swap: str, first: str, second: str) -> str:
+    return f"CASE WHEN {swap} THEN {second} ELSE {first} END AS {first}, CASE WHEN {swap} THEN {first} ELSE {second} END AS {second}"
+
+
+_UNSAFE = lambda c: f"(regexp_matches({c}, '{_OVER}') OR NOT {_like(c, legal.DISCLAIMERS)})"
+_RED = lambda c: f"(regexp_matches({c}, '{'|'.join(legal.UNSAFE)}') AND NOT regexp_matches({c}, '{'|'.join(legal.SAFE)}'))"
+SQL |= {
+    "safedpo_transform": f"""{_QA}, x AS (SELECT CASE WHEN case_id % 3 = 0 THEN {_promised('answer')} ELSE answer END AS a, CASE WHEN case_id % 2 = 0 THEN {_promised('answer')} ELSE answer END AS b FROM qa),
+        l AS (SELECT {_swapped(f"{_UNSAFE('a')} AND NOT {_UNSAFE('b')}", 'a', 'b')} FROM x),
+        y AS (SELECT *, {_UNSAFE('b')}::INTEGER AS u, {_RED('a')} AS ra, {_RED('b')} AS rb FROM l)
+        SELECT CASE WHEN ra AND NOT rb THEN 'swap' ELSE 'keep' END AS action, count(*) AS pairs, sum(u)::BIGINT AS unsafe FROM y WHERE NOT (ra AND rb) GROUP BY 1""",
+    "context_pack": _BM + """, h AS (SELECT query_id, rank, chr(10) || '--- ' || CASE WHEN coalesce(title, '') <> '' THEN title ELSE '法规' END || ' ---' || chr(10) AS h, coalesce(content, '') AS c FROM top JOIN chunks USING (chunk_id)),
+        n AS (SELECT *, sum(length(h) + length(c)) OVER (PARTITION BY query_id ORDER BY rank) AS upto, length(h) + length(c) AS l FROM h),
+        p AS (SELECT *, 1200 - (upto - l) - length(h) AS rest FROM n)
+        SELECT query_id, '【参考法律法规】' || chr(10) || coalesce(string_agg(CASE WHEN upto <= 1200 THEN h || c WHEN upto - l <= 1200 AND rest > 100 THEN h || substr(c, 1, rest::BIGINT) || '...' END, chr(10) ORDER BY rank), '') AS context FROM p GROUP BY query_id""",
+}
