@@ -178,7 +178,7 @@ def broken_pairs(rows: DataFrame, key: str = "case_id", question: str = "questio
     low = F.lower(F.col("_a"))
     rest = _letters(F.regexp_replace(F.regexp_replace(low, REFUSAL, " "), "|".join(sorted(COURTESY, key=len, reverse=True)), " "))
     opening = rf"\A[\s\p{{P}}]*(?:{'|'.join(sorted(COURTESY, key=len, reverse=True))}|{REFUSAL})"  # fails at once for a real reply
-    refusal = F.when(F.length("_a") > 400, False).when(~low.rlike(opening), False).when(~low.rlike(DECLINES), False).otherwise(low.rlike(REFUSAL) & (F.length(rest) <= 3))
+    refusal = F.when(~low.rlike(opening), False).when(~low.rlike(DECLINES), False).otherwise(low.rlike(REFUSAL) & (F.length(rest) <= 3))
     few = rf"\A[^\p{{L}}\p{{N}}]*+(?:[\p{{L}}\p{{N}}][^\p{{L}}\p{{N}}]*+){{0,{max(map(len, PLACEHOLDERS))}}}\z"  # fails at the next letter
     empty = F.when(~F.col("_a").rlike(few), False).otherwise(_letters(F.col("_a")).isin("", *PLACEHOLDERS))
     kind = F.when(empty, "empty").when(copied, "copied").when(refusal, "refusal").when(F.col("_foreign"), "language").otherwise("")

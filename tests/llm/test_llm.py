@@ -170,6 +170,13 @@ def test_copies_make_no_closing(spark):
     assert found == {i: "truncated" if a in cut else "empty" for i, a in rows if a not in fine}
 
 
+def test_long_refusals(spark):
+    long = "抱歉，我无法回答这个问题。" * 60
+    rows = [(1, "合同怎么解除？", long), (2, "合同怎么解除？", "抱歉让您久等了。" + "可以书面通知对方解除合同，并保留送达凭证。" * 30)]
+    found = bad_pairs.broken_pairs(spark.createDataFrame(rows, "case_id long, question string, answer string")).collect()
+    assert [tuple(r) for r in found] == [(1, "refusal")]
+
+
 # --- problem 5
 
 
