@@ -212,7 +212,7 @@ def question_edits(length: str) -> str:
 
 
 #: Parities of the counts of characters, in so many numbers of 64 places.
-_SKETCHES = 4
+_SKETCHES = 3
 
 
 def _with_sketch(questions: DataFrame) -> DataFrame:
@@ -235,7 +235,7 @@ def _segment_pairs(distinct: DataFrame) -> DataFrame:
     held = held.withColumn("_k", F.expr(question_edits("_m"))).where(F.abs(F.col("_m") - F.col("_n")) <= F.col("_k")).withColumn("_w", F.expr("_m div (_k + 1)"))
     low = "greatest(0L, j * _w - j, j * _w + (_n - _m) - (_k - j))"
     high = "least(_n - _w, j * _w + j, j * _w + (_n - _m) + (_k - j))"
-    places = f"filter(sequence({low}, {low} + {MOST_EDITS}), p -> p <= {high})"
+    places = f"if({high} < {low}, cast(array() AS array<bigint>), sequence({low}, {high}))"
     offered = f"flatten(transform(sequence(0, cast(_k as int)), j -> transform({places}, p -> xxhash64(_m, j, substring(_q, cast(p + 1 as int), cast(_w as int))))))"
     held = held.select(F.col("_id").alias("_e"), F.explode(F.expr(offered)).alias("_h"))
     return held.join(known, "_h").where("_e <> _k").select("_e", "_k")
