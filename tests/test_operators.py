@@ -298,3 +298,19 @@ def test_hybrid_reranks_complex_only(spark):
     postings, totals = retrieval.bm25_index(docs, "chunk_id", "content")
     plain = sorted(map(tuple, retrieval.bm25(queries, docs, "chunk_id", "content").collect()))
     assert sorted(map(tuple, retrieval.bm25_indexed(queries, postings, totals, "chunk_id").select("query_id", "chunk_id", "score", "rank").collect())) == plain
+
+
+def test_bm25_in_blocks(spark, monkeypatch):
+    """The scores of all pairs are in no plan; blocks of documents and of queries give what the index gives, also with repeated, null and empty rows."""
+    words = ["合同", "解除", "赔偿", "时效", "劳动", "仲裁", "Rent", "lease"]
+    texts = [" ".join(words[(i * j) % 8] for j in range(1, 2 + i % 7)) for i in range(200)]
+    docs = spark.createDataFrame([(i % 190, t) for i, t in enumerate(texts)] + [(500, None), (501, ""), (None, "合同 lease"), (7, "劳动 lease lease")], "id int, t string")
+    asked = spark.createDataFrame([(i % 28, texts[i * 5] + " 合同") for i in range(30)] + [(90, "无关"), (91, None)], "query_id int, query string")
+    monkeypatch.setattr(retrieval, "BLOCK_TOKENS", 200)
+    monkeypatch.setattr(retrieval, "BLOCK_WEIGHTS", 25)
+    hits = retrieval.bm25(asked, docs, "id", "t")
+    assert "Join" not in hits._jdf.queryExecution().toString()
+    postings, totals = retrieval.bm25_index(docs, "id", "t")
+    want = retrieval.bm25_indexed(asked, postings, totals, "id").select("query_id", "id", "score", "rank").collect()
+    assert len(want) == 140 and sorted(map(str, hits.collect())) == sorted(map(str, want))
+    assert retrieval.bm25(asked.limit(0), docs, "id", "t").count() == retrieval.bm25(asked, docs.limit(0), "id", "t").count() == 0
