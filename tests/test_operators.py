@@ -314,3 +314,26 @@ def test_bm25_in_blocks(spark, monkeypatch):
     want = retrieval.bm25_indexed(asked, postings, totals, "id").select("query_id", "id", "score", "rank").collect()
     assert len(want) == 140 and sorted(map(str, hits.collect())) == sorted(map(str, want))
     assert retrieval.bm25(asked.limit(0), docs, "id", "t").count() == retrieval.bm25(asked, docs.limit(0), "id", "t").count() == 0
+
+
+def test_claims_of_one_large_title(spark, tmp_path):
+    """Claims and chunks of a title never meet all with all, and the numbers are those of the expression on whole texts."""
+    import random
+
+    from tessellex.plans import record_queries
+
+    r = random.Random(5)
+    runs = ["".join(chr(0x4E00 + r.randrange(40)) for _ in range(n)) for n in (3, 4, 5, 6, 7, 11, 12, 13, 20) for _ in range(3)]
+    some = lambda n: [r.choice(runs) for _ in range(n)]
+    chunks = [(i, "某法", "x1，".join(some(r.randrange(1, 7)))) for i in range(80)]
+    cases = [(i, "某法", "应当a123456789，" + "，".join(x + r.choice(["", "换"]) for x in some(r.randrange(7))) + "。") for i in range(200)]
+    spark.createDataFrame(chunks, "chunk_id int, title string, content string").write.parquet(str(tmp_path / "chunks.parquet"))
+    spark.createDataFrame(cases, "case_id int, law_title string, answer string").write.parquet(str(tmp_path / "contract.parquet"))
+    got = record_queries.claim_support(spark, str(tmp_path))
+    assert "Contains(" not in got._jdf.queryExecution().toString()
+    docs = F.array(*[F.lit(c) for _, _, c in chunks])
+    claims = F.filter(guard.claims(F.col("answer")), lambda c: guard.supported(c, docs))
+    want = spark.createDataFrame(cases, "case_id int, t string, answer string").select("case_id", F.size(guard.claims(F.col("answer"))), F.size(claims)).where(F.size(guard.claims(F.col("answer"))) > 0)
+    want = {tuple(x) for x in want.collect()}
+    assert {tuple(x) for x in got.select("case_id", "claims", "supported").collect()} == want
+    assert 20 < sum(x[2] for x in want) < 180
