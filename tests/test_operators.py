@@ -337,3 +337,21 @@ def test_claims_of_one_large_title(spark, tmp_path):
     want = {tuple(x) for x in want.collect()}
     assert {tuple(x) for x in got.select("case_id", "claims", "supported").collect()} == want
     assert 20 < sum(x[2] for x in want) < 180
+
+
+def test_fast_signature_keeps_grams_in_their_row(spark):
+    """No row per gram; the share of equal minima is that of common grams, in long, short, null and repeated texts."""
+    text = "".join(chr(0x4E00 + i * 7 % 5000) for i in range(3000))
+    rows = [(1, text), (2, text[:1800]), (3, text.replace(chr(0x4E00), " ")), (4, "甲乙丙丁"), (5, None), (6, "😀bcd e" * 3), (7, "😀bcd e")]
+    signed = dedup.fast_signature(spark.createDataFrame(rows, "id int, t string"), F.col("t"), "id")
+    assert "Generate" not in signed._jdf.queryExecution().toString()
+    sig = {r["id"]: r["sig"] for r in signed.collect()}
+    share = lambda a, b: sum(x == y for x, y in zip(sig[a], sig[b])) / 128
+    assert 0.45 < share(1, 2) < 0.75 and share(1, 3) > 0.95 and share(1, 6) == 0
+    assert sig[4] == sig[5] == sig[7] == [0] * 128 and len(set(sig[1])) == 128
+
+
+def test_greedy_looks_at_shared_keys_only(spark):
+    """Rows that share no key stay without a round, also those whose only key is null."""
+    keyed = spark.createDataFrame([(1, 10), (1, 11), (2, 11), (3, 12), (4, None), (5, None), (5, 13)], "id int, k int")
+    assert {r["id"] for r in dedup.greedy_survivors(keyed, "id", "k").collect()} == {1, 3, 4, 5}
