@@ -355,3 +355,9 @@ def test_greedy_looks_at_shared_keys_only(spark):
     """Rows that share no key stay without a round, also those whose only key is null."""
     keyed = spark.createDataFrame([(1, 10), (1, 11), (2, 11), (3, 12), (4, None), (5, None), (5, 13)], "id int, k int")
     assert {r["id"] for r in dedup.greedy_survivors(keyed, "id", "k").collect()} == {1, 3, 4, 5}
+
+
+def test_rerank_rounds_the_double(spark):
+    """47.14545 is the double 47.145449999..., as SQL rounds it too."""
+    hits = spark.createDataFrame([(x, "", "") for x in (47.14545, 51.83145, 2.00005)], "score double, q string, c string")
+    assert [r["rerank_score"] for r in retrieval.rerank(hits, F.col("q"), F.col("c")).collect()] == [int(x * 10_000 + 0.5) / 10_000 for x in (47.14545, 51.83145, 2.00005)]
