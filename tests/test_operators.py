@@ -361,3 +361,21 @@ def test_rerank_rounds_the_double(spark):
     """47.14545 is the double 47.145449999..., as SQL rounds it too."""
     hits = spark.createDataFrame([(x, "", "") for x in (47.14545, 51.83145, 2.00005)], "score double, q string, c string")
     assert [r["rerank_score"] for r in retrieval.rerank(hits, F.col("q"), F.col("c")).collect()] == [int(x * 10_000 + 0.5) / 10_000 for x in (47.14545, 51.83145, 2.00005)]
+
+
+def _scored_in_blocks(spark, name, folder):
+    """A query on generated tables whose plan scores in blocks, with the join of postings and weights nowhere in it."""
+    from tessellex.plans import record_queries
+
+    chunks = [(i, f"法{i % 3}" if i % 4 else None, f"合同解除后第{i}日内返还押金" if i % 7 else None) for i in range(60)]
+    spark.createDataFrame(chunks, "chunk_id long, title string, content string").write.parquet(f"{folder}/chunks.parquet")
+    spark.createDataFrame([(20 * i, "公司辞退，合同解除后押金返还吗" if i % 5 else None) for i in range(1, 12)], "case_id long, question string").write.parquet(f"{folder}/contract.parquet")
+    got = record_queries.QUERIES[name](spark, str(folder))
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan and "_idf" not in plan
+    return got
+
+
+def test_context_pack_scores_in_blocks(spark, tmp_path):
+    rows = _scored_in_blocks(spark, "context_pack", tmp_path).collect()
+    assert len(rows) == 9 and all(r["context"].count("\n--- ") == 5 for r in rows)
