@@ -379,3 +379,8 @@ def _scored_in_blocks(spark, name, folder):
 def test_context_pack_scores_in_blocks(spark, tmp_path):
     rows = _scored_in_blocks(spark, "context_pack", tmp_path).collect()
     assert len(rows) == 9 and all(r["context"].count("\n--- ") == 5 for r in rows)
+
+
+def test_hybrid_scores_in_blocks(spark, tmp_path):
+    rows = _scored_in_blocks(spark, "hybrid_topk", tmp_path).collect()
+    assert len(rows) == 45 and {r["rank"] for r in rows} == {1, 2, 3, 4, 5} and {r["method"] for r in rows} == {"bm25"}
