@@ -3,9 +3,9 @@
 A document is read passage by passage (clauses, and windows of long ones), since an insult may stand in one
 line of a long harmless text. A passage's score comes from its nearest labelled passages by exact cosine
 of TF-IDF vectors of short runs of characters and words: neighbours vote with the square of their
-similarity. The labelled passages stand in a block-max inverted index: each run knows, for every block
-of passages, the largest weight it has there, so that blocks (and whole passages) whose bound is under
-the least similarity that counts are passed over without changing any result.
+similarity. The labelled passages stand in an inverted index: each run knows the passages it is in and its
+weight there. Passages whose bound is under the least similarity that counts are passed over before the
+index is asked, without changing any result.
 
 Labels belong to whole documents, so most passages of a bad document are harmless. Each passage of a
 bad document therefore carries only the weight that its own neighbours give it: how much nearer it is to
@@ -20,9 +20,9 @@ from __future__ import annotations
 import pickle
 import re
 import zlib
-from collections import Counter, defaultdict
+from collections import defaultdict
 from collections.abc import Iterator
-from itertools import pairwise
+from itertools import pairwise, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -39,8 +39,8 @@ MAX_LABELLED = 20_000
 MAX_LABELLED_CHARS = 100_000_000
 #: A window's length in units and the step between windows; longer clauses are read in windows.
 WINDOW, STEP = 12, 6
-#: Least cosine of a neighbour, neighbours that vote, passages in a block.
-NEAR, NEIGHBOURS, BLOCK = 0.32, 12, 64
+#: Least cosine of a neighbour, neighbours that vote.
+NEAR, NEIGHBOURS = 0.32, 12
 #: Calibrated score from which a document is a case.
 CASE = 0.5
 
@@ -53,18 +53,24 @@ def passages(text: str) -> list[tuple[str, ...]]:
 
     Marks and blanks inside a clause fall away, so that letters set apart by them stand side by side again.
     """
-    out = []
+    return [p for units in _clauses(text) for p in _windows(units)]
+
+
+def _clauses(text: str) -> Iterator[list[str]]:
     for clause in _CLAUSE.split(text):
-        units = ["0" if u[0].isdigit() else u for u in _UNIT.findall(clause)]
-        if len(units) < 2:
-            if units and units[0].isalpha() and len(units[0]) > 2:
-                out.append(tuple(units))
-            continue
-        if len(units) <= WINDOW + 2:
-            out.append(tuple(units))
-        else:
-            out.extend(tuple(units[k : k + WINDOW]) for k in range(0, len(units) - STEP, STEP))
-    return out
+        units = _UNIT.findall(clause)
+        if not "".join(units).isalpha():
+            units = ["0" if u[0].isdigit() else u for u in units]
+        yield units
+
+
+def _windows(units: list[str]) -> list[tuple[str, ...]]:
+    """The passages of one clause."""
+    if len(units) < 2:
+        return [tuple(units)] if units and units[0].isalpha() and len(units[0]) > 2 else []
+    if len(units) <= WINDOW + 2:
+        return [tuple(units)]
+    return [tuple(units[k : k + WINDOW]) for k in range(0, len(units) - STEP, STEP)]
 
 
 def runs(units: tuple[str, ...]) -> list[str]:
@@ -84,26 +90,22 @@ class Model:
                 where[p].append(d)
         labels = np.array([y for _, y in documents], dtype=bool)
         bad_of = {p: [d for d in ds if labels[d]] for p, ds in where.items()}
-        # Passages of bad documents first, so that blocks are of one kind but for one.
+        # Passages of bad documents first.
         keys = sorted(where, key=lambda p: (not bad_of[p], p))
-        df = Counter(g for p in keys for g in set(runs(p)))
         n = len(keys)
-        self.terms = {g: k for k, g in enumerate(df)}
-        self.idf = np.array([np.log((n + 1) / (c + 1)) + 1 for c in df.values()], dtype=np.float32)
+        self.terms: dict[str, int] = {}
+        ids = [np.array(sorted({self.terms.setdefault(g, len(self.terms)) for g in runs(p)}), np.int32) for p in keys]
+        term = np.concatenate([np.zeros(0, np.int32), *ids])
+        df = np.bincount(term, minlength=len(self.terms))
+        self.idf = (np.log((n + 1) / (df + 1)) + 1).astype(np.float32)
         self.unseen = float(np.log(n + 1) + 1)
-        rows = [self._vector(p) for p in keys]
-        self.start = np.concatenate([[0], np.cumsum([len(r[0]) for r in rows])]).astype(np.int64) if rows else np.zeros(1, np.int64)
-        self.term = np.concatenate([r[0] for r in rows]) if rows else np.zeros(0, np.int32)
-        self.value = np.concatenate([r[1] for r in rows]).astype(np.float32) if rows else np.zeros(0, np.float32)
-        owner = np.repeat(np.arange(n), np.diff(self.start))
-        # Block-max postings: for every run the blocks it is in and its largest weight there.
-        code = self.term.astype(np.int64) * (n // BLOCK + 1) + owner // BLOCK
-        order = np.argsort(code, kind="stable")
-        firsts = np.flatnonzero(np.diff(code[order], prepend=-1)) if n else np.zeros(0, np.int64)
-        self.top = np.maximum.reduceat(self.value[order], firsts) if n else self.value
-        self.block = (owner // BLOCK)[order][firsts].astype(np.int32) if n else self.term
-        self.at = np.searchsorted(self.term[order][firsts], np.arange(len(self.terms) + 1))
-        self.blocks = n // BLOCK + 1
+        rows = [self._weighed(x) for x in ids]
+        value = np.concatenate([np.zeros(0, np.float32), *(w for _, w in rows)]).astype(np.float32)
+        owner = np.repeat(np.arange(n), [len(x) for x in ids])
+        # Postings: for every run the passages it is in and its weights there.
+        order = np.argsort(term, kind="stable")
+        self.row, self.value = owner[order].astype(np.int32), value[order]
+        self.at = np.searchsorted(term[order], np.arange(len(self.terms) + 1))
         self.bad_docs = [len(bad_of[p]) for p in keys]
         self.good_docs = np.array([len(where[p]) - len(bad_of[p]) for p in keys], dtype=np.float32)
         bad_rows = sum(1 for b in self.bad_docs if b)
@@ -121,8 +123,8 @@ class Model:
         self.bad = np.where(weight >= 0.5, weight, 0).astype(np.float32)
         # The most that any bad passage of weight can add to a cosine, by run.
         self.reach = np.zeros(len(self.terms), np.float32)
-        of_weight = self.bad[owner] > 0 if n else np.zeros(0, bool)
-        np.maximum.at(self.reach, self.term[of_weight], self.value[of_weight])
+        of_weight = self.bad[owner] > 0
+        np.maximum.at(self.reach, term[of_weight], value[of_weight])
         self.reach_of = {g: float(self.reach[k] * self.idf[k]) for g, k in self.terms.items() if self.reach[k] > 0}
         rows_of_weight = np.flatnonzero(self.bad > 0)
         self.bad_count = len(rows_of_weight)
@@ -154,7 +156,9 @@ class Model:
                     other += 1
                 else:
                     known.append(k)
-        ids = np.array(sorted(known), dtype=np.int32)
+        return self._weighed(np.array(sorted(known), dtype=np.int32), other)
+
+    def _weighed(self, ids: np.ndarray, other: int = 0) -> tuple[np.ndarray, np.ndarray]:
         w = self.idf[ids]
         norm = float(np.sqrt(np.dot(w, w) + other * self.unseen**2)) or 1.0
         return ids, w / norm
@@ -164,23 +168,10 @@ class Model:
         ids, w = vector
         if not len(ids):
             return np.zeros(0, np.int64), np.zeros(0, np.float32)
-        bound = np.zeros(self.blocks, np.float32)
-        for t, x in zip(ids, w):
-            a, b = self.at[t], self.at[t + 1]
-            bound[self.block[a:b]] += self.top[a:b] * x
-        query = self._scratch()
-        query[ids] = w
-        found, sims = [], []
-        for b in np.flatnonzero(bound >= least - 1e-6):
-            lo, hi = b * BLOCK, min((b + 1) * BLOCK, len(self.start) - 1)
-            s, e = self.start[lo], self.start[hi]
-            part = np.add.reduceat(np.append(self.value[s:e] * query[self.term[s:e]], np.float32(0)), self.start[lo:hi] - s)
-            part[np.diff(self.start[lo : hi + 1]) == 0] = 0
-            good = np.flatnonzero(part >= least)
-            found.append(good + lo)
-            sims.append(part[good])
-        query[ids] = 0
-        return (np.concatenate(found), np.concatenate(sims)) if found else (np.zeros(0, np.int64), np.zeros(0, np.float32))
+        spans = list(zip(self.at[ids].tolist(), self.at[ids + 1].tolist(), w))
+        sums = np.bincount(np.concatenate([self.row[a:b] for a, b, _ in spans]), np.concatenate([self.value[a:b] * x for a, b, x in spans]), len(self.bad))
+        found = np.flatnonzero(sums >= least)
+        return found, sums[found].astype(np.float32)
 
     def _near_bad(self, vector: tuple[np.ndarray, np.ndarray]) -> bool:
         """Whether a bad passage of weight has at least the cosine that counts; from the postings of those alone."""
@@ -191,13 +182,8 @@ class Model:
                 sims[found[0]] += found[1] * np.float32(x)
         return bool(self.bad_count and sims.max() >= NEAR - 1e-5)
 
-    def _scratch(self) -> np.ndarray:
-        if getattr(self, "_query", None) is None:
-            self._query = np.zeros(len(self.terms), np.float32)
-        return self._query
-
     def __getstate__(self) -> dict:
-        return {k: v for k, v in self.__dict__.items() if k not in ("_query", "_seen", "loo", "reach", "square_of", "pair_facts")}
+        return {k: v for k, v in self.__dict__.items() if k not in ("_seen", "loo", "reach", "square_of", "reach_words", "reach_pairs", "pair_reach", "pair_square")}
 
     def __setstate__(self, state: dict) -> None:
         self.__dict__ = state
@@ -206,37 +192,34 @@ class Model:
     def _facts(self) -> None:
         """What the bounds look up: squares of weights, and for pairs the most that they and runs of three from them add."""
         self.square_of = {g: float(self.idf[k]) ** 2 for g, k in self.terms.items()}
-        self.no_fact = (0.0, self.unseen * self.unseen)
+        self.reach_words = {g for g in self.reach_of if " " not in g}
         most: dict[str, float] = defaultdict(float)
         for g, x in self.reach_of.items():
             if g.count(" ") == 2:
                 pair = g.rsplit(" ", 1)[0]
                 most[pair] = max(most[pair], x)
-        self.pair_facts = {g: (self.reach_of.get(g, 0.0) + most.get(g, 0.0), x) for g, x in self.square_of.items() if g.count(" ") == 1}
+        # Pairs as tuples, as they come from a passage without making a string of each.
+        self.pair_square = {tuple(g.split(" ")): x for g, x in self.square_of.items() if g.count(" ") == 1}
+        self.pair_reach = {p: x for p in self.pair_square if (x := self.reach_of.get(" ".join(p), 0.0) + most.get(" ".join(p), 0.0))}
+        self.reach_pairs = set(self.pair_reach)
 
     def passage(self, units: tuple[str, ...], without: set[int] | None = None) -> float:
         """The vote of a passage's neighbours, 0 to 1; 0 if no bad passage of weight is near."""
         # A first bound from pairs alone: a run of three weighs no less than the pair it begins with, and adds at
         # most what the best of those that begin so adds.
-        pairs = [a + " " + b for a, b in pairwise(units)]
-        facts, hit, total, last = self.pair_facts, 0.0, 0.0, 0.0
-        for p in set(pairs):
-            most, square = facts.get(p, self.no_fact)
-            hit += most
-            total += square
-        if pairs:
-            last = facts.get(pairs[-1], self.no_fact)[1]
+        pairs = set(pairwise(units))
         reach = self.reach_of
-        for u in units:
-            if len(u) > 2:
-                hit += reach.get(u, 0.0)
-        if not hit or hit * hit < NEAR * NEAR * (2 * total - last):
+        hit = sum(map(self.pair_reach.__getitem__, pairs & self.reach_pairs)) + sum(map(reach.__getitem__, self.reach_words.intersection(units)))
+        if not hit:
+            return 0.0
+        other = self.unseen * self.unseen
+        square = self.pair_square.get
+        total = sum(map(square, pairs, repeat(other)))
+        if hit * hit < NEAR * NEAR * (2 * total - (square(units[-2:], other) if pairs else 0.0)):
             return 0.0
         grams = set(runs(units))
         hit = sum(map(reach.get, grams & reach.keys()))
-        square = self.square_of
-        other = self.unseen * self.unseen
-        total = sum([square.get(g, other) for g in grams])
+        total = sum(map(self.square_of.get, grams, repeat(other)))
         if hit * hit < NEAR * NEAR * total:  # the bound on the cosine with any bad passage
             return 0.0
         vector = self._vector(units)
@@ -260,18 +243,22 @@ class Model:
         """(worst passage's vote, that passage) of a document."""
         known = self.__dict__.setdefault("_seen", {})
         best, where = 0.0, ""
-        for units in passages(text):
-            if without is None:
-                x = known.get(units)
-                if x is None:
-                    x = self.passage(units)
-                    if len(known) > 200_000:
-                        known.clear()
-                    known[units] = x
-            else:
-                x = self.passage(units, without)
-            if x > best:
-                best, where = x, "".join(u if len(u) == 1 else f" {u} " for u in units).strip()
+        for clause in _clauses(text):
+            # Most clauses have nothing that any bad passage has, so that none of their passages has a bound above 0.
+            if self.reach_pairs.isdisjoint(pairwise(clause)) and self.reach_words.isdisjoint(clause):
+                continue
+            for units in _windows(clause):
+                if without is None:
+                    x = known.get(units)
+                    if x is None:
+                        x = self.passage(units)
+                        if len(known) > 200_000:
+                            known.clear()
+                        known[units] = x
+                else:
+                    x = self.passage(units, without)
+                if x > best:
+                    best, where = x, "".join(u if len(u) == 1 else f" {u} " for u in units).strip()
         return best, where
 
     def calibrated(self, raw: float) -> float:

@@ -1,6 +1,8 @@
+import cProfile
 import random
 import unicodedata
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -357,6 +359,29 @@ def test_bounds_change_nothing():
             assert model.passage(units) == 0.0
 
 
+def test_near_is_exact_in_few_steps():
+    r = random.Random(5)
+    known = [("，".join("".join(r.choices("甲乙丙丁戊己庚辛", k=r.randrange(4, 12))) for _ in range(8)), int(i % 2)) for i in range(300)]
+    model, profile = abuse_score.Model(known), cProfile.Profile()
+    kept = sorted({p for t, _ in known for p in abuse_score.passages(t)}, key=lambda p: (not any(y and p in abuse_score.passages(t) for t, y in known), p))
+    rows = np.zeros((len(kept), len(model.terms)), np.float32)
+    for k, p in enumerate(kept):
+        ids, w = model._vector(p)
+        rows[k, ids] = w
+    some = kept[::40]
+    for p in some:
+        ids, w = model._vector(p)
+        sims = rows[:, ids] @ w
+        got = model._near((ids, w))
+        assert set(np.flatnonzero(sims >= abuse_score.NEAR + 1e-5)) <= set(got[0]) <= set(np.flatnonzero(sims >= abuse_score.NEAR - 1e-5))
+        assert np.allclose(sims[got[0]], got[1], atol=1e-5)
+    profile.runcall(lambda: [model._near(model._vector(p)) for p in some])
+    assert sum(x.callcount for x in profile.getstats()) < 150 * len(some)  # not some for each block of passages
+    text = "①②年12月，٣日，" + known[1][0] + "。" + known[3][0]
+    assert abuse_score.passages(text)[:2] == [("0", "0", "年", "0", "月"), ("0", "日")]
+    assert model.raw(text)[0] == max(model.passage(p) for p in abuse_score.passages(text))
+
+
 def test_isotonic():
     steps = abuse_score.isotonic([(0.1, 0), (0.2, 1), (0.3, 0), (0.9, 1), (0.9, 1)])
     assert [y for _, y in steps] == sorted(y for _, y in steps)
