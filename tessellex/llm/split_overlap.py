@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import cut, kept_table, table
+from ..session import cut, freed_shuffles, kept_table, table
 from .one_form import latin_look, same_codes
 
 #: Characters of the training and of the held-out texts in a block.
@@ -94,6 +94,8 @@ def _runs(text: str, n: int) -> str:
 
 
 _SLOTS = 1 << 20
+#: Words of 64 places for hashes of wanted values.
+_WORDS = 1 << 20
 #: So many runs of the rarest must be shared before all of a pair's are counted.
 _FIRST = 4
 
@@ -163,6 +165,18 @@ def sharing(held: list[str], known: list[str], n: int, edits: float | None, shar
     return np.concatenate(out_x or [np.zeros(0, int)]), np.concatenate(out_y or [np.zeros(0, int)])
 
 
+def _likely(rows: DataFrame, column: str, wanted: DataFrame) -> DataFrame:
+    """The rows whose column has a value of ``wanted``, and the few others of which hashes don't tell it.
+
+    At most _WORDS rows are broadcast, each with the places of 64 hashes; with more values more of the others stay,
+    so that an exact join follows. None of the rows that it finds are lost.
+    """
+    place = F.pmod(F.xxhash64(column), F.lit(64 * _WORDS))
+    words = wanted.select(place.alias("_p")).groupBy(F.expr("_p div 64").alias("_w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(_p % 64 as int))")).alias("_bits"))
+    placed = rows.withColumn("_p", place).withColumn("_w", F.expr("_p div 64"))
+    return placed.join(F.broadcast(words), "_w").where("shiftrightunsigned(_bits, cast(_p % 64 as int)) % 2 <> 0").select(*rows.columns)
+
+
 def _blocks(n: int, edits: float | None, share: float = 0.0) -> Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame]:
     def met(held: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
         x, y = sharing(held["_t"].tolist(), known["_t"].tolist(), n, edits, share)
@@ -289,29 +303,23 @@ def _near_questions(distinct: DataFrame, asked: DataFrame) -> DataFrame:
     return met.join(mine, "_e").join(theirs, "_k").where(near & (F.col("_eq") != F.col("_tq"))).select("_eq", "_tq")
 
 
-def overlaps(
-    rows: DataFrame, key: str = "case_id", question: str = "question", answer: str = "answer", split: str = "split", train: tuple[str, ...] = ("train",), held_out: tuple[str, ...] = ("eval", "test")
-) -> DataFrame:
-    """(id_train, id_held_out) of all pairs of rows whose question and answer are both the same or almost the same.
-
-    Null and empty answers are the same as each other; questions that are null or have no letters and
-    digits make no pairs. Repeated rows make a pair each. Rows of other splits, or of null split, are left
-    out; an empty table gives no pairs. Further columns, whatever their names, are ignored.
-    """
+def _classes(rows: DataFrame, key: str, question: str, answer: str, split: str, train: tuple[str, ...], held_out: tuple[str, ...]) -> tuple[DataFrame, DataFrame]:
+    """Rows (_train, _key, _qh, _ah) of linked questions; (_eq, _ea, _tq, _ta), the pairs of distinct questions and answers that are almost the same."""
     kept = rows.where(F.col(split).isin(*train, *held_out))
     asked = canonical(kept.select(F.col(key).alias("_key"), F.col(split).isin(*train).alias("_train"), F.col(question).alias("_s"), F.col(answer).alias("_a")), "_s", "_q")
-    asked = kept_table(_answer_keys(asked, "_a", "_hs").select("_key", "_train", "_q", F.unhex(F.md5("_q")).alias("_qh"), "_hs").where("_q <> ''"))
+    asked = kept_table(_answer_keys(asked, "_a", "_hs").select("_key", "_train", "_q", F.unhex(F.md5("_q")).alias("_qh"), "_hs"))
+    asked = asked.where("_qh <> unhex(md5(''))")  # above the table: below it, the filter would make the canonical form anew for every look at it
     distinct = asked.groupBy("_train", "_qh").agg(F.first("_q").alias("_q"))
     distinct = kept_table(_with_sketch(distinct.withColumns({"_id": F.xxhash64("_qh"), "_n": F.length("_q")})))
     sides = distinct.groupBy("_qh").agg(F.count(F.lit(1)).alias("_n")).where("_n = 2")  # a question of both sides
     same = sides.select(F.col("_qh").alias("_eq"), F.col("_qh").alias("_tq"))
     linked = cut(_near_questions(distinct, asked).unionByName(same))
 
-    # Only the rows of linked questions are read in full.
+    # Only the rows of linked questions are read in full; the texts of most others stay where they are.
     ends = linked.select(F.col("_eq").alias("_qh")).union(linked.select("_tq")).distinct()
-    keys = asked.join(ends, "_qh", "left_semi").select("_key", "_train", "_qh").distinct()
+    keys = cut(asked.join(ends, "_qh", "left_semi").select("_key", "_train").distinct())
     full = kept.select(F.col(key).alias("_key"), F.col(split).isin(*train).alias("_train"), F.col(question).alias("_rq"), F.col(answer).alias("_ra"))
-    full = full.join(keys.select("_key", "_train").distinct(), ["_key", "_train"], "left_semi")
+    full = _likely(full, "_key", keys).join(keys, ["_key", "_train"])  # keys are distinct; a semi-join would go below the other one
     full = canonical(canonical(full, "_rq", "_q"), "_ra", "_a")
     base = kept_table(full.select("_key", "_train", F.unhex(F.md5("_q")).alias("_qh"), "_a", F.xxhash64("_a").alias("_ah")))
 
@@ -333,8 +341,20 @@ def overlaps(
         found = found.distinct().join(here, "_in").select("_eq", F.col("_e").alias("_ea"), "_tq", F.col("_k").alias("_ta"))
         maybe = maybe.unionByName(found.where("_ea <> _ta").join(held, ["_eq", "_ea", "_tq"]).join(known, ["_tq", "_ta"]))
     close = maybe.where(F.expr(_alike("_x", "_y", SAME_ANSWER))).select("_eq", "_ea", "_tq", "_ta")
-    classes = cut(equal.unionByName(close))
+    return base, cut(equal.unionByName(close))
+
 
+def overlaps(
+    rows: DataFrame, key: str = "case_id", question: str = "question", answer: str = "answer", split: str = "split", train: tuple[str, ...] = ("train",), held_out: tuple[str, ...] = ("eval", "test")
+) -> DataFrame:
+    """(id_train, id_held_out) of all pairs of rows whose question and answer are both the same or almost the same.
+
+    Null and empty answers are the same as each other; questions that are null or have no letters and
+    digits make no pairs. Repeated rows make a pair each. Rows of other splits, or of null split, are left
+    out; an empty table gives no pairs. Further columns, whatever their names, are ignored.
+    """
+    with freed_shuffles(rows.sparkSession):
+        base, classes = _classes(rows, key, question, answer, split, train, held_out)
     # From classes to rows.
     members = base.select("_train", "_key", "_qh", "_ah")
     pairs = classes.join(members.where("NOT _train").select(F.col("_key").alias("id_held_out"), F.col("_qh").alias("_eq"), F.col("_ah").alias("_ea")), ["_eq", "_ea"])

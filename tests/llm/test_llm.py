@@ -1,6 +1,8 @@
 import cProfile
 import random
+import time
 import unicodedata
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -250,6 +252,50 @@ def test_overlaps_sentence_left_out(spark):
     assert {tuple(x) for x in split_overlap.overlaps(few).collect()} == {p for p in wanted if p[1] < 15}
 
 
+def test_overlaps_leave_texts_of_others(spark):
+    """Of texts only those of linked questions are shuffled, and the files of the steps before are gone when the pairs are read."""
+    r = random.Random(8)
+    signs = [chr(0x4E00 + i) for i in range(20000)]
+    rows = [(i, "".join(r.choice(signs) for _ in range(30)), "".join(r.choice(signs) for _ in range(3000)), "train" if i % 2 else "eval") for i in range(400)]
+    rows += [(1000, *rows[1][1:3], "eval"), (1001, rows[0][1] + "吗", rows[0][2], "train"), (1002, "!?", "x", "eval"), (1003, "", "x", "train"), (None, *rows[1][1:3], "eval")]
+    frame = spark.createDataFrame(rows, "case_id long, question string, answer string, split string")
+    env = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get()
+    folders = [Path(str(d)) for d in env.blockManager().diskBlockManager().localDirs()]
+
+    def written():
+        context = spark.sparkContext._jsc.sc()
+        context.listenerBus().waitUntilEmpty()
+        ran = context.statusStore().executorList(False)
+        return sum(ran.apply(i).totalShuffleWrite() for i in range(ran.size()))
+
+    def files():
+        return {p for d in folders for p in d.rglob("shuffle_*.data")}
+
+    before, there, setting = written(), files(), spark.conf.get(freed := "spark.sql.classic.shuffleDependency.fileCleanup.enabled")
+    spark.conf.set(limit := "spark.sql.autoBroadcastJoinThreshold", "-1")  # as for tables of which no side is small
+    try:
+        pairs = split_overlap.overlaps(frame)
+    finally:
+        spark.conf.unset(limit)
+    for _ in range(100):
+        if not (left := files() - there):
+            break
+        time.sleep(0.1)
+    assert not left and spark.conf.get(freed) == setting
+    assert sorted(map(tuple, pairs.collect())) == [(1, 1000), (1001, 0)]
+    assert written() - before < 1_000_000 < sum(len(x[2].encode()) for x in rows) / 3
+
+
+def test_likely_keeps_all_wanted(spark, monkeypatch):
+    rows = spark.range(20000).withColumn("t", F.concat(F.lit("x"), "id"))
+    wanted = rows.where("id % 100 = 7").select("t")
+    for words, most in ((1 << 20, 210), (4, 20000)):  # with few places more of the others stay
+        monkeypatch.setattr(split_overlap, "_WORDS", words)
+        got = split_overlap._likely(rows, "t", wanted)
+        assert got.columns == ["id", "t"] and got.join(wanted, "t").count() == 200 and 200 <= got.count() <= most
+    assert split_overlap._likely(rows, "t", wanted.limit(0)).count() == 0
+
+
 # --- problem 6
 
 ODD = [None, "", " ", "  a", "a  b\n\n c", "don't I'll", "中文，ABC 123!!", "ドラゴン龍契士", "<|endoftext|>", "é́ẹ́ ​﻿", "🙏🏽😀", "\x00\x01", "a" * 3000, "裏覚醒 裏覚醒", "x" * 700 + "中", "　　第", "𠀀𠀁", "9" * 1500]
